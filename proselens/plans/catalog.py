@@ -336,4 +336,40 @@ def q_quality_report(spark, sf):
     return RP.quality_report(s)
 
 
+
+
+# --- duplicate detection ------------------------------------------------------------
+
+def q_unique_texts(spark, sf):
+    from proselens.operators.dedup import duplicate_flags
+    d = duplicate_flags(FX.candidates(spark, sf), threshold=CFG.dedup_threshold_eval, cfg=CFG)
+    return d.withColumn("duplicate_similarity", r6("duplicate_similarity"))
+
+
+def q_unique_per_iteration(spark, sf):
+    from proselens.operators.dedup import duplicate_flags
+    d = duplicate_flags(FX.candidates(spark, sf), partition=["iteration"], threshold=CFG.dedup_threshold_final,
+                        cfg=CFG)
+    return d.withColumn("duplicate_similarity", r6("duplicate_similarity"))
+
+
+def q_duplicate_rate(spark, sf):
+    from proselens.operators.dedup import duplicate_flags
+    d = duplicate_flags(FX.candidates(spark, sf), partition=["iteration"], threshold=CFG.dedup_threshold_final,
+                        cfg=CFG)
+    return RP.duplicate_rate(d)
+
+
+def q_lexical_duplicates(spark, sf):
+    """Rows whose word set occurs more than once: the first row and the group
+    size, from one aggregation on a set signature (no pairs)."""
+    from proselens.functions.text import word_tokens
+    c = FX.candidates(spark, sf).select(
+        "candidate_ord", F.sha2(F.array_join(F.array_sort(F.array_distinct(word_tokens("marketing_text"))), " "),
+                                256).alias("_sig"))
+    g = c.groupBy("_sig").agg(F.min("candidate_ord").alias("first_ord"),
+                              F.count(F.lit(1)).cast("bigint").alias("group_size")).filter("group_size > 1")
+    return c.join(g, "_sig").select("candidate_ord", "first_ord", "group_size")
+
+
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_")}

@@ -311,6 +311,8 @@ def with_ctes(sql: str) -> str:
         return sql
     body = ",\n".join(f"{n} AS ({CTES[n]})" for n in names)
     head = sql.lstrip()
+    if head[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {body},\n{head[14:]}"
     if head[:4].upper() == "WITH":
         return f"WITH {body},\n{head[4:]}"
     return f"WITH {body}\n{sql}"
@@ -692,5 +694,59 @@ SELECT CAST(count(*) AS BIGINT) AS total_samples, round(avg(sbert), 6) AS avg_go
 FROM scored"""
 
 
+# --- duplicate detection: brute-force edges + a recursive walk in row order ---------
+
+def dedup_sql(threshold: float, partitioned: bool) -> str:
+    part = "iteration" if partitioned else "0"
+    return f"""
+WITH RECURSIVE
+b AS (SELECT candidate_ord AS ord, product_id AS label, {part} AS part, marketing_text AS text FROM candidates),
+tk AS (SELECT ord, part, token, count(*) AS tf FROM (
+         SELECT ord, part, unnest(string_split_regex(lower(coalesce(text, '')), '[ \\n]+')) AS token FROM b)
+       WHERE token <> '' GROUP BY ALL),
+nn AS (SELECT b.ord, b.part, b.label, count(tk.token) AS n, coalesce(sum(tk.tf * tk.tf), 0) AS n2,
+              coalesce(string_agg(tk.token, ' ' ORDER BY tk.token), '') AS wset
+       FROM b LEFT JOIN tk ON tk.ord = b.ord GROUP BY b.ord, b.part, b.label),
+eq AS (SELECT x.ord AS i, y.ord AS j, CAST(1.0 AS DOUBLE) AS sim FROM nn x JOIN nn y
+       ON x.part = y.part AND x.wset = y.wset AND x.ord < y.ord),
+sh AS (SELECT x.ord AS i, y.ord AS j, count(*) AS inter, sum(x.tf * y.tf) AS dot
+       FROM tk x JOIN tk y ON x.token = y.token AND x.part = y.part AND x.ord < y.ord GROUP BY x.ord, y.ord),
+sem AS (SELECT sh.i, sh.j, CAST(sh.dot AS DOUBLE) / (sqrt(CAST(a.n2 AS DOUBLE)) * sqrt(CAST(c.n2 AS DOUBLE))) AS sim
+        FROM sh JOIN nn a ON a.ord = sh.i JOIN nn c ON c.ord = sh.j
+        WHERE a.wset <> c.wset AND sh.inter * 20 >= greatest(a.n, 1) * 19
+          AND CAST(sh.dot AS DOUBLE) / (sqrt(CAST(a.n2 AS DOUBLE)) * sqrt(CAST(c.n2 AS DOUBLE))) >= {threshold}),
+edges AS (SELECT * FROM eq UNION ALL SELECT * FROM sem),
+inn AS (SELECT j AS ord, list(i) AS ins FROM edges GROUP BY j),
+v AS (SELECT ord, row_number() OVER (ORDER BY ord) AS rn, coalesce(inn.ins, []) AS ins
+      FROM (SELECT i AS ord FROM edges UNION SELECT j FROM edges) LEFT JOIN inn USING (ord)),
+walk(rn, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.rn + 1, CASE WHEN len(list_intersect(w.kept, v.ins)) > 0 THEN w.kept ELSE list_append(w.kept, v.ord) END
+  FROM walk w JOIN v ON v.rn = w.rn + 1),
+fin AS (SELECT kept FROM walk ORDER BY rn DESC LIMIT 1),
+best AS (SELECT e.j AS ord, min(e.i) AS di, arg_min(e.sim, e.i) AS dsim
+         FROM edges e, fin WHERE list_contains(fin.kept, e.i) GROUP BY e.j)
+SELECT {'b.part AS iteration, ' if partitioned else ''}b.ord AS candidate_ord, best.ord IS NULL AS is_unique,
+       lab.label AS duplicate_of, best.di AS duplicate_of_candidate,
+       round(coalesce(best.dsim, 0.0), 6) AS duplicate_similarity
+FROM b LEFT JOIN best ON best.ord = b.ord LEFT JOIN b lab ON lab.ord = best.di"""
+
+
+Q["unique_texts"] = dedup_sql(0.99, False)
+Q["unique_per_iteration"] = dedup_sql(0.95, True)
+Q["duplicate_rate"] = f"""
+SELECT iteration, round(1.0 - avg(CAST(is_unique AS INTEGER)), 6) AS duplicate_rate
+FROM ({dedup_sql(0.95, True)}) GROUP BY iteration"""
+Q["lexical_duplicates"] = r"""
+SELECT candidate_ord, first_ord, group_size FROM (
+  SELECT candidate_ord, min(candidate_ord) OVER (PARTITION BY wset) AS first_ord,
+         CAST(count(*) OVER (PARTITION BY wset) AS BIGINT) AS group_size
+  FROM (SELECT c.candidate_ord, coalesce((SELECT string_agg(DISTINCT t, ' ' ORDER BY t)
+                 FROM unnest(string_split_regex(lower(coalesce(c.marketing_text, '')), '[ \n]+')) u(t) WHERE t <> ''), '') AS wset
+        FROM candidates c))
+WHERE group_size > 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_ctes(v) for k, v in Q.items()}
