@@ -46,3 +46,33 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     # one row per partition: bounded by the partition count
     out = tmp.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
     return out.withColumn(name, F.col("_off") + F.col("_loc")).drop("_mid", "_pid", "_loc", "_off")
+
+
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Cut lineage by writing ``df`` as parquet under the shared checkpoint
+    folder (``spark.checkpoint.dir``) and reading it back.
+
+    Unlike ``Dataset.checkpoint`` the plan runs once, and the files survive
+    the loss of any executor.
+    """
+    import uuid
+
+    from proselens.session import checkpoint_dir
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/proselens-{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows by ``keys`` into ``spark.sql.shuffle.partitions``.
+
+    Used before tokenising texts: the shuffle moves each text once (cheaper
+    than moving its exploded tokens), spreads the per-text CPU work over all
+    tasks even when the scan has few splits, and leaves the data clustered
+    by the text key, so per-text aggregations that follow (token counts,
+    norms) need no further exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

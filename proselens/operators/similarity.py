@@ -17,13 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proselens.functions.text import word_tokens
-from proselens.operators.common import broadcast_if_small
+from proselens.operators.common import broadcast_if_small, spread_by
 
 
 def term_counts(df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
-    """(keys..., token, tf): token counts per text; partial aggregation runs
-    before the shuffle, so repeated tokens of a text cost one row."""
-    t = df.select(*keys, F.explode(word_tokens(text_col)).alias("token"))
+    """(keys..., token, tf): token counts per text.
+
+    Texts are hash-partitioned by the first key before they are split, so
+    the count per (text, token) is computed without moving any token.
+    """
+    t = spread_by(df.select(*keys, text_col), keys[0])
+    t = t.select(*keys, F.explode(word_tokens(text_col)).alias("token"))
     return t.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -48,7 +52,9 @@ def paired_cosine(rows: DataFrame, key: str, text_col: str, ref: DataFrame, ref_
     """
     r = rows.select(key, ref_key, text_col)
     ctf = term_counts(r, [key, ref_key], text_col)
-    rtf = term_counts(ref.select(ref_key, F.col(ref_text_col).alias("_rt")), [ref_key], "_rt") \
+    # only reference texts some row points to are tokenised
+    used = ref.join(r.select(ref_key).distinct(), ref_key, "left_semi")
+    rtf = term_counts(used.select(ref_key, F.col(ref_text_col).alias("_rt")), [ref_key], "_rt") \
         .withColumnRenamed("tf", "rtf")
     dot = ctf.join(rtf, [ref_key, "token"]).groupBy(key).agg(F.sum(F.col("tf") * F.col("rtf")).alias("_dot"))
     cn = squared_norms(ctf, [key], "_n2a")
@@ -82,30 +88,36 @@ def max_reference_similarity(rows: DataFrame, key: str, text_col: str, refs: Dat
     return base.select(key).join(best, key, "left").select(key, F.coalesce("_best", F.lit(0.0)).alias(out))
 
 
-def feature_coverage(rows: DataFrame, key: str, text_col: str, features_col: str,
-                     threshold: float, out: str = "semantic_feature_coverage") -> DataFrame:
-    """A17 (+A22, J6): share of a row's features whose cosine with the text
-    reaches ``threshold``.  Repeated features count every time.
+def feature_coverage(rows: DataFrame, key: str, text_col: str, refs: DataFrame, ref_key: str,
+                     features_col: str, threshold: float, out: str = "semantic_feature_coverage") -> DataFrame:
+    """A17 (A22, J6): share of a row's features whose cosine with the text
+    reaches ``threshold``; repeated features count every time.
 
-    Each distinct feature text is tokenised once (A22).  The join runs only
-    over a row's own features and the tokens they share with its text, never
-    text x all features.  Output: (key, n_features, n_covered, out).
+    ``rows`` = (key, ref_key, text), ``refs`` = (ref_key, features array):
+    a text is scored against the feature list of the product it belongs to,
+    never against all features.  Feature lists are tokenised once per
+    referenced product (A22: each feature text is encoded once per product,
+    not once per text), and a text meets them through one equi-join on
+    (product, token).  Output: (key, n_features, n_covered, out).
     """
-    base = rows.select(key, text_col, features_col)
-    feats = base.select(key, F.posexplode(features_col).alias("pos", "feature"))
-    distinct_feats = feats.select("feature").distinct()
-    ftf = term_counts(distinct_feats, ["feature"], "feature").withColumnRenamed("tf", "ftf")
-    fn = ftf.groupBy("feature").agg(F.sum(F.col("ftf") * F.col("ftf")).alias("_n2f"))
-    ctf = term_counts(base, [key], text_col)
+    r = rows.select(key, ref_key, text_col)
+    used = refs.select(ref_key, features_col).join(r.select(ref_key).distinct(), ref_key, "left_semi")
+    feats = used.select(ref_key, F.posexplode(features_col).alias("pos", "feature"))
+    ftf = feats.select(ref_key, "pos", F.explode(word_tokens("feature")).alias("token")) \
+        .groupBy(ref_key, "pos", "token").agg(F.count(F.lit(1)).alias("ftf"))
+    fn = ftf.groupBy(ref_key, "pos").agg(F.sum(F.col("ftf") * F.col("ftf")).alias("_n2f"))
+    # every kept feature has a token, so the feature count comes from the same
+    # per-product table (the product side is then read once)
+    nfeat = fn.groupBy(ref_key).agg(F.count(F.lit(1)).alias("n_features"))
+    ctf = term_counts(r, [key, ref_key], text_col)
     cn = squared_norms(ctf, [key], "_n2t")
-    pair_tokens = feats.join(ftf, "feature").join(ctf, [key, "token"])
-    dots = pair_tokens.groupBy(key, "pos", "feature").agg(F.sum(F.col("tf") * F.col("ftf")).alias("_dot"))
-    sims = dots.join(fn, "feature").join(cn, key) \
-        .select(key, "pos", cosine_from_parts(F.col("_dot"), F.col("_n2t"), F.col("_n2f")).alias("_sim"))
+    dots = ctf.join(ftf, [ref_key, "token"]).groupBy(key, ref_key, "pos") \
+        .agg(F.sum(F.col("tf") * F.col("ftf")).alias("_dot"))
+    sims = dots.join(fn, [ref_key, "pos"]).join(cn, key) \
+        .select(key, cosine_from_parts(F.col("_dot"), F.col("_n2t"), F.col("_n2f")).alias("_sim"))
     covered = sims.groupBy(key).agg(F.count_if(F.col("_sim") >= threshold).alias("_cov"))
-    res = base.select(key, F.size(features_col).alias("n_features")).join(covered, key, "left")
+    res = r.select(key, ref_key).join(nfeat, ref_key, "left").join(covered, key, "left")
+    n = F.coalesce("n_features", F.lit(0)).cast("bigint")
     n_cov = F.coalesce("_cov", F.lit(0)).cast("bigint")
-    return res.select(
-        key, F.col("n_features").cast("bigint").alias("n_features"), n_cov.alias("n_covered"),
-        F.when(F.col("n_features") > 0, n_cov.cast("double") / F.col("n_features")).otherwise(F.lit(0.0)).alias(out),
-    )
+    return res.select(key, n.alias("n_features"), n_cov.alias("n_covered"),
+                      F.when(n > 0, n_cov.cast("double") / n).otherwise(F.lit(0.0)).alias(out))

@@ -253,9 +253,8 @@ def q_max_gold_similarity(spark, sf):
 
 def coverage(spark, sf) -> DataFrame:
     c, p = _cand_products(spark, sf)
-    rows = c.join(p.select("product_id", "combined"), "product_id", "left") \
-        .withColumn("combined", F.coalesce("combined", F.array().cast("array<string>")))
-    return S.feature_coverage(rows, "candidate_ord", "marketing_text", "combined", CFG.coverage_threshold)
+    return S.feature_coverage(c, "candidate_ord", "marketing_text", p, "product_id", "combined",
+                              CFG.coverage_threshold)
 
 
 def q_feature_coverage(spark, sf):

@@ -24,6 +24,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # joins on (text key, token) may reuse a partitioning by the text key
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)

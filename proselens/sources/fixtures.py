@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from proselens.config import EvalConfig
 from proselens.functions.scoring import normalize_coverage
+from proselens.sources.readers import split_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan a driver table; see ``readers.split_scan`` for the split rule."""
+    return split_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _d(x: float) -> Column:

@@ -12,15 +12,29 @@ from pyspark.sql import functions as F
 from proselens.functions.text import py_strip
 
 
+def split_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the default parallelism.
+
+    A file written as one row group is read by one task, and every per-row
+    text expression after it would run on one core.  Such scans are
+    re-split round-robin; scans with enough splits (any large input) are
+    returned unchanged, so this costs nothing at scale.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        return reader.option("header", True).option("multiLine", True).csv(path)
+        return split_scan(reader.option("header", True).option("multiLine", True).csv(path))
     if fmt == "json":
-        return reader.json(path)
-    return reader.format(fmt).load(path)
+        return split_scan(reader.json(path))
+    return split_scan(reader.format(fmt).load(path))
 
 
 def read_product_export(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
