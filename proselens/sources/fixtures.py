@@ -17,9 +17,21 @@ from proselens.functions.scoring import normalize_coverage
 from proselens.sources.readers import split_scan
 
 
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan a driver table; see ``readers.split_scan`` for the split rule."""
-    return split_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """Scan a driver table; see ``readers.split_scan`` for the split rule.
+
+    The scan DataFrame is reused within a session (DataFrames are immutable),
+    so a query that reads a table in several branches resolves its schema
+    once.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    k = (id(spark), path)
+    if k not in _SCANS:
+        _SCANS[k] = split_scan(spark.read.parquet(path))
+    return _SCANS[k]
 
 
 def _d(x: float) -> Column:
@@ -64,7 +76,9 @@ def scored_candidates(spark: SparkSession, sf_dir: str, cfg: EvalConfig = EvalCo
               .when(d % 7 == 5, F.lit("Solid text")))
     cov = (d % 11).cast("double") / _d(10.0)
     nfeat = (d % 7).cast("int")
-    first_of_text = Window.partitionBy("iteration", "marketing_text")
+    # first row of each identical text per iteration; partitioning by a
+    # SHA-256 of the text lets the text itself be pruned before the shuffle
+    first_of_text = Window.partitionBy("iteration", F.sha2(F.col("marketing_text"), 256))
     return c.select(
         "candidate_ord", "product_id", "model", "iteration", "prompt_family", "prompt_name",
         "marketing_text", "char_len", "lang", "source",
