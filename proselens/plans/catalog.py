@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselens.config import EvalConfig
-from proselens.functions.text import display_name
 from proselens.operators import products as P
 from proselens.operators import replies as R
 from proselens.operators import report as RP

@@ -56,3 +56,14 @@ def figure_tables(runs: DataFrame, cfg: EvalConfig = EvalConfig()) -> dict[str,
         "coverage_trend": RP.mean_by(runs, ["dataset", "model", "iteration"], "semantic_feature_coverage_normalized",
                                      "mean_coverage_normalized"),
     }
+
+
+def union_iterations(frames: list[DataFrame]) -> DataFrame | None:
+    """Result tables of several iterations as one table (columns missing
+    in some iterations become NULL); ``None`` when there is nothing."""
+    out = None
+    for f in frames:
+        if f is None:
+            continue
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    return out

@@ -17,7 +17,7 @@ from proselens.functions.scoring import normalize_coverage
 from proselens.sources.readers import split_scan
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
+_SCANS: dict[tuple[SparkSession, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     once.
     """
     path = f"{sf_dir}/{name}.parquet"
-    k = (id(spark), path)
+    k = (spark, path)  # the session object itself, so a later session never reuses an entry
     if k not in _SCANS:
         _SCANS[k] = split_scan(spark.read.parquet(path))
     return _SCANS[k]

@@ -75,3 +75,14 @@ def read_results(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet
         d = read_table(spark, p, fmt).withColumn("dataset", F.lit(name))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def read_standard_products(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Already standardised products.  A ``features`` column stored as
+    list text is parsed once here (X6), so later steps always see an array."""
+    from proselens.functions.jsonx import parse_list_text
+
+    df = read_table(spark, path, fmt)
+    if "features" in df.columns and dict(df.dtypes)["features"] == "string":
+        df = df.withColumn("features", parse_list_text("features"))
+    return df

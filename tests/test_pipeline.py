@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from proselens.config import EvalConfig
 from proselens.operators import encoders as E
 from proselens.operators import report as RP
 from proselens.operators.common import materialize
