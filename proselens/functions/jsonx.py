@@ -92,3 +92,38 @@ def parse_list_text(c) -> Column:
     parsed = F.from_json(F.replace(t, F.lit("'"), F.lit('"')), "array<string>")
     return (F.when(t.isNull() | (t == ""), F.array().cast("array<string>"))
             .otherwise(F.coalesce(parsed, F.array(t))))
+
+
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it in ``fn(v)``: ``get(transform(array(value), fn), 0)``.
+
+    The bound value appears once in the expression tree however often
+    ``fn`` uses it, so plans stay linear in size even after the optimizer
+    substitutes the expression into pushed-down filters.
+    """
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def _first_object_of(wrapped: Column) -> Column:
+    return let(F.try_variant_get(wrapped, "$[0]", "variant"), lambda first: F.when(
+        F.try_variant_get(wrapped, "$[1]", "variant").isNull() & F.schema_of_variant(first).startswith("OBJECT"),
+        first))
+
+
+def parse_json_tolerant(raw) -> Column:
+    """``tolerant_json(repaired_text(raw))`` as one expression with every
+    intermediate text bound once (see ``let``); the form used by the reply
+    operators."""
+    def from_raw(r):
+        def from_span(span):
+            def from_c0(c0):
+                def from_rep(rep):
+                    more_open = _count(rep, "{") > _count(rep, "}")
+                    return let(_first_object_of(F.try_parse_json(F.concat(F.lit("["), rep, F.lit("]")))),
+                               lambda o1: F.coalesce(o1, F.when(o1.isNull() & more_open, _first_object_of(
+                                   F.try_parse_json(F.concat(F.lit("["), rep, F.lit("}]")))))))
+                c1 = F.when(c0.contains("'") & ~c0.contains('"'), F.replace(c0, F.lit("'"), F.lit('"'))).otherwise(c0)
+                return let(F.when(r.isNotNull() & (r != ""), F.regexp_replace(c1, _TRAILING_COMMA, "}")), from_rep)
+            return let(F.when(span != "", span).otherwise(py_strip(r)), from_c0)
+        return let(F.regexp_extract(r, _SPAN, 0), from_span)
+    return let(col_(raw), from_raw)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselens.functions.jsonx import get_bool, get_double, get_string, has_key, repaired_text, tolerant_json
+from proselens.functions.jsonx import get_bool, get_double, get_string, has_key, parse_json_tolerant
 
 CLAIMS_TYPE = "array<struct<claim:string,issue:string,severity:string>>"
 GENERATION_KEYS = ["header", "subheader", "marketing_text"]
@@ -23,8 +23,7 @@ def parse_replies(replies: DataFrame, raw: str = "raw") -> DataFrame:
     status: ``no_reply`` (NULL or empty), ``parse_error`` (no object, or an
     empty object, which a truthiness test rejects), ``ok``.
     """
-    r = replies.withColumn("_repaired", repaired_text(raw))
-    r = r.withColumn("parsed", tolerant_json("_repaired")).drop("_repaired")
+    r = replies.withColumn("parsed", parse_json_tolerant(raw))
     empty_obj = F.schema_of_variant("parsed") == "OBJECT<>"
     status = (F.when(F.col(raw).isNull() | (F.col(raw) == ""), F.lit("no_reply"))
               .when(F.col("parsed").isNull() | empty_obj, F.lit("parse_error"))

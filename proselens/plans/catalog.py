@@ -370,4 +370,19 @@ def q_lexical_duplicates(spark, sf):
     return c.join(g, "_sig").select("candidate_ord", "first_ord", "group_size")
 
 
+# --- one iteration end to end (H4) -------------------------------------------------
+
+def q_iteration_results(spark, sf):
+    """Reply table -> valid texts -> measures, judge and fact-check fields ->
+    composite score, gates and labels (one row per valid generated text)."""
+    from proselens.plans.iteration import iteration_results
+    res = iteration_results(FX.text_replies(spark, sf), products(spark, sf), FX.gold(spark, sf), CFG)
+    dbl = ["judge_score", "relevance_score", "generalization_score", "hallucination_score",
+           "semantic_attribute_alignment", "semantic_feature_coverage", "semantic_feature_coverage_normalized",
+           "sbert", "overall_score"]
+    return res.select("candidate_ord", "iteration", "model", "product_id", "prompt_name", "char_len", "in_range",
+                      "judge_reason", "has_hallucination", *[r6(c).alias(c) for c in dbl],
+                      "passed_quality_gates", "gate_failure_reason", "rejection_reasons")
+
+
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_")}

@@ -28,7 +28,8 @@ def iteration_results(replies: DataFrame, products: DataFrame, gold: DataFrame |
     gen = R.valid_generations(parsed.filter(F.col("kind") == "generation")) \
         .select(key, *KEY, "header", "subheader", "marketing_text")
     judge = R.judge_fields(parsed.filter(F.col("kind") == "judge")) \
-        .select(key, "judge_score", "relevance_score", "generalization_score", "judge_reason")
+        .select(key, "judge_score", "relevance_score", "generalization_score", "judge_reason",
+                F.lit(True).alias("_judge"))
     fact = R.factcheck_fields(parsed.filter(F.col("kind") == "factcheck")) \
         .select(key, "has_hallucination", "hallucination_score",
                 F.to_json("hallucinated_claims").alias("hallucinated_claims"), F.lit(True).alias("_fact"))
@@ -48,11 +49,11 @@ def iteration_results(replies: DataFrame, products: DataFrame, gold: DataFrame |
         "relevance_score_secondary": F.lit(None).cast("double"),
         "generalization_score_secondary": F.lit(None).cast("double"),
         # defaults of the row builder: a candidate without a judge / factcheck row
-        "judge_reason": F.coalesce("judge_reason", F.lit("")),
+        "judge_reason": F.when(F.col("_judge").isNull(), F.lit("")).otherwise(F.col("judge_reason")),
         "hallucination_score": F.when(F.col("_fact").isNull(), F.lit(10.0)).otherwise(F.col("hallucination_score")),
         "hallucinated_claims": F.coalesce("hallucinated_claims", F.lit("[]")),
         "sbert": F.coalesce("sbert", F.lit(0.0)),
         # prompt family = versioned prompt name without its "_iterN" suffix
         "prompt_family": F.regexp_replace("prompt_name", r"_iter[0-9]+$", ""),
     })
-    return add_scores(rows.drop("_fact"), cfg)
+    return add_scores(rows.drop("_fact", "_judge"), cfg)

@@ -748,5 +748,73 @@ SELECT candidate_ord, first_ord, group_size FROM (
 WHERE group_size > 1"""
 
 
+
+# --- one iteration end to end (H4) ---------------------------------------------------
+
+CTES["t_replies"] = """
+SELECT candidate_ord, product_id, model, iteration, prompt_name, 'generation' AS kind,
+       CASE WHEN candidate_ord % 5 = 1 THEN 'Here is my answer:' || chr(10) || body
+            WHEN candidate_ord % 5 = 2 THEN body || chr(10) || 'Let me know if you need more.'
+            WHEN candidate_ord % 5 = 4 THEN NULL ELSE body END AS raw
+FROM (SELECT *, CAST(to_json({'header': 'Header ' || CAST(candidate_ord AS VARCHAR),
+                               'subheader': lang || ' ' || source, 'marketing_text': marketing_text}) AS VARCHAR) AS body
+      FROM candidates)
+UNION ALL
+SELECT candidate_ord, product_id, model, iteration, prompt_name, kind, raw FROM replies WHERE kind <> 'generation'"""
+CTES["t_repaired"] = CTES["repaired"].replace("FROM replies", "FROM t_replies")
+CTES["t_parsed"] = CTES["parsed"].replace("FROM repaired", "FROM t_repaired")
+
+CTES["h_gen"] = f"""
+SELECT candidate_ord, iteration, model, product_id, prompt_name,
+       json_extract_string(j, '$.marketing_text') AS marketing_text,
+       CAST(length(coalesce(json_extract_string(j, '$.marketing_text'), '')) AS INTEGER) AS char_len
+FROM t_parsed WHERE kind = 'generation' AND {_VALID}"""
+CTES["h_judge"] = Q["judge_defaults"].replace("FROM parsed", "FROM t_parsed")
+CTES["h_fact"] = Q["factcheck_defaults"].replace("FROM parsed", "FROM t_parsed")
+CTES["h_tf"] = tf_cte("h_gen", "candidate_ord, product_id", "marketing_text")
+CTES["h_norm"] = "SELECT candidate_ord, sum(tf * tf) AS n2 FROM h_tf GROUP BY candidate_ord"
+CTES["h_align"] = f"""
+SELECT c.candidate_ord, {cos('coalesce(dt.dot, 0)', 'coalesce(cn.n2, 0)', 'coalesce(an.n2, 0)')} AS align
+FROM h_gen c
+LEFT JOIN h_norm cn ON cn.candidate_ord = c.candidate_ord
+LEFT JOIN (SELECT product_id, sum(tf * tf) AS n2 FROM attr_tf GROUP BY product_id) an ON an.product_id = c.product_id
+LEFT JOIN (SELECT ct.candidate_ord, sum(ct.tf * atf.tf) AS dot FROM h_tf ct
+           JOIN attr_tf atf ON atf.product_id = ct.product_id AND atf.token = ct.token GROUP BY ct.candidate_ord) dt
+       ON dt.candidate_ord = c.candidate_ord"""
+CTES["h_cov"] = (CTES["cov_counts"].replace("FROM candidates c", "FROM h_gen c")
+                 .replace("JOIN cand_tf ct", "JOIN h_tf ct").replace("JOIN cand_norm cn", "JOIN h_norm cn"))
+CTES["h_sbert"] = Q["max_gold_similarity"].replace("FROM candidates c", "FROM h_gen c") \
+    .replace("FROM cand_tf ct", "FROM h_tf ct").replace("JOIN cand_norm cn", "JOIN h_norm cn")
+CTES["h_rows"] = f"""
+SELECT g.*, g.char_len BETWEEN 450 AND 600 AS in_range,
+       j.judge_score, j.relevance_score, j.generalization_score,
+       CASE WHEN j.candidate_ord IS NULL THEN '' ELSE j.judge_reason END AS judge_reason,
+       f.has_hallucination, CASE WHEN f.candidate_ord IS NULL THEN 10.0 ELSE f.hallucination_score END AS hallucination_score,
+       al.align AS semantic_attribute_alignment,
+       CASE WHEN cv.n_features > 0 THEN CAST(cv.n_covered AS DOUBLE) / cv.n_features ELSE 0.0 END AS semantic_feature_coverage,
+       cv.n_features AS num_features, sb.sbert
+FROM h_gen g
+LEFT JOIN h_judge j ON j.candidate_ord = g.candidate_ord
+LEFT JOIN h_fact f ON f.candidate_ord = g.candidate_ord
+LEFT JOIN h_align al ON al.candidate_ord = g.candidate_ord
+LEFT JOIN h_cov cv ON cv.candidate_ord = g.candidate_ord
+LEFT JOIN h_sbert sb ON sb.candidate_ord = g.candidate_ord"""
+CTES["h_scored"] = f"""
+SELECT *, {norm_cov('semantic_feature_coverage', 'num_features')} AS semantic_feature_coverage_normalized FROM h_rows"""
+CTES["h_overall"] = _OV.format(src="h_scored")
+CTES["h_results"] = CTES["results"].replace("FROM overall)", "FROM h_overall)")
+
+Q["iteration_results"] = """
+SELECT candidate_ord, iteration, model, product_id, prompt_name, char_len, in_range, judge_reason, has_hallucination,
+       round(judge_score, 6) AS judge_score, round(relevance_score, 6) AS relevance_score,
+       round(generalization_score, 6) AS generalization_score, round(hallucination_score, 6) AS hallucination_score,
+       round(semantic_attribute_alignment, 6) AS semantic_attribute_alignment,
+       round(semantic_feature_coverage, 6) AS semantic_feature_coverage,
+       round(semantic_feature_coverage_normalized, 6) AS semantic_feature_coverage_normalized,
+       round(sbert, 6) AS sbert, round(overall_score, 6) AS overall_score,
+       passed_quality_gates, gate_failure_reason, rejection_reasons
+FROM h_results"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_ctes(v) for k, v in Q.items()}

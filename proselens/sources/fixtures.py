@@ -127,7 +127,12 @@ def _reply_bodies(d: Column) -> dict[str, Column]:
     return {"generation": gen, "judge": judge, "factcheck": fact}
 
 
-def _variant(body: Column, v: Column) -> Column:
+def _variant(body_: Column, v: Column) -> Column:
+    from proselens.functions.jsonx import let
+    return let(body_, lambda body: _variant_of(body, v))
+
+
+def _variant_of(body: Column, v: Column) -> Column:
     cut = F.substring(body, F.lit(1), F.length(body) - 1)
     return (F.when(v == 0, body)
             .when(v == 1, F.concat(F.lit(REPLY_PREFIX), body))
@@ -147,7 +152,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for k, kind in enumerate(KINDS):
         v = (d + k) % 8
-        raw = _variant(bodies[kind], v)
+        raw = _variant(F.col("_body"), v)
         if kind == "generation":
             raw = (F.when(d % 50 == 4, F.lit('{"header": "H", "subheader": null}'))
                    .when(d % 50 == 5, F.lit('{"header": "H", "subheader": "S", "marketing_text": null}'))
@@ -158,8 +163,9 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                    .otherwise(raw))
         else:
             raw = F.when(d % 50 == 3, F.lit('{"has_hallucination": false}')).otherwise(raw)
-        part = c.select("candidate_ord", "product_id", "model", "iteration", "prompt_name",
-                        F.lit(kind).alias("kind"), raw.alias("raw"))
+        part = c.withColumn("_body", bodies[kind]).select(
+            "candidate_ord", "product_id", "model", "iteration", "prompt_name",
+            F.lit(kind).alias("kind"), raw.alias("raw"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -228,3 +234,21 @@ def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_candidates(spark, sf_dir)
     return s.withColumn("dataset", F.when(F.col("lang") == "en", F.lit("with_reference"))
                         .otherwise(F.lit("without_reference")))
+
+
+def text_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies whose generation kind carries the document text as
+    ``marketing_text`` (JSON-encoded; some wrapped in prose, some missing);
+    judge and fact-check replies as in ``replies``."""
+    c = candidates(spark, sf_dir)
+    d = F.col("candidate_ord")
+    body = F.to_json(F.struct(F.concat(F.lit("Header "), d.cast("string")).alias("header"),
+                              F.concat(F.col("lang"), F.lit(" "), F.col("source")).alias("subheader"),
+                              F.col("marketing_text")))
+    v = d % 5
+    b = F.col("_body")
+    raw = (F.when(v == 1, F.concat(F.lit(REPLY_PREFIX), b)).when(v == 2, F.concat(b, F.lit(REPLY_SUFFIX)))
+           .when(v == 4, F.lit(None).cast("string")).otherwise(b))
+    gen = c.withColumn("_body", body).select("candidate_ord", "product_id", "model", "iteration", "prompt_name",
+                   F.lit("generation").alias("kind"), raw.alias("raw"))
+    return gen.unionByName(replies(spark, sf_dir).filter(F.col("kind") != "generation"))
