@@ -34,6 +34,7 @@ HEADLINE = [
     "vector_cosine_topk",      # X3 dense
     "unique_per_iteration",    # D2
     "unique_texts",            # D1
+    "iteration_results",       # H4: replies -> measures -> score, gates, labels
 ]
 
 
