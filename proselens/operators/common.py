@@ -53,7 +53,8 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     folder (``spark.checkpoint.dir``) and reading it back.
 
     Unlike ``Dataset.checkpoint`` the plan runs once, and the files survive
-    the loss of any executor.
+    the loss of any executor.  ``release`` deletes the files when a later
+    stage no longer reads them.
     """
     import uuid
 
@@ -62,7 +63,23 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/proselens-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+_PATHS: dict[int, str] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files behind a DataFrame returned by ``materialize``."""
+    path = _PATHS.pop(id(df), None)
+    if path is None:
+        return
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:

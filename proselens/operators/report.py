@@ -52,6 +52,8 @@ def rejection_patterns(results: DataFrame, threshold: float = 7.0, keys: Sequenc
     counts = rej.select(*keys, F.explode("_labels").alias("reason")).groupBy(*keys, "reason") \
         .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
     totals = rej.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("rejected"))
+    # without keys ``totals`` is a single-row aggregate: the product has as
+    # many rows as ``counts`` (one per label)
     out = counts.join(totals, list(keys)) if keys else counts.crossJoin(totals)
     return out.select(*keys, "reason", display_name("reason").alias("reason_display"), "count",
                       r6(F.col("count") * 100.0 / F.col("rejected")).alias("pct_of_rejected"))
@@ -108,6 +110,7 @@ def quality_summary(results: DataFrame, threshold: float = 7.0, cfg: EvalConfig
     )
     tot = results.agg(F.count(F.lit(1)).cast("bigint").alias("total_outputs"),
                       F.count_if(F.col("overall_score") < threshold).cast("bigint").alias("rejected_count"))
+    # both sides are single-row aggregates
     return tot.crossJoin(pat).select(
         "total_outputs", "rejected_count",
         r6(F.try_divide(F.col("rejected_count").cast("double"), F.col("total_outputs"))).alias("rejection_rate"),

@@ -37,13 +37,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to a shared file system.  Only when it is unset (tests,
-    local runs) a fresh scratch folder is created and registered.
+    A cluster sets it to a shared file system and the context picks it up at
+    start.  Only when nothing is set (tests, local runs) a fresh scratch
+    folder is created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="proselens-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc = spark.sparkContext
+    cur = sc.getCheckpointDir()
+    if cur:
+        return cur
+    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="proselens-ckpt-")
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
