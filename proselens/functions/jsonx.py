@@ -1,6 +1,6 @@
 """Tolerant JSON reading of model replies (native expressions, no UDF).
 
-``tolerant_json(raw)`` repairs a reply the way a forgiving reader would:
+``parse_json_tolerant(raw)`` repairs a reply the way a forgiving reader would:
 
 1. NULL or empty reply -> NULL.
 2. Take the span from the first ``{`` to the last ``}`` (dot matches newline);
@@ -32,38 +32,6 @@ def _count(c: Column, ch: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
 
 
-def _parse_object(c: Column) -> Column:
-    wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    first = F.try_variant_get(wrapped, "$[0]", "variant")
-    single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    is_obj = F.schema_of_variant(first).startswith("OBJECT")
-    return F.when(single & is_obj, first)
-
-
-def repaired_text(raw) -> Column:
-    """Steps 1-4: the candidate text that is handed to the parser."""
-    r = col_(raw)
-    span = F.regexp_extract(r, _SPAN, 0)
-    cand = F.when(span != "", span).otherwise(py_strip(r))
-    cand = F.when(cand.contains("'") & ~cand.contains('"'),
-                  F.replace(cand, F.lit("'"), F.lit('"'))).otherwise(cand)
-    cand = F.regexp_replace(cand, _TRAILING_COMMA, "}")
-    return F.when(r.isNotNull() & (r != ""), cand)
-
-
-def tolerant_json(raw) -> Column:
-    """Parsed reply as VARIANT (object) or NULL.  See module doc.
-
-    Callers should materialise ``repaired_text`` in its own column first
-    (``withColumn``) so that the repaired text is not expanded twice.
-    """
-    c = col_(raw)
-    first = _parse_object(c)
-    more_open = _count(c, "{") > _count(c, "}")
-    second = F.when(more_open, _parse_object(F.concat(c, F.lit("}"))))
-    return F.coalesce(first, second)
-
-
 def has_key(v, key: str) -> Column:
     """Key present (a JSON null value still counts as present)."""
     return F.try_variant_get(col_(v), f"$.{key}", "variant").isNotNull()
@@ -111,9 +79,8 @@ def _first_object_of(wrapped: Column) -> Column:
 
 
 def parse_json_tolerant(raw) -> Column:
-    """``tolerant_json(repaired_text(raw))`` as one expression with every
-    intermediate text bound once (see ``let``); the form used by the reply
-    operators."""
+    """Steps 1-5 of the module doc as one expression (VARIANT object or
+    NULL), every intermediate text bound once (see ``let``)."""
     def from_raw(r):
         def from_span(span):
             def from_c0(c0):
