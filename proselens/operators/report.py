@@ -91,7 +91,8 @@ def worst_example(results: DataFrame, threshold: float = 7.0, order_col: str = "
     """The rejected row with the lowest overall score (first on ties)."""
     rej = with_labels(results.filter(F.col("overall_score") < threshold), cfg)
     best = rej.agg(F.min_by(F.struct(*[c for c in rej.columns]),
-                            F.struct(F.col("overall_score"), F.col(order_col))).alias("w")).select("w.*")
+                            F.struct(F.col("overall_score"), F.col(order_col))).alias("w")) \
+        .filter(F.col("w").isNotNull()).select("w.*")  # nothing rejected -> no row
     return best.select(order_col, "product_id", r6("overall_score").alias("overall_score"),
                        r6("judge_score").alias("judge_score"), r6("relevance_score").alias("relevance_score"),
                        r6("hallucination_score").alias("hallucination_score"),
@@ -110,8 +111,8 @@ def quality_summary(results: DataFrame, threshold: float = 7.0, cfg: EvalConfig
     )
     tot = results.agg(F.count(F.lit(1)).cast("bigint").alias("total_outputs"),
                       F.count_if(F.col("overall_score") < threshold).cast("bigint").alias("rejected_count"))
-    # both sides are single-row aggregates
-    return tot.crossJoin(pat).select(
+    # both sides are single-row aggregates; nothing rejected -> no summary
+    return tot.crossJoin(pat.filter(F.col("top_issue").isNotNull())).select(
         "total_outputs", "rejected_count",
         r6(F.try_divide(F.col("rejected_count").cast("double"), F.col("total_outputs"))).alias("rejection_rate"),
         "top_issue", F.col("top_issue_count").cast("bigint").alias("top_issue_count"), "all_patterns")
