@@ -79,10 +79,12 @@ def max_reference_similarity(rows: DataFrame, key: str, text_col: str, refs: Dat
     gtf = term_counts(refs.select(ref_key, F.col(ref_text_col).alias("_gt")), [ref_key], "_gt") \
         .withColumnRenamed("tf", "gtf")
     gn = gtf.groupBy(ref_key).agg(F.sum(F.col("gtf") * F.col("gtf")).alias("_n2b"))
+    # one check bounds both tables: there are never more norms than term rows
     gtf_b = broadcast_if_small(gtf)
+    gn_b = F.broadcast(gn) if gtf_b is not gtf else gn
     dots = ctf.join(gtf_b, "token").groupBy(key, ref_key).agg(F.sum(F.col("tf") * F.col("gtf")).alias("_dot"))
     cn = squared_norms(ctf, [key], "_n2a")
-    sims = dots.join(broadcast_if_small(gn), ref_key).join(cn, key) \
+    sims = dots.join(gn_b, ref_key).join(cn, key) \
         .select(key, cosine_from_parts(F.col("_dot"), F.col("_n2a"), F.col("_n2b")).alias("_sim"))
     best = sims.groupBy(key).agg(F.max("_sim").alias("_best"))
     return base.select(key).join(best, key, "left").select(key, F.coalesce("_best", F.lit(0.0)).alias(out))
