@@ -385,4 +385,17 @@ def q_iteration_results(spark, sf):
                       "passed_quality_gates", "gate_failure_reason", "rejection_reasons")
 
 
+def q_evaluate_texts(spark, sf):
+    """H3: attribute alignment, paired gold similarity, feature coverage and
+    duplicate flags (0.99) for every candidate, in one evaluation plan."""
+    from proselens.plans.evaluate import evaluate_texts
+    c = FX.candidates(spark, sf).select("candidate_ord", "product_id", "marketing_text",
+                                        (F.col("candidate_ord") % 40).alias("gold_id"))
+    ev = evaluate_texts(c, products(spark, sf), gold=FX.gold(spark, sf), cfg=CFG)
+    return ev.select("candidate_ord", r6("semantic_attribute_alignment").alias("semantic_attribute_alignment"),
+                     r6("semantic_similarity_gold").alias("semantic_similarity_gold"),
+                     r6("semantic_feature_coverage").alias("semantic_feature_coverage"), "num_features",
+                     "is_unique", "duplicate_of_candidate", r6("duplicate_similarity").alias("duplicate_similarity"))
+
+
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_")}

@@ -816,5 +816,15 @@ SELECT candidate_ord, iteration, model, product_id, prompt_name, char_len, in_ra
 FROM h_results"""
 
 
+Q["evaluate_texts"] = f"""
+SELECT al.candidate_ord, al.semantic_attribute_alignment, pg.semantic_similarity_gold,
+       fc.semantic_feature_coverage, fc.n_features AS num_features,
+       ut.is_unique, ut.duplicate_of_candidate, ut.duplicate_similarity
+FROM ({Q["attribute_alignment"]}) al
+JOIN ({Q["paired_gold_similarity"]}) pg ON pg.candidate_ord = al.candidate_ord
+JOIN ({Q["feature_coverage"]}) fc ON fc.candidate_ord = al.candidate_ord
+JOIN ({dedup_sql(0.99, False)}) ut ON ut.candidate_ord = al.candidate_ord"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_ctes(v) for k, v in Q.items()}
