@@ -52,12 +52,14 @@ def add_scores(df: DataFrame, cfg: EvalConfig = EvalConfig()) -> DataFrame:
 
     Labels are only computed for rows that fail a gate (blank otherwise).
     """
-    out = df.withColumn("overall_score", overall_score())
-    out = out.withColumn("_gate", gate_failure())
-    out = out.withColumn("passed_quality_gates", F.col("_gate").isNull())
-    out = out.withColumn("gate_failure_reason", F.coalesce("_gate", F.lit("")))
-    out = out.withColumn("rejection_reasons", F.when(F.col("passed_quality_gates"), F.lit(""))
-                         .otherwise(F.array_join(rejection_labels(cfg), ", ")))
+    # the gates read overall_score, so it is defined in its own step
+    out = df.withColumn("overall_score", overall_score()).withColumn("_gate", gate_failure())
+    passed = F.col("_gate").isNull()
+    out = out.withColumns({
+        "passed_quality_gates": passed,
+        "gate_failure_reason": F.coalesce("_gate", F.lit("")),
+        "rejection_reasons": F.when(passed, F.lit("")).otherwise(F.array_join(rejection_labels(cfg), ", ")),
+    })
     return out.drop("_gate")
 
 
