@@ -113,6 +113,14 @@ def test_streaming_replies(spark, tmpdir_path):
     a = {(r["candidate_ord"], r["judge_reason"]) for r in got.collect()}
     b = {(r["candidate_ord"], r["judge_reason"]) for r in batch.collect()}
     assert a == b
+    fout = os.path.join(tmpdir_path, "fact")
+    q2 = SR.write_partitioned(SR.parsed_factcheck_stream(SR.reply_stream(spark, src)), fout,
+                              os.path.join(tmpdir_path, "ckpt2"), trigger_once=True)
+    q2.awaitTermination(300)
+    fb = {r["candidate_ord"]: (r["hallucination_score"], r["explanation"])
+          for r in catalog.q_factcheck_defaults(spark, SF001).collect()}
+    fs = {r["candidate_ord"]: (r["hallucination_score"], r["explanation"]) for r in spark.read.parquet(fout).collect()}
+    assert fs == fb
 
 
 def test_encoder_and_dense_similarity(spark):
