@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +27,39 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary, pattern, capacity=1024).drop("ids")
 
 
+def op2_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.sharding import shard_documents
+
+    out = shard_documents(_table(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.warc import archive_and_read
+
+    out = archive_and_read(_table(spark, sf_dir, "pages"), least_revisit_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.urlfilter import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_karmarkar_karp_sharding": op2_karmarkar_karp_sharding,
+    "op4_license_rules": op4_license_rules,
+    "op9_warc_index": op9_warc_index,
+    "op10_url_template_filter": op10_url_template_filter,
 }
 
 SQL: dict[str, str] = {}
