@@ -41,6 +41,14 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.toxicity import held_out, score_documents, train
+
+    documents = _table(spark, sf_dir, "documents")
+    scored = score_documents(documents, train(documents, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proselens.llm.warc import archive_and_read
 
@@ -58,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_karmarkar_karp_sharding": op2_karmarkar_karp_sharding,
     "op4_license_rules": op4_license_rules,
+    "op7_weak_toxicity": op7_weak_toxicity,
     "op9_warc_index": op9_warc_index,
     "op10_url_template_filter": op10_url_template_filter,
 }

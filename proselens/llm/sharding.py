@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,19 +108,24 @@ def number(rows: DataFrame, by: str, scratch: Scratch) -> DataFrame:
     ship(rows.sparkSession)
     fields = rows.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         seen: dict[int, int] = {}
         part = TaskContext.get().partitionId()
-        for pdf in batches:
-            place = pdf.groupby(by).cumcount() + pdf[by].map(seen).fillna(0).astype("int64")
-            for k, n in pdf[by].value_counts().items():
-                seen[k] = seen.get(k, 0) + int(n)
-            yield pdf.assign(part=part, place=place)
+        for batch in batches:
+            values = batch.column(by).to_numpy(zero_copy_only=False)
+            place = np.empty(len(values), dtype=np.int64)
+            for v in np.unique(values).tolist():
+                at = np.flatnonzero(values == v)
+                place[at] = seen.get(v, 0) + np.arange(len(at))
+                seen[v] = seen.get(v, 0) + len(at)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(values), part, np.int32)), pa.array(place)],
+                names=[*batch.schema.names, "part", "place"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    placed = scratch.write(rows.mapInPandas(run, f"{schema}, part int, place long"), "placed")
+    placed = scratch.write(rows.mapInArrow(run, f"{schema}, part int, place long"), "placed")
     w = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition and value
     before = (placed.groupBy(by, "part").agg(F.count(F.lit(1)).alias("rows"))

@@ -16,7 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,19 +91,16 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_revisit_bytes: int
     joined = join_on_hot_key(rows, firsts, "sha", total=total).select("page_id", "url", "html", "first")
     folder = scratch.path("archives")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         out = name = None
         try:
-            for pdf in batches:
+            for batch in batches:
                 index = []
-                for page, url, html, first in zip(pdf["page_id"].astype(object), pdf["url"], pdf["html"],
-                                                  pdf["first"].astype(object)):
-                    page, first = (None if pd.isna(x) else int(x) for x in (page, first))
-                    url = None if pd.isna(url) else url
+                for page, url, html, first in zip(*(c.to_pylist() for c in batch.columns)):
                     payload = html.encode("utf-8", "surrogatepass")
                     revisit = page != first and first is not None and len(payload) >= least_revisit_bytes
                     digest = sha1(payload)
@@ -118,18 +115,22 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_revisit_bytes: int
                     index.append((page, url, f"{folder}/{name}", out.tell(), len(raw), digest, len(payload),
                                   "revisit" if revisit else "response", first if revisit else None))
                     out.write(raw)
-                yield _frame(index, INDEX)
+                yield _batch(index, INDEX)
         finally:
             if out is not None:
                 out.close()
 
-    return scratch.write(joined.mapInPandas(run, INDEX), "index")
+    return scratch.write(joined.mapInArrow(run, INDEX), "index")
 
 
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    names, kinds = zip(*(c.strip().split(" ") for c in schema.split(",")))
-    frame = pd.DataFrame(rows, columns=list(names))
-    return frame.astype({n: "Int64" for n, k in zip(names, kinds) if k == "long"})
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.strip().split(" ") for c in schema.split(",")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields)],
+                                      names=[n for n, _ in fields])
 
 
 def ranges(rows: list[tuple[str, int, int]], gap: int, most: int) -> Iterator[tuple[str, int, int, list[int]]]:
@@ -154,12 +155,12 @@ def read_records(index: DataFrame, with_payload: bool = True, gap: int = 64 << 1
     A revisit has no payload of its own (null)."""
     ship(index.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         held: tuple[str, object] | None = None
-        for pdf in batches:
-            rows = list(zip(pdf["file"], pdf["offset"].tolist(), pdf["length"].tolist()))
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             for file, start, end, members in ranges(rows, gap, most):
                 if held is None or held[0] != file:
                     store, path = fs.FileSystem.from_uri(file)
@@ -178,13 +179,13 @@ def read_records(index: DataFrame, with_payload: bool = True, gap: int = 64 << 1
                                 head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"],
                                 _page(head.get("WARC-Refers-To")) if revisit else None,
                                 payload if with_payload and not revisit else None))
-                yield _frame(out, RECORD)
+                yield _batch(out, RECORD)
         if held:
             held[1].close()
 
     order = ["file", "offset"]
     tasks = index.select("file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
-    return tasks.mapInPandas(run, RECORD)
+    return tasks.mapInArrow(run, RECORD)
 
 
 def archive_and_read(pages: DataFrame, least_revisit_bytes: int = 0) -> DataFrame:
