@@ -35,6 +35,12 @@ def op2_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.vptree import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
+
+
 def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proselens.llm.licenses import scan_licenses
 
@@ -65,10 +71,27 @@ def op10_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_karmarkar_karp_sharding": op2_karmarkar_karp_sharding,
+    "op3_vantage_point_search": op3_vantage_point_search,
     "op4_license_rules": op4_license_rules,
     "op7_weak_toxicity": op7_weak_toxicity,
     "op9_warc_index": op9_warc_index,
     "op10_url_template_filter": op10_url_template_filter,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_vantage_point_search": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (
+            SELECT q.vec_id AS query_id, v.vec_id,
+                   list_reduce(list_transform(list_zip(q.e, v.e), lambda x: x[1] * x[2]), lambda a, b: a + b) AS score
+            FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
