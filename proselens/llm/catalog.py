@@ -55,6 +55,12 @@ def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proselens.llm.warc import archive_and_read
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_vantage_point_search": op3_vantage_point_search,
     "op4_license_rules": op4_license_rules,
     "op7_weak_toxicity": op7_weak_toxicity,
+    "op8_minhash_bayes": op8_minhash_bayes,
     "op9_warc_index": op9_warc_index,
     "op10_url_template_filter": op10_url_template_filter,
 }

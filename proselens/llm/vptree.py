@@ -174,8 +174,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, factor: float
     n, norm2 = facts["n"], float(facts["norm2"] or 0) * (1 + 1e-12)
     shards = max(1, -(-n // shard_rows))
     blocks = max(1, -(-queries.count() // query_block))
-    sample = (rows.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("vec_id"), "vec_id")
-              .limit(sample_rows).toPandas()["v"])
+    sample = (rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+              .drop_duplicates("vec_id")["v"])
     sampled = np.stack(sample.to_list()) if len(sample) else np.zeros((0, 1))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
