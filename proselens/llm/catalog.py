@@ -47,6 +47,18 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.linededup import find_blocks
+
+    return find_blocks(_table(spark, sf_dir, "documents")).drop("key")
+
+
 def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proselens.llm.toxicity import held_out, score_documents, train
 
@@ -79,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_karmarkar_karp_sharding": op2_karmarkar_karp_sharding,
     "op3_vantage_point_search": op3_vantage_point_search,
     "op4_license_rules": op4_license_rules,
+    "op5_cgk_decontamination": op5_cgk_decontamination,
+    "op6_patience_line_dedup": op6_patience_line_dedup,
     "op7_weak_toxicity": op7_weak_toxicity,
     "op8_minhash_bayes": op8_minhash_bayes,
     "op9_warc_index": op9_warc_index,

@@ -86,12 +86,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that hold at least 1 / HOT_KEYS of all rows: (key, hot = true)."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    return (counts.filter(F.col("_n") > 1).join(F.broadcast(total))
-            .filter(F.col("_n") * HOT_KEYS >= F.col("_all")).select(key))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, how: str = "inner",

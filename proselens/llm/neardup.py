@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselens.llm.common import Scratch, join_on_hot_key, pick, ship
+from proselens.llm.common import Scratch, fresh, join_on_hot_key, pick, ship
 from proselens.llm.components import components
 
 BANDS, ROWS = 30, 5
@@ -259,6 +259,24 @@ def _meet(hot: DataFrame, classes: DataFrame, comp: DataFrame, limits: list[tupl
             .groupBy("a", "b").agg(F.max("m").alias("m")))
 
 
+def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """The documents, all their columns, without those that a component's
+    smallest doc_id stands for.  Of rows that share an id one stays (the
+    smallest text hash); rows without an id stay."""
+    judged = near_duplicates(documents, **options)
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    key = fresh(documents, "near_key")
+    tagged = documents.withColumn(key, F.col("`doc_id`"))
+    gone = judged.filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    many = (pick(documents, "doc_id").filter("doc_id is not null").groupBy(F.col("doc_id").alias(key))
+            .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key))
+    left = tagged.join(gone, key, "left_anti")
+    single = left.join(many, key, "left_anti").select(*names)
+    repeated = (left.join(many, key, "left_semi").groupBy(key)
+                .agg(F.min_by(F.struct(*names), F.xxhash64("`text`")).alias("row")).select("row.*"))
+    return single.unionByName(repeated)
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
                     miss: float = MISS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proselens.llm.common import pick, ship
+from proselens.llm.common import fresh, pick, ship
 
 # Labelled documents that the models learn from, at most.
 SAMPLE_ROWS = 12_000
@@ -202,9 +202,16 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     return ToxicityModel(bias, {f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-6})
 
 
+def drop_toxic(documents: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all their columns, that are not predicted toxic."""
+    score, predicted = fresh(documents, "score"), fresh(documents, "predicted")
+    return (score_documents(documents, model, threshold, documents.columns, score, predicted)
+            .filter(F.col(f"`{predicted}`") == 0).drop(score, predicted))
+
+
 def score_documents(documents: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
-                    keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default doc_id) with score and predicted.
+                    keep: list[str] | None = None, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``keep`` columns (default doc_id) with the score and the prediction.
 
     Null texts count as empty and get the model's base score; repeated rows
     are scored each; an empty table gives no rows; other columns are ignored.
@@ -212,14 +219,14 @@ def score_documents(documents: DataFrame, model: ToxicityModel, threshold: float
     ship(documents.sparkSession)
     names = keep or ["doc_id"]
     rows = pick(documents, *dict.fromkeys([*names, "text"]))
-    schema = T.StructType([*rows.select(*names).schema.fields, T.StructField("score", T.DoubleType()),
-                           T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*rows.select(*names).schema.fields, T.StructField(score, T.DoubleType()),
+                           T.StructField(predicted, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [model.score(t.as_py() or "") for t in batch.column("text")]
             columns = [batch.column(n) for n in names]
             columns += [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, score, predicted])
 
     return rows.mapInArrow(run, schema)
