@@ -40,6 +40,9 @@ ROWS_PER_TASK = 50_000
 # A round that places less than this share of a band's pieces is the last one
 # before the band opens new sequences.
 LEAST_SHARE = 0.02
+# Sequences that a range opens at least, if there are so many: a task then has
+# up to OPEN_AT_LEAST * capacity of the smallest pieces.
+OPEN_AT_LEAST = 20
 _BYTES_PER_BATCH = 8 << 20
 
 
@@ -283,12 +286,16 @@ def pack_sizes(sizes: DataFrame, capacity: int, scratch: Scratch, rows_per_task:
             # gaps too small for the band stay as they are
             fits, rest = gaps.filter(F.col("size") > lo), gaps.filter(F.col("size") <= lo)
             events = band.unionByName(fits.select("kind", "key", "size"))
-            counts = {r["kind"]: r["count"] for r in events.groupBy("kind").count().collect()}
-            todo = counts.get(ITEM, 0)
+            facts = {r["kind"]: (r["n"], r["total"]) for r in events.groupBy("kind").agg(
+                F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).collect()}
+            (todo, total), (waiting_gaps, _) = facts.get(ITEM, (0, 0)), facts.get(GAP, (0, 0))
             if not todo:
                 break
-            parts = -(-sum(counts.values()) // rows_per_task)
-            opens = bool(turn < 0) or not counts.get(GAP)
+            parts = -(-(todo + waiting_gaps) // rows_per_task)
+            opens = bool(turn < 0) or not waiting_gaps
+            if opens:
+                # each range may leave its last sequence open: let it open many
+                parts = max(min(parts, total // (OPEN_AT_LEAST * capacity)), -(-waiting_gaps // rows_per_task), 1)
             name = f"sweep{len(live)}"
             swept = scratch.write(_sweeps(events, parts, capacity, opens), name)
             live.append(name)
