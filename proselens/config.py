@@ -30,9 +30,6 @@ class EvalConfig:
     word_overlap: float = 0.95
     # Fixed value: normalised coverage below which "fail_feature" is set.
     feature_fail_level: float = 0.75
-    # Duplicate detection: tokens held by more documents than this are
-    # salted in the prefix join so that no single task gets their postings.
+    # Duplicate detection: postings of a token are dealt into one salt per this
+    # many documents, so a task's share does not grow with the posting list.
     hot_token_df: int = 100_000
-    salt_buckets: int = 32
-    # Largest per-group row count for which exact percentiles are used.
-    exact_percentile_rows: int = 5_000_000

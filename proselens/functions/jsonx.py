@@ -38,8 +38,8 @@ def has_key(v, key: str) -> Column:
 
 
 def get_double(v, key: str) -> Column:
-    """Numeric value with try semantics ("1.5" -> 1.5, junk -> NULL)."""
-    return F.try_variant_get(col_(v), f"$.{key}", "double")
+    """Numeric value with try semantics ("1.5" -> 1.5; junk and NaN -> NULL)."""
+    return F.nanvl(F.try_variant_get(col_(v), f"$.{key}", "double"), F.lit(None).cast("double"))
 
 
 def get_string(v, key: str) -> Column:
@@ -50,16 +50,27 @@ def get_bool(v, key: str) -> Column:
     return F.try_variant_get(col_(v), f"$.{key}", "boolean")
 
 
-def is_json_null(v, key: str) -> Column:
-    return F.is_variant_null(F.try_variant_get(col_(v), f"$.{key}", "variant"))
+# One element of list text: a quoted string (either quote, backslash escapes)
+# or a number or constant.
+_ELEMENT = (r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|"""
+            r"""-?[0-9.][0-9.eE+-]*|None|True|False|null|true|false""")
+_LIST = rf"(?s)^\s*[\[(]\s*(?:(?:{_ELEMENT})\s*(?:,\s*|(?=[\])]\s*$)))*[\])]\s*$"
 
 
 def parse_list_text(c) -> Column:
-    """Features stored as list text: parse, else a one-element list; '' -> []."""
+    """Features stored as list text: each element by its own quotes, else the
+    text as a one-element list; '' -> []."""
     t = col_(c)
-    parsed = F.from_json(F.replace(t, F.lit("'"), F.lit('"')), "array<string>")
+    quoted = F.regexp_extract_all(t, F.lit(f"(?s){_ELEMENT}"), F.lit(0))
+    escape = F.lit("\\\\(.)")
+
+    def plain(x):
+        inner = F.when(x.startswith("'") | x.startswith('"'), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+        return F.regexp_replace(inner, escape, F.lit("$1"))
+
     return (F.when(t.isNull() | (t == ""), F.array().cast("array<string>"))
-            .otherwise(F.coalesce(parsed, F.array(t))))
+            .when(t.rlike(_LIST), F.transform(quoted, plain))
+            .otherwise(F.array(t)))
 
 
 def let(value: Column, fn) -> Column:

@@ -18,12 +18,12 @@ _CFG = EvalConfig()
 
 
 def safe_double(c, default: float) -> Column:
-    """NULL or unparsable -> default (``try_cast``; ANSI mode stays on)."""
-    return F.coalesce(col_(c).try_cast("double"), F.lit(float(default)))
+    """NULL, NaN or unparsable -> default (``try_cast``; ANSI mode stays on)."""
+    return F.coalesce(F.nanvl(col_(c).try_cast("double"), F.lit(None).cast("double")), F.lit(float(default)))
 
 
 def safe_bool(c, default: bool) -> Column:
-    return F.coalesce(col_(c).cast("boolean"), F.lit(default))
+    return F.coalesce(col_(c).try_cast("boolean"), F.lit(default))
 
 
 def normalize_coverage(cov, n) -> Column:
@@ -68,15 +68,10 @@ def gate_failure(overall="overall_score", in_range="in_range") -> Column:
     rng = safe_bool(in_range, False)
     out = out.when(~rng, F.lit("Length out of range (in_range: False)"))
     ov = safe_double(overall, 0.0)
-    out = out.when(ov < 7.0, F.concat(F.lit("Overall score below threshold ("), fixed(ov, 2), F.lit(" < 7.0)")))
+    out = out.when(~(ov >= 7.0), F.concat(F.lit("Overall score below threshold ("), fixed(ov, 2), F.lit(" < 7.0)")))
     return out
 
 
-def gate_reason(overall="overall_score", in_range="in_range") -> Column:
-    """Reason text as stored in result rows: blank when passed."""
-    return F.coalesce(gate_failure(overall, in_range), F.lit(""))
-
-
 # Keyword lists of the rejection taxonomy.
 SPECIFIC_WORDS = ["specific", "narrow", "limited"]
 GENERIC_WORDS = ["generic", "vague", "non-specific"]

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it has at most this many rows (checked).
+# A side is broadcast only within these bounds (both checked).
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the row count.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only after checking the number of rows and their bytes.
 
-    ``limit(max_rows + 1).count()`` stops reading once the bound is passed,
-    so the check costs at most ``max_rows`` rows.  Larger sides are left to
+    The check reads at most ``max_rows + 1`` rows.  Larger sides are left to
     the planner (sort-merge join, AQE may still switch at run time).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and total <= max_bytes else df
 
 
 def find_col(df: DataFrame, name: str) -> str | None:
@@ -29,57 +31,66 @@ def find_col(df: DataFrame, name: str) -> str | None:
     return None
 
 
+# Columns that carry the file position of a row from a reader.
+FILE_COL, BLOCK_COL = "__source_file", "__source_block"
+
+
+def with_file_position(df: DataFrame) -> DataFrame:
+    """Tag the rows of a file scan with their file and its block."""
+    return df.select("*", F.col("_metadata.file_path").alias(FILE_COL),
+                     F.col("_metadata.file_block_start").alias(BLOCK_COL))
+
+
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Consecutive 0-based index in scan order, without a single-task window.
+    """Consecutive 0-based index in file order (of rows tagged by
+    ``with_file_position``; else in scan order), without a single-task window.
 
-    ``monotonically_increasing_id`` is ``(partition << 33) + local position``;
-    the per-partition row counts (one row per partition) give the offsets.
+    The tagged rows are written once, so both reads below see the same
+    numbers; one row per file block gives the offsets.
     """
-    tmp = df.withColumn("_mid", F.monotonically_increasing_id())
-    tmp = tmp.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
-        "_loc", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
-    counts = tmp.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    keys = [c for c in (FILE_COL, BLOCK_COL) if c in df.columns]
+    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
+    if not keys:
+        tagged = tagged.withColumn(FILE_COL, F.lit("")).withColumn(BLOCK_COL, F.shiftright("_mid", 33))
+    tagged = materialize(tagged, "row-index")
+    blocks = tagged.groupBy(FILE_COL, BLOCK_COL).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     from pyspark.sql import Window
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
-    # one row per partition: bounded by the partition count
-    out = tmp.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-    return out.withColumn(name, F.col("_off") + F.col("_loc")).drop("_mid", "_pid", "_loc", "_off")
+    before = F.sum("_n").over(Window.orderBy(FILE_COL, BLOCK_COL).rowsBetween(Window.unboundedPreceding, -1))
+    # one row per file block: bounded by the number of splits
+    offsets = F.broadcast(blocks.withColumn("_off", F.coalesce(before, F.lit(0))).drop("_n"))
+    out = tagged.join(offsets, [FILE_COL, BLOCK_COL])
+    return out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first")).drop(
+        "_mid", "_first", "_off", FILE_COL, BLOCK_COL)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint
     folder (``spark.checkpoint.dir``) and reading it back.
 
-    Unlike ``Dataset.checkpoint`` the plan runs once, and the files survive
-    the loss of any executor.  ``release`` deletes the files when a later
-    stage no longer reads them.
+    The plan runs once, and the files survive the loss of any executor.  The
+    returned frame knows its folder: ``release`` deletes it when no later
+    step reads it.
     """
     import uuid
 
     from proselens.session import checkpoint_dir
 
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/proselens-{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/proselens-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
-    _PATHS[id(out)] = path
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
     return out
 
 
-_PATHS: dict[int, str] = {}
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files behind a DataFrame returned by ``materialize``."""
-    path = _PATHS.pop(id(df), None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+def release(*frames: DataFrame) -> None:
+    """Delete the folders behind frames returned by ``materialize``."""
+    for df in frames:
+        path = df.__dict__.pop("stage_path", None)
+        if path is not None:
+            sc = df.sparkSession.sparkContext
+            hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+            hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proselens.functions.text import nonblank_lines, py_strip
-from proselens.operators.common import broadcast_if_small, find_col, with_row_index
+from proselens.operators.common import BLOCK_COL, FILE_COL, broadcast_if_small, find_col, with_row_index
 
 # Columns of a product export that are not technical data.
 EXCLUDED_COLUMNS = [
@@ -25,8 +25,9 @@ DESCRIPTOR_RENAMES = {"AssetName": "asset_name", "AssetName.1": "asset_name_alt"
                       "Insight": "IBF_Insight", "Benefit": "IBF_Benefit", "Function": "IBF_Feature"}
 # Cell texts that count as empty.
 BLANK_VALUES = ["", "nan", "none"]
+# Columns that the steps themselves derive, by their exact names.
 _DERIVED = {"product_id", "brand", "type", "ibf_data", "name", "series", "features",
-            "technical_data", "specs"}
+            "technical_data", "specs", FILE_COL, BLOCK_COL}
 
 
 def lower_columns(df: DataFrame) -> DataFrame:
@@ -62,10 +63,10 @@ def merge_features(df: DataFrame) -> "F.Column":
 
 
 def tech_columns(df: DataFrame) -> list[str]:
-    excluded = {e.lower().strip() for e in EXCLUDED_COLUMNS} | _DERIVED
+    excluded = {e.lower().strip() for e in EXCLUDED_COLUMNS}
     out = []
     for f in df.schema.fields:
-        if f.name.lower().strip() in excluded or f.name.startswith("_"):
+        if f.name.lower().strip() in excluded or f.name in _DERIVED:
             continue
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             continue  # list-like cells are not technical data
@@ -92,14 +93,14 @@ def specs_text(m) -> "F.Column":
 def normalize_products(df: DataFrame) -> DataFrame:
     """H2 (P4-P9): standard product rows from a raw export.
 
-    ``product_id`` is the id column as text, or ``prod_0001...`` in scan
+    ``product_id`` is the id column as text, or ``prod_0001...`` in file
     order when the export has none.
     """
     idc = find_col(df, "<ID>") or find_col(df, "product_id")
     tcols = tech_columns(df)
     if idc is None:
-        df = with_row_index(df, "_row")
-        pid = F.format_string("prod_%04d", F.col("_row") + 1)
+        df = with_row_index(df, "__row")
+        pid = F.format_string("prod_%04d", F.col("__row") + 1)
     else:
         pid = F.col(f"`{idc}`").cast("string")
     brand = find_col(df, "Product brand") or find_col(df, "brand")

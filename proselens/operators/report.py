@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from proselens.config import EvalConfig
 from proselens.functions.scoring import rejection_labels
 from proselens.functions.text import display_name, excerpt, fixed
+from proselens.operators.common import broadcast_if_small, materialize
 
 _CFG = EvalConfig()
 
@@ -52,9 +53,8 @@ def rejection_patterns(results: DataFrame, threshold: float = 7.0, keys: Sequenc
     counts = rej.select(*keys, F.explode("_labels").alias("reason")).groupBy(*keys, "reason") \
         .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
     totals = rej.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("rejected"))
-    # without keys ``totals`` is a single-row aggregate: the product has as
-    # many rows as ``counts`` (one per label)
-    out = counts.join(totals, list(keys)) if keys else counts.crossJoin(totals)
+    # without keys ``totals`` is a single-row aggregate
+    out = counts.join(totals, list(keys)) if keys else counts.join(F.broadcast(totals))
     return out.select(*keys, "reason", display_name("reason").alias("reason_display"), "count",
                       r6(F.col("count") * 100.0 / F.col("rejected")).alias("pct_of_rejected"))
 
@@ -112,7 +112,7 @@ def quality_summary(results: DataFrame, threshold: float = 7.0, cfg: EvalConfig
     tot = results.agg(F.count(F.lit(1)).cast("bigint").alias("total_outputs"),
                       F.count_if(F.col("overall_score") < threshold).cast("bigint").alias("rejected_count"))
     # both sides are single-row aggregates; nothing rejected -> no summary
-    return tot.crossJoin(pat.filter(F.col("top_issue").isNotNull())).select(
+    return tot.join(F.broadcast(pat.filter(F.col("top_issue").isNotNull()))).select(
         "total_outputs", "rejected_count",
         r6(F.try_divide(F.col("rejected_count").cast("double"), F.col("total_outputs"))).alias("rejection_rate"),
         "top_issue", F.col("top_issue_count").cast("bigint").alias("top_issue_count"), "all_patterns")
@@ -149,38 +149,65 @@ def failure_rates(results: DataFrame, keys: Sequence[str] = ("model",), cfg: Eva
     return long.withColumn("failure_rate_pct", r6("failure_rate_pct"))
 
 
+QUANTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def ranked_values(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """(keys, value, n, first): how often each value occurs in its group and
+    the 0-based rank of its first occurrence, exact at any size.
+
+    Distinct values are counted, range-partitioned by group and value and
+    written once; ranks are running counts within a partition plus the counts
+    of the group's earlier partitions (one row per group and partition), so
+    no task holds more of a group than its range.
+    """
+    counts = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    order = [*keys, value]
+    ranged = materialize(counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    within = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*keys, "_part").agg(F.sum("n").alias("_n")) \
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    local = ranged.withColumn("_local", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return local.join(before, [*keys, "_part"]).select(
+        *keys, value, "n", (F.col("_before") + F.col("_local")).alias("first"))
+
+
 def box_stats(results: DataFrame, metrics: Sequence[str] = ("overall_score", "sbert"),
               keys: Sequence[str] = ("iteration", "model"), cfg: EvalConfig = _CFG) -> DataFrame:
     """Quartiles (linear interpolation), 1.5 IQR whiskers and outliers.
 
-    Exact ``percentile`` keeps a value->count map per group; groups larger
-    than ``cfg.exact_percentile_rows`` switch to ``percentile_approx`` so no
-    task holds an unbounded group.  Whiskers are the extreme values inside
-    the fences, found by joining the per-group fences back (one row per
-    group, broadcast after a size check by the planner).
+    Exact at any size: see ``ranked_values``.  Whiskers are the extreme values
+    inside the fences; the fences are one row per group.
     """
     long = results.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")) \
         .select(*keys, "_m.metric", "_m.value").filter(F.col("value").isNotNull())
     gk = [*keys, "metric"]
-    biggest = long.groupBy(*gk).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= cfg.exact_percentile_rows:
-        q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    else:
-        q = F.percentile_approx(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100_000)
-    stats = long.groupBy(*gk).agg(F.count(F.lit(1)).cast("bigint").alias("n"), q.alias("_q"))
-    stats = stats.select(*gk, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                         F.col("_q")[2].alias("q3"))
+    ranked = ranked_values(long, gk)
+    sizes = broadcast_if_small(ranked.groupBy(*gk).agg(F.sum("n").cast("bigint").alias("_size")))
+    at = ranked.join(sizes, gk)
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("value")))
+
+    ends, quantiles = [], []
+    for name, p in QUANTILES.items():
+        place = (F.col("_size") - 1) * p
+        ends += [value_at(F.floor(place)).alias(f"_lo_{name}"), value_at(F.ceil(place)).alias(f"_hi_{name}")]
+        share = (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        quantiles.append((lo + (hi - lo) * share).alias(name))
+    stats = at.groupBy(*gk).agg(F.max("_size").alias("n"), *ends).select(*gk, "n", *quantiles)
     stats = stats.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
                  .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = long.join(stats.select(*gk, "_lo", "_hi"), gk)
+    stats = broadcast_if_small(materialize(stats, "box"))
     inside = (F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))
-    w = j.groupBy(*gk).agg(F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
-                           F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-                           F.count_if(~inside).cast("bigint").alias("n_outliers"))
-    out = stats.join(w, gk)
-    return out.select(*gk, "n", *[r6(c).alias(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
-                      "n_outliers")
+    out = ranked.withColumnRenamed("n", "_times").join(stats, gk).groupBy(*gk, "n", *QUANTILES).agg(
+        F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
+        F.coalesce(F.sum(F.when(~inside, F.col("_times"))), F.lit(0)).cast("bigint").alias("n_outliers"))
+    return out.select(*gk, "n", *[r6(c).alias(c) for c in (*QUANTILES, "whisker_lo", "whisker_hi")], "n_outliers")
 
 
 def length_histogram(results: DataFrame, bins: int = 20, keys: Sequence[str] = ("iteration", "model"),
@@ -191,7 +218,7 @@ def length_histogram(results: DataFrame, bins: int = 20, keys: Sequence[str] = (
     v = F.col(value).cast("bigint")
     rng = results.groupBy(*keys).agg(F.min(value).cast("bigint").alias("_min"),
                                      F.max(value).cast("bigint").alias("_max"))
-    j = results.select(*keys, v.alias("_v")).join(rng, list(keys))
+    j = results.select(*keys, v.alias("_v")).join(broadcast_if_small(rng), list(keys))
     b = F.when(F.col("_max") == F.col("_min"), F.lit(bins // 2)).otherwise(
         F.least(F.floor((F.col("_v") - F.col("_min")) * bins / (F.col("_max") - F.col("_min"))).cast("int"),
                 F.lit(bins - 1)))
@@ -217,7 +244,7 @@ def duplicate_rate(flags: DataFrame, key: str = "iteration") -> DataFrame:
 
 
 def quality_report(df: DataFrame) -> DataFrame:
-    """One row with the means of the measures that exist."""
+    """One row with the means of the measures that exist; no rows, no report."""
     aggs = [F.count(F.lit(1)).cast("bigint").alias("total_samples")]
     names = {"semantic_similarity_gold": "avg_gold_similarity",
              "semantic_attribute_alignment": "avg_attribute_alignment",
@@ -228,7 +255,7 @@ def quality_report(df: DataFrame) -> DataFrame:
     if "is_unique" in df.columns:
         aggs.append(r6(F.avg(F.col("is_unique").cast("int"))).alias("uniqueness_rate"))
         aggs.append(F.count_if(~F.col("is_unique")).cast("bigint").alias("duplicate_count"))
-    return df.agg(*aggs)
+    return df.agg(*aggs).filter("total_samples > 0")
 
 
 # --- improvement report (per prompt family and iteration) ------------------
@@ -258,6 +285,7 @@ def prompt_means(results: DataFrame, keys: Sequence[str] = ("iteration", "prompt
 
 def issue_list(means: DataFrame, cfg: EvalConfig = _CFG) -> Column:
     """Issue messages of one prompt family, in check order."""
+    # The message texts.
     s, ln, f = F.col("avg_score"), F.col("avg_length"), F.col("avg_features")
     h, a, c = F.col("avg_hallucination_score"), F.col("avg_attribute_alignment"), F.col("avg_feature_coverage")
     msgs = F.array(
@@ -309,14 +337,18 @@ def rejection_focus(results: DataFrame, threshold: float = 7.5, k: int = 3,
     return out.select(*keys, "rejected", "sample_size",
                       F.array_join(F.transform("_top", lambda x: x["reason"]), ", ").alias("top_reasons"),
                       F.array_join(F.transform("_top", lambda x: x["count"].cast("string")), ", ").alias("top_counts"),
+                      F.array_join(F.transform("_top", lambda x: F.concat(fixed(x["pct_of_rejected"], 0), F.lit("%"))),
+                                   ", ").alias("top_percentages"),
                       top.alias("top_reason"), recommendation(top).alias("recommendation"))
 
 
 def improvement_history(means: DataFrame, cfg: EvalConfig = _CFG) -> DataFrame:
-    """K6 input / P19: metrics rounded to 3 digits plus the issue list."""
+    """K6 input / P19: metrics and the best example's score rounded to 3
+    digits, plus the issue list."""
     cols = list(_MEANS) + ["avg_features"]
-    return means.select(*[c for c in means.columns if c not in cols],
-                        *[F.round(c, 3).alias(c) for c in cols], issue_list(means, cfg).alias("issues"))
+    out = means.withColumn("best_example", F.col("best_example").withField("score", F.round("best_example.score", 3)))
+    return out.select(*[c for c in means.columns if c not in cols],
+                      *[F.round(c, 3).alias(c) for c in cols], issue_list(means, cfg).alias("issues"))
 
 
 def bool_export(df: DataFrame) -> DataFrame:

@@ -3,91 +3,159 @@
 A text becomes the bag of its lower-cased whitespace tokens; similarity is
 the cosine of the two count vectors.  Dot products and squared norms are
 integers, so every engine gets the same value up to one sqrt and one
-division.  All pair work is an equi-join on ``token``: there is no text x
-text cross product anywhere.
+division.
+
+Each text is one row throughout: a row meets the one reference row that it
+points to by an equi-join on the reference key, and the measure is computed on
+the joined row from an Arrow batch.  Tokens never move.  A set of references
+that every text is held against (gold texts) goes to the tasks in blocks of
+bounded size, where an inverted index gives the best one.
 
 Other encoders plug in through ``proselens.operators.encoders``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from proselens.functions.text import word_tokens
-from proselens.operators.common import broadcast_if_small, spread_by
+# Bytes of reference texts that a task holds at a time.
+REFERENCE_BYTES = 32 << 20
 
 
-def term_counts(df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
-    """(keys..., token, tf): token counts per text.
+def bag(text: str | None) -> Counter:
+    return Counter((text or "").lower().split())
+
+
+def norm2(b: Counter) -> int:
+    return sum(v * v for v in b.values())
+
+
+def dot(a: Counter, b: Counter) -> int:
+    if len(b) < len(a):
+        a, b = b, a
+    return sum(v * b[k] for k, v in a.items() if k in b)
+
+
+def cosine_from_parts(d: int, n2a: int, n2b: int) -> float:
+    """dot / (|a| |b|); zero norms -> 0.0."""
+    return d / (math.sqrt(n2a) * math.sqrt(n2b)) if n2a and n2b else 0.0
 
-    Texts are hash-partitioned by the first key before they are split, so
-    the count per (text, token) is computed without moving any token.
-    """
-    t = spread_by(df.select(*keys, text_col), keys[0])
-    t = t.select(*keys, F.explode(word_tokens(text_col)).alias("token"))
-    return t.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
 
+def _per_row(joined: DataFrame, key: str, fields: list[T.StructField], fn: Callable[[], Callable]) -> DataFrame:
+    """Append ``fields`` computed by ``fn()(text, reference)`` to the key of
+    every row of (key, text, reference)."""
+    schema = T.StructType([joined.schema[key], *fields])
 
-def squared_norms(tc: DataFrame, keys: Sequence[str], name: str = "norm2") -> DataFrame:
-    return tc.groupBy(*keys).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = fn()
+        kinds = {T.DoubleType(): pa.float64(), T.LongType(): pa.int64()}
+        for batch in batches:
+            rows = [measure(t, r) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            columns = list(zip(*rows)) if rows else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(c, kinds[f.dataType]) for c, f in zip(columns, fields)]],
+                names=[key, *[f.name for f in fields]])
 
+    return joined.mapInArrow(run, schema)
 
-def cosine_from_parts(dot: Column, n2a: Column, n2b: Column) -> Column:
-    """dot / (sqrt(|a|^2) * sqrt(|b|^2)); zero norms or no overlap -> 0.0."""
-    return F.coalesce(
-        F.when((n2a > 0) & (n2b > 0), dot.cast("double") / (F.sqrt(n2a.cast("double")) * F.sqrt(n2b.cast("double")))),
-        F.lit(0.0))
+
+def _remembered(make: Callable) -> Callable:
+    """``make`` of the last argument again and again costs one call: rows of a
+    reference stand together after the join."""
+    last: list = [None, None]
+
+    def get(x):
+        if last[1] is None or x != last[0]:
+            last[:] = [x, make(x)]
+        return last[1]
+
+    return get
 
 
 def paired_cosine(rows: DataFrame, key: str, text_col: str, ref: DataFrame, ref_key: str,
                   ref_text_col: str, out: str) -> DataFrame:
-    """Cosine of each row's text with the one reference text it points to.
+    """Cosine of each row's text with the one reference text it points to; 0.0
+    without one.
 
-    ``rows`` has (key, ref_key, text); ``ref`` has (ref_key, text).  Used for
-    attribute alignment (reference = the product's attribute text) and for
-    paired gold similarity.  Reference texts are tokenised once each.
+    ``rows`` has (key, ref_key, text); ``ref`` has (ref_key unique, text).
+    Used for attribute alignment (reference = the product's attribute text)
+    and for paired gold similarity.
     """
-    r = rows.select(key, ref_key, text_col)
-    ctf = term_counts(r, [key, ref_key], text_col)
-    # only reference texts some row points to are tokenised
-    used = ref.join(r.select(ref_key).distinct(), ref_key, "left_semi")
-    rtf = term_counts(used.select(ref_key, F.col(ref_text_col).alias("_rt")), [ref_key], "_rt") \
-        .withColumnRenamed("tf", "rtf")
-    dot = ctf.join(rtf, [ref_key, "token"]).groupBy(key).agg(F.sum(F.col("tf") * F.col("rtf")).alias("_dot"))
-    cn = squared_norms(ctf, [key], "_n2a")
-    rn = rtf.groupBy(ref_key).agg(F.sum(F.col("rtf") * F.col("rtf")).alias("_n2b"))
-    res = (r.select(key, ref_key).join(cn, key, "left").join(rn, ref_key, "left").join(dot, key, "left"))
-    return res.select(key, cosine_from_parts(F.coalesce("_dot", F.lit(0)), F.coalesce("_n2a", F.lit(0)),
-                                             F.coalesce("_n2b", F.lit(0))).alias(out))
+    joined = rows.select(key, ref_key, F.col(text_col).alias("_t")).join(
+        ref.select(ref_key, F.col(ref_text_col).alias("_r")), ref_key, "left").select(key, "_t", "_r")
+    return own_cosine(joined, key, "_t", "_r", out)
+
+
+def own_cosine(rows: DataFrame, key: str, text_col: str, other_col: str, out: str) -> DataFrame:
+    """Cosine of two texts of the same row (a row's own ``gold_text``)."""
+    def fn():
+        other = _remembered(lambda r: (b := bag(r), norm2(b)))
+
+        def measure(text, ref):
+            a, (b, n) = bag(text), other(ref)
+            return (cosine_from_parts(dot(a, b), norm2(a), n),)
+        return measure
+
+    return _per_row(rows.select(key, text_col, other_col), key, [T.StructField(out, T.DoubleType())], fn)
 
 
 def max_reference_similarity(rows: DataFrame, key: str, text_col: str, refs: DataFrame | None,
-                             ref_key: str, ref_text_col: str, out: str = "sbert") -> DataFrame:
+                             ref_key: str, ref_text_col: str, out: str = "sbert",
+                             reference_bytes: int = REFERENCE_BYTES) -> DataFrame:
     """Best cosine of each text to any reference (gold) text; 0.0 without any.
 
-    The reference side is the curated gold set; its term table is broadcast
-    only after a size check, otherwise the token join shuffles both sides.
-    Scores are aggregated per (text, gold) map-side before the shuffle.
+    The references go to the tasks in blocks of about ``reference_bytes``; a
+    text's dot products with a block stay in its task and only the best leaves
+    it.  With several blocks the best of the blocks is taken per text.
     """
-    base = rows.select(key, text_col)
+    base = rows.select(key, text_col, F.lit(None).cast("string").alias("_none"))
     if refs is None:
         return base.select(key, F.lit(0.0).alias(out))
-    ctf = term_counts(base, [key], text_col)
-    gtf = term_counts(refs.select(ref_key, F.col(ref_text_col).alias("_gt")), [ref_key], "_gt") \
-        .withColumnRenamed("tf", "gtf")
-    gn = gtf.groupBy(ref_key).agg(F.sum(F.col("gtf") * F.col("gtf")).alias("_n2b"))
-    # one check bounds both tables: there are never more norms than term rows
-    gtf_b = broadcast_if_small(gtf)
-    gn_b = F.broadcast(gn) if gtf_b is not gtf else gn
-    dots = ctf.join(gtf_b, "token").groupBy(key, ref_key).agg(F.sum(F.col("tf") * F.col("gtf")).alias("_dot"))
-    cn = squared_norms(ctf, [key], "_n2a")
-    sims = dots.join(gn_b, ref_key).join(cn, key) \
-        .select(key, cosine_from_parts(F.col("_dot"), F.col("_n2a"), F.col("_n2b")).alias("_sim"))
-    best = sims.groupBy(key).agg(F.max("_sim").alias("_best"))
-    return base.select(key).join(best, key, "left").select(key, F.coalesce("_best", F.lit(0.0)).alias(out))
+    texts = refs.select(F.col(ref_text_col).alias("_g")).filter(F.col("_g").isNotNull())
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("_g")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // reference_bytes))
+    field = [T.StructField(out, T.DoubleType())]
+    parts = []
+    for i in range(blocks):
+        block = [r[0] for r in texts.filter(F.expr(f"pmod(xxhash64(_g), {blocks}) = {i}")).distinct().collect()]
+        sent = rows.sparkSession.sparkContext.broadcast(block)
+
+        def fn(sent=sent):
+            bags = [bag(g) for g in sent.value]
+            norms = np.array([math.sqrt(norm2(b)) for b in bags])
+            index = defaultdict(list)
+            for n, b in enumerate(bags):
+                for token, tf in b.items():
+                    index[token].append((n, tf))
+            postings = {t: (np.array([n for n, _ in p]), np.array([tf for _, tf in p], np.int64))
+                        for t, p in index.items()}
+
+            def measure(text, _):
+                a = bag(text)
+                dots = np.zeros(len(bags), np.int64)
+                for token, tf in a.items():
+                    if token in postings:
+                        at, tfs = postings[token]
+                        dots[at] += tf * tfs
+                hit = np.flatnonzero(dots)
+                if not len(hit):
+                    return (0.0,)
+                return (float((dots[hit] / (math.sqrt(norm2(a)) * norms[hit])).max()),)
+            return measure
+
+        parts.append(_per_row(base, key, field, fn))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res if blocks == 1 else res.groupBy(key).agg(F.max(out).alias(out))
 
 
 def feature_coverage(rows: DataFrame, key: str, text_col: str, refs: DataFrame, ref_key: str,
@@ -95,31 +163,34 @@ def feature_coverage(rows: DataFrame, key: str, text_col: str, refs: DataFrame,
     """A17 (A22, J6): share of a row's features whose cosine with the text
     reaches ``threshold``; repeated features count every time.
 
-    ``rows`` = (key, ref_key, text), ``refs`` = (ref_key, features array):
-    a text is scored against the feature list of the product it belongs to,
-    never against all features.  Feature lists are tokenised once per
-    referenced product (A22: each feature text is encoded once per product,
-    not once per text), and a text meets them through one equi-join on
-    (product, token).  Output: (key, n_features, n_covered, out).
+    ``rows`` = (key, ref_key, text), ``refs`` = (ref_key unique, features
+    array): a text is scored against the feature list of the product it
+    belongs to, never against all features.  Within a worker each distinct
+    feature text is tokenised once (A22); features without a token do not
+    count.  Output: (key, n_features, n_covered, out).
     """
-    r = rows.select(key, ref_key, text_col)
-    used = refs.select(ref_key, features_col).join(r.select(ref_key).distinct(), ref_key, "left_semi")
-    feats = used.select(ref_key, F.posexplode(features_col).alias("pos", "feature"))
-    ftf = feats.select(ref_key, "pos", F.explode(word_tokens("feature")).alias("token")) \
-        .groupBy(ref_key, "pos", "token").agg(F.count(F.lit(1)).alias("ftf"))
-    fn = ftf.groupBy(ref_key, "pos").agg(F.sum(F.col("ftf") * F.col("ftf")).alias("_n2f"))
-    # every kept feature has a token, so the feature count comes from the same
-    # per-product table (the product side is then read once)
-    nfeat = fn.groupBy(ref_key).agg(F.count(F.lit(1)).alias("n_features"))
-    ctf = term_counts(r, [key, ref_key], text_col)
-    cn = squared_norms(ctf, [key], "_n2t")
-    dots = ctf.join(ftf, [ref_key, "token"]).groupBy(key, ref_key, "pos") \
-        .agg(F.sum(F.col("tf") * F.col("ftf")).alias("_dot"))
-    sims = dots.join(fn, [ref_key, "pos"]).join(cn, key) \
-        .select(key, cosine_from_parts(F.col("_dot"), F.col("_n2t"), F.col("_n2f")).alias("_sim"))
-    covered = sims.groupBy(key).agg(F.count_if(F.col("_sim") >= threshold).alias("_cov"))
-    res = r.select(key, ref_key).join(nfeat, ref_key, "left").join(covered, key, "left")
-    n = F.coalesce("n_features", F.lit(0)).cast("bigint")
-    n_cov = F.coalesce("_cov", F.lit(0)).cast("bigint")
-    return res.select(key, n.alias("n_features"), n_cov.alias("n_covered"),
-                      F.when(n > 0, n_cov.cast("double") / n).otherwise(F.lit(0.0)).alias(out))
+    joined = rows.select(key, ref_key, F.col(text_col).alias("_t")).join(
+        refs.select(ref_key, F.col(features_col).alias("_f")), ref_key, "left").select(key, "_t", "_f")
+    fields = [T.StructField("n_features", T.LongType()), T.StructField("n_covered", T.LongType()),
+              T.StructField(out, T.DoubleType())]
+
+    def fn():
+        known: dict[str, tuple[Counter, int]] = {}
+
+        def encoded(feature):
+            if feature not in known:
+                if len(known) >= 100_000:  # bounds the worker's memory only
+                    known.clear()
+                b = bag(feature)
+                known[feature] = (b, norm2(b))
+            return known[feature]
+
+        def measure(text, features):
+            a = bag(text)
+            n2 = norm2(a)
+            some = [e for e in (encoded(f) for f in features or [] if f is not None) if e[1]]
+            covered = sum(cosine_from_parts(dot(a, b), n2, n) >= threshold for b, n in some if n2)
+            return len(some), covered, covered / len(some) if some else 0.0
+        return measure
+
+    return _per_row(joined, key, fields, fn)

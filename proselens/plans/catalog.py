@@ -17,6 +17,7 @@ from proselens.operators import replies as R
 from proselens.operators import report as RP
 from proselens.operators import similarity as S
 from proselens.operators.metrics import add_scores, attribute_text, combined_features
+from proselens.operators.common import broadcast_if_small
 from proselens.operators.requests import expand_tasks, render_prompts
 from proselens.functions.vectors import cosine, l2_normalize
 from proselens.sources import fixtures as FX
@@ -236,8 +237,7 @@ def q_attribute_alignment(spark, sf):
 
 
 def q_paired_gold_similarity(spark, sf):
-    c = FX.candidates(spark, sf).select("candidate_ord", (F.col("candidate_ord") % 40).alias("gold_id"),
-                                        "marketing_text")
+    c = FX.with_gold(FX.candidates(spark, sf).select("candidate_ord", "marketing_text"), spark, sf)
     out = S.paired_cosine(c, "candidate_ord", "marketing_text", FX.gold(spark, sf), "gold_id", "marketing_text",
                           "semantic_similarity_gold")
     return out.select("candidate_ord", r6("semantic_similarity_gold").alias("semantic_similarity_gold"))
@@ -282,7 +282,8 @@ def q_vector_cosine_topk(spark, sf, k: int = 5):
     cent = dims.groupBy("label", "i").agg(F.avg("x").alias("x")) \
         .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_c")) \
         .select("label", F.transform("_c", lambda s: s["x"]).alias("c"))
-    sims = e.join(cent, "label").select("label", "vec_id", cosine("v", "c").alias("cosine"))
+    # one centroid per label, broadcast only within the checked bound
+    sims = e.join(broadcast_if_small(cent), "label").select("label", "vec_id", cosine("v", "c").alias("cosine"))
     w = Window.partitionBy("label").orderBy(F.desc("cosine"), F.asc("vec_id"))
     top = sims.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return top.select("label", F.col("rank").cast("int").alias("rank"), "vec_id", r6("cosine").alias("cosine"))
@@ -325,8 +326,8 @@ def q_recommendations(spark, sf):
 
 def q_improvement_history(spark, sf):
     h = RP.improvement_history(RP.prompt_means(results(spark, sf)), CFG)
-    return h.select("iteration", "prompt_family", "avg_score", "avg_length", "avg_overall_composite", "sample_size",
-                    F.array_join("issues", " | ").alias("issues"))
+    return h.select("iteration", "prompt_family", *[c for c in h.columns if c.startswith("avg_")], "sample_size",
+                    F.col("best_example.score").alias("best_score"), F.array_join("issues", " | ").alias("issues"))
 
 
 def q_quality_report(spark, sf):
@@ -389,8 +390,7 @@ def q_evaluate_texts(spark, sf):
     """H3: attribute alignment, paired gold similarity, feature coverage and
     duplicate flags (0.99) for every candidate, in one evaluation plan."""
     from proselens.plans.evaluate import evaluate_texts
-    c = FX.candidates(spark, sf).select("candidate_ord", "product_id", "marketing_text",
-                                        (F.col("candidate_ord") % 40).alias("gold_id"))
+    c = FX.with_gold(FX.candidates(spark, sf).select("candidate_ord", "product_id", "marketing_text"), spark, sf)
     ev = evaluate_texts(c, products(spark, sf), gold=FX.gold(spark, sf), cfg=CFG)
     return ev.select("candidate_ord", r6("semantic_attribute_alignment").alias("semantic_attribute_alignment"),
                      r6("semantic_similarity_gold").alias("semantic_similarity_gold"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from proselens.operators.report import RECOMMENDATIONS
+
 WS = r"'^\s+|\s+$'"
 NL = "chr(10)"
 
@@ -220,7 +222,7 @@ SELECT item_id AS ord,
        coalesce(substring(text, 1, 30), '') AS t_title,
        coalesce(CASE WHEN item_id % 5 = 0 THEN NULL ELSE substring(text, 31, 40) END, '') AS t_insight,
        coalesce(substring(text, 71, 40), '') AS t_benefit,
-       coalesce(CASE WHEN item_id % 4 = 1 THEN NULL ELSE substring(text, 111, 30) END, '') AS t_feature
+       coalesce(CASE WHEN item_id % 4 = 1 THEN NULL ELSE substring(text, 111) END, '') AS t_feature
 FROM benchmark"""
 
 CTES["blocks"] = r"""
@@ -264,6 +266,10 @@ CTES["cand_tf"] = tf_cte("candidates", "candidate_ord, product_id", "marketing_t
 CTES["cand_norm"] = "SELECT candidate_ord, sum(tf * tf) AS n2 FROM cand_tf GROUP BY candidate_ord"
 CTES["attr_tf"] = tf_cte("products", "product_id", "attribute_text")
 CTES["gold_tf"] = tf_cte("benchmark", "item_id", "text")
+CTES["gold_pair"] = """
+SELECT c.candidate_ord, g.item_id AS gold_id FROM candidates c
+JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark) g
+  ON c.candidate_ord % g.n = g.place"""
 CTES["gold_norm"] = "SELECT item_id, sum(tf * tf) AS n2 FROM gold_tf GROUP BY item_id"
 
 
@@ -555,9 +561,11 @@ SELECT c.candidate_ord,
        round({cos('coalesce(dt.dot, 0)', 'coalesce(cn.n2, 0)', 'coalesce(gn.n2, 0)')}, 6) AS semantic_similarity_gold
 FROM candidates c
 LEFT JOIN cand_norm cn ON cn.candidate_ord = c.candidate_ord
-LEFT JOIN gold_norm gn ON gn.item_id = c.candidate_ord % 40
+LEFT JOIN gold_pair gp ON gp.candidate_ord = c.candidate_ord
+LEFT JOIN gold_norm gn ON gn.item_id = gp.gold_id
 LEFT JOIN (SELECT ct.candidate_ord, sum(ct.tf * gt.tf) AS dot FROM cand_tf ct
-           JOIN gold_tf gt ON gt.item_id = ct.candidate_ord % 40 AND gt.token = ct.token GROUP BY ct.candidate_ord) dt
+           JOIN gold_pair gq ON gq.candidate_ord = ct.candidate_ord
+           JOIN gold_tf gt ON gt.item_id = gq.gold_id AND gt.token = ct.token GROUP BY ct.candidate_ord) dt
        ON dt.candidate_ord = c.candidate_ord"""
 
 Q["max_gold_similarity"] = f"""
@@ -652,30 +660,24 @@ SELECT iteration, prompt_family, CAST(issue_pos - 1 AS BIGINT) AS issue_pos, iss
   FROM issues)"""
 
 Q["improvement_history"] = """
-SELECT iteration, prompt_family, round(avg_score, 3) AS avg_score, round(avg_length, 3) AS avg_length,
-       round(avg_overall_composite, 3) AS avg_overall_composite, sample_size,
+SELECT iteration, prompt_family, round(avg_score, 3) AS avg_score, round(avg_relevance, 3) AS avg_relevance,
+       round(avg_generalization, 3) AS avg_generalization, round(avg_length, 3) AS avg_length,
+       round(avg_hallucination_score, 3) AS avg_hallucination_score,
+       round(avg_attribute_alignment, 3) AS avg_attribute_alignment,
+       round(avg_feature_coverage, 3) AS avg_feature_coverage, round(avg_overall_composite, 3) AS avg_overall_composite,
+       round(avg_features, 3) AS avg_features, sample_size, round(best_score, 3) AS best_score,
        array_to_string(issues, ' | ') AS issues
 FROM issues"""
 
-_RECS = {
-    "too_generic": "⚠️ CRITICAL: Require specific technical features with measurements",
-    "missing_features": "⚠️ CRITICAL: Require 3-5 concrete product features",
-    "too_short": "⚠️ CRITICAL: Make 450-600 char requirement MORE prominent",
-    "too_long": "⚠️ CRITICAL: Prioritize top 3 features only",
-    "not_relevant": "⚠️ CRITICAL: Every claim MUST reference product data",
-    "hallucination": "⚠️ CRITICAL: ZERO invented specifications allowed",
-    "unclear": "⚠️ CRITICAL: Write for non-technical buyers",
-    "overclaim": "⚠️ CRITICAL: Ban superlatives unless in product data",
-    "off_topic": "⚠️ CRITICAL: Strengthen connection to product attributes",
-}
-_REC_CASE = "CASE top_reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _RECS.items()) + " END"
+_REC_CASE = "CASE top_reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RECOMMENDATIONS.items()) + " END"
 
 Q["recommendations"] = f"""
-SELECT iteration, prompt_family, rejected, sample_size, top_reasons, top_counts, top_reason, {_REC_CASE} AS recommendation
+SELECT iteration, prompt_family, rejected, sample_size, top_reasons, top_counts, top_percentages, top_reason, {_REC_CASE} AS recommendation
 FROM (
   SELECT s.iteration, s.prompt_family, s.rejected, s.sample_size,
          array_to_string(list(t.reason ORDER BY t.rk), ', ') AS top_reasons,
          array_to_string(list(CAST(t.count AS VARCHAR) ORDER BY t.rk), ', ') AS top_counts,
+         array_to_string(list(printf('%.0f', t.count * 100.0 / s.rejected) || '%' ORDER BY t.rk), ', ') AS top_percentages,
          arg_min(t.reason, t.rk) AS top_reason
   FROM (SELECT iteration, prompt_family, CAST(count(*) AS BIGINT) AS sample_size,
                CAST(count(*) FILTER (WHERE overall_score < 7.5) AS BIGINT) AS rejected

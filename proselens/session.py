@@ -23,7 +23,6 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         # joins on (text key, token) may reuse a partitioning by the text key
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
@@ -37,14 +36,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to a shared file system and the context picks it up at
-    start.  Only when nothing is set (tests, local runs) a fresh scratch
-    folder is created and registered.
+    A cluster must name one on shared storage; a single-process local session
+    that names none (tests) gets a folder of its own.
     """
     sc = spark.sparkContext
-    cur = sc.getCheckpointDir()
-    if cur:
-        return cur
-    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="proselens-ckpt-")
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="proselens-local-"))
+    return sc.getCheckpointDir().rstrip("/")

@@ -10,8 +10,10 @@ from proselens.operators.report import bool_export
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """K1: the full result table, partitioned by iteration."""
-    df.write.mode(mode).partitionBy("iteration").format(fmt).save(path)
+    """K1: the full result table, partitioned by iteration; whatever the
+    folder held before goes, iterations that ``df`` lacks included."""
+    (df.write.mode(mode).option("partitionOverwriteMode", "static")
+     .partitionBy("iteration").format(fmt).save(path))
 
 
 def write_aggregate(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -34,8 +36,10 @@ def write_summary_json(summary: DataFrame, path: str) -> None:
 
 
 def append_history(history: DataFrame, path: str) -> None:
-    """K6: append the per-prompt improvement report of an iteration."""
-    history.write.mode("append").partitionBy("iteration").json(path)
+    """K6: add the per-prompt improvement report of an iteration; a re-run of
+    the iteration replaces its rows."""
+    (history.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("iteration").json(path))
 
 
 def write_text_booleans(df: DataFrame, path: str, fmt: str = "csv") -> None:

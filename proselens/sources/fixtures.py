@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from proselens.config import EvalConfig
 from proselens.functions.scoring import normalize_coverage
-from proselens.sources.readers import split_scan
+from proselens.operators.common import with_row_index
 
 
 _SCANS: dict[tuple[SparkSession, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan a driver table; see ``readers.split_scan`` for the split rule.
+    """Scan a driver table.
 
     The scan DataFrame is reused within a session (DataFrames are immutable),
     so a query that reads a table in several branches resolves its schema
@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     k = (spark, path)  # the session object itself, so a later session never reuses an entry
     if k not in _SCANS:
-        _SCANS[k] = split_scan(spark.read.parquet(path))
+        _SCANS[k] = spark.read.parquet(path)
     return _SCANS[k]
 
 
@@ -209,7 +209,8 @@ def raw_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(t, 1, 30).alias("Title"),
         F.when(i % 5 == 0, F.lit(None).cast("string")).otherwise(F.substring(t, 31, 40)).alias("Insight"),
         F.substring(t, 71, 40).alias("Benefit"),
-        F.when(i % 4 == 1, F.lit(None).cast("string")).otherwise(F.substring(t, 111, 30)).alias("Function"),
+        # the rest of the text, however long
+        F.when(i % 4 == 1, F.lit(None).cast("string")).otherwise(F.substring(t, F.lit(111), F.length(t))).alias("Function"),
     )
 
 
@@ -219,6 +220,15 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     F.col("text").alias("marketing_text"))
 
 
+def with_gold(cands: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair every candidate with one of all gold rows: the one whose place by
+    ``gold_id`` is the candidate's number modulo their count."""
+    ids = gold(spark, sf_dir).select("gold_id")
+    n = ids.count()
+    place = with_row_index(ids.repartitionByRange("gold_id").sortWithinPartitions("gold_id"), "_place")
+    return cands.withColumn("_place", F.col("candidate_ord") % n).join(place, "_place", "left").drop("_place")
+
+
 def raw_series_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     i = F.col("item_id")

@@ -10,20 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselens.functions.text import py_strip
-
-
-def split_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the default parallelism.
-
-    A file written as one row group is read by one task, and every per-row
-    text expression after it would run on one core.  Such scans are
-    re-split round-robin; scans with enough splits (any large input) are
-    returned unchanged, so this costs nothing at scale.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+from proselens.operators.common import with_file_position, with_row_index
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
@@ -31,22 +18,42 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        return split_scan(reader.option("header", True).option("multiLine", True).csv(path))
-    if fmt == "json":
-        return split_scan(reader.json(path))
-    return split_scan(reader.format(fmt).load(path))
+        reader = reader.option("header", True).option("multiLine", True)
+    return reader.format(fmt).load(path)
 
 
 def read_product_export(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The raw product export (wide, dynamic attribute columns)."""
-    return read_table(spark, path, fmt)
+    """The raw product export (wide, dynamic attribute columns), its rows
+    tagged with their file position, from which missing ids are numbered."""
+    return with_file_position(read_table(spark, path, fmt))
 
 
 def read_descriptors(spark: SparkSession, path: str | None, fmt: str = "parquet") -> DataFrame | None:
-    """The optional descriptor table; ``None`` when no path is given."""
+    """The optional descriptor table with ``ord``, its row number in file
+    order; ``None`` when no path is given."""
     if not path:
         return None
-    return read_table(spark, path, fmt)
+    return with_row_index(with_file_position(read_table(spark, path, fmt)), "ord")
+
+
+def read_series_gold(spark: SparkSession, path: str | None, fmt: str = "parquet") -> DataFrame | None:
+    """The (series, marketing_text) table; the last row in file order wins."""
+    return series_gold(read_descriptors(spark, path, fmt))
+
+
+def load_counts(**tables: DataFrame | None) -> DataFrame:
+    """Rows of each loaded table, (name, rows); a missing table counts 0."""
+    out = None
+    for name, df in tables.items():
+        rows = F.count(F.lit(1)).cast("bigint").alias("rows")
+        if df is None:
+            continue
+        part = df.agg(rows).select(F.lit(name).alias("name"), "rows")
+        out = part if out is None else out.unionByName(part)
+    missing = [(n, 0) for n, df in tables.items() if df is None]
+    if out is None or not missing:
+        return out
+    return out.unionByName(out.sparkSession.createDataFrame(missing, "name string, rows long"))
 
 
 def gold_texts(df: DataFrame | None) -> DataFrame | None:
@@ -58,9 +65,11 @@ def gold_texts(df: DataFrame | None) -> DataFrame | None:
 
 def series_gold(df: DataFrame | None, ord_col: str = "ord") -> DataFrame | None:
     """Series-level gold.  Trimmed; empty texts skipped; the last row of
-    a series (largest ``ord``) wins."""
+    a series (largest ``ord``, the scan order where there is none) wins."""
     if df is None or not {"series", "marketing_text"}.issubset(set(df.columns)):
         return None
+    if ord_col not in df.columns:
+        df = with_row_index(df, ord_col)
     t = df.select(py_strip(F.col("series").cast("string")).alias("series"),
                   py_strip(F.col("marketing_text").cast("string")).alias("marketing_text"),
                   F.col(ord_col).alias("ord"))
