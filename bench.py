@@ -34,6 +34,7 @@ HEADLINE = [
     "vector_cosine_topk",      # X3 dense
     "unique_per_iteration",    # D2
     "unique_texts",            # D1
+    "evaluate_texts",          # H3: alignment, paired gold, coverage, duplicates
     "iteration_results",       # H4: replies -> measures -> score, gates, labels
 ]
 

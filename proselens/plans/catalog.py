@@ -18,9 +18,13 @@ from proselens.operators import report as RP
 from proselens.operators import similarity as S
 from proselens.operators.metrics import add_scores, attribute_text, combined_features
 from proselens.operators.common import broadcast_if_small
-from proselens.operators.requests import expand_tasks, render_prompts
+from proselens.operators.requests import (expand_tasks, factcheck_requests, judge_requests, prompt_family, render_prompts,
+                                          versioned_name)
+from proselens.functions.jsonx import parse_list_text
 from proselens.functions.vectors import cosine, l2_normalize
+from proselens.sinks import writers as W
 from proselens.sources import fixtures as FX
+from proselens.sources import readers as RD
 from proselens.sources.readers import series_gold
 
 CFG = EvalConfig()
@@ -398,4 +402,204 @@ def q_evaluate_texts(spark, sf):
                      "is_unique", "duplicate_of_candidate", r6("duplicate_similarity").alias("duplicate_similarity"))
 
 
+# --- readers, sinks and report sets on files -------------------------------------------
+
+def _folder(spark, name: str) -> str:
+    """A fresh folder for files under the shared one."""
+    import uuid
+
+    from proselens.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q_load_counts(spark, sf):
+    """A24 over S1, S2, S3: rows of each loaded table; no descriptors given counts 0."""
+    gold = RD.gold_texts(RD.read_table(spark, f"{sf}/benchmark.parquet").withColumnRenamed("text", "marketing_text"))
+    return RD.load_counts(products=RD.read_product_export(spark, f"{sf}/part.parquet"),
+                          descriptors=RD.read_descriptors(spark, f"{sf}/benchmark.parquet"), gold=gold,
+                          series_gold=RD.read_descriptors(spark, None))
+
+
+def q_generated_ids(spark, sf):
+    """S1 + P4: an export without ids; the file is in order of ``p_partkey``."""
+    raw = RD.read_product_export(spark, f"{sf}/part.parquet").drop("p_partkey")
+    return P.normalize_products(raw.withColumnRenamed("p_name", "Product designation")).select("product_id", "name")
+
+
+def q_series_gold_file_order(spark, sf):
+    """Two columns only; the last text of a series in file order wins."""
+    path = _folder(spark, "series-gold")
+    FX.raw_series_gold(spark, sf).orderBy("ord").select("series", "marketing_text").coalesce(1).write.parquet(path)
+    return RD.read_series_gold(spark, path)
+
+
+def q_standard_products(spark, sf):
+    """S5 + X6: written standard products with features as list text, read back."""
+    path = _folder(spark, "standard")
+    products(spark, sf).select("product_id", "name", F.to_json("features").alias("features")).write.parquet(path)
+    p = RD.read_standard_products(spark, path)
+    return p.select("product_id", F.size("features").cast("bigint").alias("n_features"),
+                    F.array_join("features", " | ").alias("features_text"))
+
+
+def q_list_features(spark, sf):
+    """List texts with both quotes, a plain text and an empty one."""
+    d = F.col("doc_id")
+    t = (F.when(d % 4 == 0, F.concat(F.lit('["it\'s '), "lang", F.lit('", \''), "source", F.lit("', 7]")))
+         .when(d % 4 == 1, F.concat(F.lit("[ '"), "lang", F.lit("' ]"))).when(d % 4 == 2, F.concat(F.lit("["), "lang"))
+         .otherwise(F.lit("")))
+    f = FX.table(spark, sf, "documents").select("doc_id", parse_list_text(t).alias("f"))
+    return f.select("doc_id", F.size("f").cast("bigint").alias("n"), F.array_join("f", " | ").alias("features"))
+
+
+def q_nan_scores(spark, sf):
+    """NaN, blank and junk judge scores never pass the gates."""
+    d = F.col("candidate_ord")
+    score = F.when(d % 4 == 0, "NaN").when(d % 4 == 1, "").when(d % 4 == 2, "8.5").otherwise("high")
+    c = FX.candidates(spark, sf).select("candidate_ord", F.concat(
+        F.lit('{"overall_score": "'), score, F.lit('", "relevance_score": 4, "generalization_score": 4}')).alias("raw"))
+    j = R.judge_fields(R.parse_replies(c)).withColumns({
+        "hallucination_score": F.lit(9.0), "semantic_attribute_alignment": F.lit(0.9), "in_range": F.lit(True),
+        "semantic_feature_coverage_normalized": F.lit(1.0), "char_len": F.lit(500)})
+    return add_scores(j, CFG).select("candidate_ord", "judge_score", r6("overall_score").alias("overall_score"),
+                                     "passed_quality_gates")
+
+
+def _written_runs(spark, sf) -> DataFrame:
+    """K1 twice, S7 + U3: two result folders read as one tagged table."""
+    r = results(spark, sf)
+    paths = {"with_reference": _folder(spark, "run"), "without_reference": _folder(spark, "run")}
+    W.write_results(r.filter("lang = 'en'"), paths["with_reference"])
+    W.write_results(r.filter("lang <> 'en'"), paths["without_reference"])
+    return RD.read_results(spark, paths)
+
+
+def _run_means(r: DataFrame, *keys: str) -> DataFrame:
+    return r.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n"), r6(F.avg("overall_score")).alias("mean_score"))
+
+
+def q_written_runs(spark, sf):
+    return _run_means(_written_runs(spark, sf), "dataset", "iteration")
+
+
+def q_rewritten_results(spark, sf):
+    """K1: a second write of fewer iterations leaves none of the first."""
+    path = _folder(spark, "rewritten")
+    r = results(spark, sf)
+    W.write_results(r, path)
+    W.write_results(r.filter("iteration < 2"), path)
+    return _run_means(RD.read_table(spark, path), "iteration")
+
+
+def q_rerun_iteration(spark, sf):
+    """K3: writing iteration 1 again replaces that one only."""
+    path = _folder(spark, "checkpoints")
+    r = results(spark, sf)
+    W.write_iteration_checkpoint(r, path)
+    W.write_iteration_checkpoint(r.filter("iteration = 1 and lang = 'en'"), path)
+    return _run_means(RD.read_table(spark, path), "iteration")
+
+
+def q_history_rerun(spark, sf):
+    """K6: the history of an iteration written twice is there once."""
+    path = _folder(spark, "history")
+    h = RP.improvement_history(RP.prompt_means(results(spark, sf)), CFG)
+    W.append_history(h, path)
+    W.append_history(h.filter("iteration = 1"), path)
+    back = RD.read_table(spark, path, "json")
+    return back.select(F.col("iteration").cast("int").alias("iteration"), "prompt_family", r6("avg_score").alias("avg_score"),
+                       "sample_size")
+
+
+def q_aggregate_file(spark, sf):
+    """K2: the aggregate table written and read."""
+    path = _folder(spark, "aggregate")
+    W.write_aggregate(RP.aggregate_by_run(results(spark, sf)), path)
+    return RD.read_table(spark, path)
+
+
+def q_summary_file(spark, sf):
+    """K4: the summary as JSON, read back without its time of writing."""
+    path = _folder(spark, "summary")
+    W.write_summary_json(RP.quality_summary(results(spark, sf), CFG.report_threshold), path)
+    return RD.read_table(spark, path, "json").select("total_outputs", "rejected_count",
+                                                     r6("rejection_rate").alias("rejection_rate"), "top_issue")
+
+
+def q_union_iterations(spark, sf):
+    """Iterations with different columns as one table."""
+    from proselens.plans.reports import union_iterations
+    r = results(spark, sf)
+    frames = [r.filter(F.col("iteration") == i).select("iteration", "overall_score", *(["judge_score"] if i % 2 else []))
+              for i in range(4)]
+    return union_iterations([None, *frames]).groupBy("iteration").agg(
+        F.count("overall_score").cast("bigint").alias("n_scores"), F.count("judge_score").cast("bigint").alias("n_judged"))
+
+
+def q_prompt_families(spark, sf):
+    """families of versioned names, one the beginning of the other."""
+    it = F.col("iteration")
+    name = versioned_name(F.when(F.col("model") == "model_a", "prompt").otherwise("prompt2"), it)
+    return FX.candidates(spark, sf).groupBy(prompt_family(name).alias("family")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+def q_optimisation_report(spark, sf):
+    from proselens.plans.reports import optimisation_report
+    return optimisation_report(results(spark, sf), CFG)["top_issues"]
+
+
+def q_final_report(spark, sf):
+    from proselens.plans.reports import final_report
+    return final_report(results(spark, sf), CFG)["duplicate_rate"]
+
+
+def q_figure_tables(spark, sf):
+    from proselens.plans.reports import figure_tables
+    return figure_tables(add_scores(FX.two_runs(spark, sf)), CFG)["score_curve"]
+
+
+# The texts around what a reviewer gets to see.
+JUDGE_TEMPLATE = ("Rate this text ({char_len} characters, {min_chars} to {max_chars} allowed, in range: {in_range}; alignment "
+                  "{semantic_attribute_alignment}, coverage {semantic_feature_coverage_normalized}).\n{candidate}")
+FACTCHECK_TEMPLATE = "Check every claim against {name} ({series}).\nFeatures: {features}\nData: {specs}\n{candidate}"
+
+
+def q_judge_requests(spark, sf):
+    r = judge_requests(FX.scored_candidates(spark, sf), JUDGE_TEMPLATE, CFG)
+    return r.select("candidate_ord", "request")
+
+
+def q_factcheck_requests(spark, sf):
+    r = factcheck_requests(FX.candidates(spark, sf), products(spark, sf), FACTCHECK_TEMPLATE)
+    return r.select("candidate_ord", "request")
+
+
+def q_own_gold_similarity(spark, sf):
+    """The gold text that a row itself carries."""
+    g = FX.gold(spark, sf).select("gold_id", F.col("marketing_text").alias("gold_text"))
+    c = FX.with_gold(FX.candidates(spark, sf), spark, sf).join(g, "gold_id", "left")
+    out = S.own_cosine(c, "candidate_ord", "marketing_text", "gold_text", "semantic_similarity_gold")
+    return out.select("candidate_ord", r6("semantic_similarity_gold").alias("semantic_similarity_gold"))
+
+
+def _first_vectors(spark, sf) -> DataFrame:
+    return FX.table(spark, sf, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))
+
+
+def q_paired_vector_cosine(spark, sf):
+    """X4 / J8 on vectors: each vector against the first one of its label."""
+    e = FX.table(spark, sf, "embeddings").join(broadcast_if_small(_first_vectors(spark, sf)), "label")
+    as_double = lambda c: F.col(c).cast("array<double>")
+    return e.select("vec_id", r6(cosine(as_double("embedding"), as_double("ref"))).alias("cosine"))
+
+
+def q_best_vector_reference(spark, sf):
+    """A18 on vectors: the best of the labels' first vectors."""
+    from proselens.operators.encoders import max_dense_similarity
+    out = max_dense_similarity(FX.table(spark, sf, "embeddings"), "vec_id", "embedding", _first_vectors(spark, sf), "ref",
+                               "best")
+    return out.select("vec_id", r6("best").alias("best"))
+
+
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_")}

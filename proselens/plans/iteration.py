@@ -17,6 +17,7 @@ from proselens.operators import replies as R
 from proselens.operators import similarity as S
 from proselens.operators.metrics import add_scores, attribute_text, combined_features, length_measures
 from proselens.functions.scoring import normalize_coverage
+from proselens.operators.requests import prompt_family
 
 KEY = ["iteration", "model", "product_id", "prompt_name"]
 
@@ -54,6 +55,6 @@ def iteration_results(replies: DataFrame, products: DataFrame, gold: DataFrame |
         "hallucinated_claims": F.coalesce("hallucinated_claims", F.lit("[]")),
         "sbert": F.coalesce("sbert", F.lit(0.0)),
         # prompt family = versioned prompt name without its "_iterN" suffix
-        "prompt_family": F.regexp_replace("prompt_name", r"_iter[0-9]+$", ""),
+        "prompt_family": prompt_family("prompt_name"),
     })
     return add_scores(rows.drop("_fact", "_judge"), cfg)

@@ -828,5 +828,67 @@ JOIN ({Q["feature_coverage"]}) fc ON fc.candidate_ord = al.candidate_ord
 JOIN ({dedup_sql(0.99, False)}) ut ON ut.candidate_ord = al.candidate_ord"""
 
 
+# --- readers, sinks and report sets ----------------------------------------------------
+
+Q["load_counts"] = """
+SELECT 'products' AS name, CAST(count(*) AS BIGINT) AS rows FROM part
+UNION ALL SELECT 'descriptors', count(*) FROM benchmark
+UNION ALL SELECT 'gold', count(*) FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT 'series_gold', 0"""
+Q["generated_ids"] = """
+SELECT printf('prod_%04d', row_number() OVER (ORDER BY p_partkey)) AS product_id, p_name AS name FROM part"""
+Q["series_gold_file_order"] = Q["series_gold_last"]
+Q["standard_products"] = """
+SELECT product_id, CAST(len(features) AS BIGINT) AS n_features, array_to_string(features, ' | ') AS features_text
+FROM products"""
+Q["list_features"] = """
+SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 3 WHEN 3 THEN 0 ELSE 1 END AS BIGINT) AS n,
+       CASE doc_id % 4 WHEN 0 THEN 'it''s ' || lang || ' | ' || source || ' | 7' WHEN 1 THEN lang WHEN 2 THEN '[' || lang
+       ELSE '' END AS features
+FROM documents"""
+Q["nan_scores"] = """
+SELECT candidate_ord, CASE WHEN candidate_ord % 4 = 2 THEN 8.5::DOUBLE END AS judge_score,
+       round(CASE WHEN candidate_ord % 4 = 2 THEN 8.85::DOUBLE ELSE 4.6::DOUBLE END, 6) AS overall_score,
+       candidate_ord % 4 = 2 AS passed_quality_gates
+FROM candidates"""
+_MEANS_SQL = "CAST(count(*) AS BIGINT) AS n, round(avg(overall_score), 6) AS mean_score"
+Q["written_runs"] = f"""
+SELECT CASE WHEN lang = 'en' THEN 'with_reference' ELSE 'without_reference' END AS dataset, iteration, {_MEANS_SQL}
+FROM results GROUP BY ALL"""
+Q["rewritten_results"] = f"SELECT iteration, {_MEANS_SQL} FROM results WHERE iteration < 2 GROUP BY iteration"
+Q["rerun_iteration"] = f"""
+SELECT iteration, {_MEANS_SQL} FROM results WHERE iteration <> 1 OR lang = 'en' GROUP BY iteration"""
+Q["history_rerun"] = """
+SELECT iteration, prompt_family, round(avg_score, 3) AS avg_score, sample_size FROM pmeans"""
+Q["aggregate_file"] = Q["aggregate_by_run"]
+Q["summary_file"] = "SELECT total_outputs, rejected_count, rejection_rate, top_issue FROM (" + Q["quality_summary"] + ")"
+Q["union_iterations"] = """
+SELECT iteration, CAST(count(overall_score) AS BIGINT) AS n_scores,
+       CAST(count(CASE WHEN iteration % 2 = 1 THEN judge_score END) AS BIGINT) AS n_judged
+FROM results GROUP BY iteration"""
+Q["prompt_families"] = """
+SELECT CASE WHEN model = 'model_a' THEN 'prompt' ELSE 'prompt2' END AS family, CAST(count(*) AS BIGINT) AS n
+FROM candidates GROUP BY ALL"""
+Q["optimisation_report"] = Q["top_issues"]
+Q["final_report"] = Q["duplicate_rate"]
+Q["figure_tables"] = Q["score_curve"]
+Q["judge_requests"] = """
+SELECT candidate_ord, 'Rate this text (' || CAST(char_len AS VARCHAR) || ' characters, 450 to 600 allowed, in range: '
+       || CASE WHEN in_range THEN 'True' ELSE 'False' END || '; alignment ' || printf('%.3f', semantic_attribute_alignment)
+       || ', coverage ' || printf('%.3f', semantic_feature_coverage_normalized) || ').' || chr(10) || marketing_text AS request
+FROM scored"""
+Q["factcheck_requests"] = """
+SELECT c.candidate_ord, 'Check every claim against ' || coalesce(p.name, '') || ' (' || coalesce(p.series, '') || ').' || chr(10)
+       || 'Features: ' || coalesce(CAST(to_json(p.features) AS VARCHAR), '') || chr(10) || 'Data: ' || coalesce(p.specs, '')
+       || chr(10) || c.marketing_text AS request
+FROM candidates c LEFT JOIN products p ON p.product_id = c.product_id"""
+Q["own_gold_similarity"] = Q["paired_gold_similarity"]
+CTES["first_vectors"] = """
+SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS ref FROM embeddings GROUP BY label"""
+_COS = "list_cosine_similarity(e.embedding::DOUBLE[], f.ref)"
+Q["paired_vector_cosine"] = f"SELECT vec_id, round({_COS}, 6) AS cosine FROM embeddings e JOIN first_vectors f USING (label)"
+Q["best_vector_reference"] = f"""
+SELECT vec_id, round(max({_COS}), 6) AS best FROM embeddings e, first_vectors f GROUP BY vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_ctes(v) for k, v in Q.items()}

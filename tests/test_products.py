@@ -21,6 +21,28 @@ def test_generated_ids_and_features(spark):
     assert out["B"]["technical_data"] == {"Colour": "x"}
 
 
+def test_columns_that_look_derived_are_kept(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c", "d")], "`<ID>` int, `_Weight` string, `Series` string, Volt string, "
+                                                          "brand string")
+    assert normalize_products(df).first()["technical_data"] == {"_Weight": "a", "Series": "b", "Volt": "c"}
+
+
+def test_ids_follow_the_file_order(spark, tmpdir_path):
+    from proselens.sources.readers import read_descriptors, read_product_export
+
+    rows = [(f"name {i}", i) for i in range(500)]
+    path = tmpdir_path + "/export"
+    spark.createDataFrame(rows, "`Product designation` string, Size int").orderBy("Size").coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = normalize_products(read_product_export(spark, path)).collect()
+        desc = read_descriptors(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["product_id"]: r["name"] for r in got} == {f"prod_{i + 1:04d}": f"name {i}" for i in range(500)}
+    assert {r["ord"]: r["Size"] for r in desc} == {i: i for i in range(500)}
+
+
 def test_enrichment_priority(spark):
     prods = spark.createDataFrame([(1, "Brand#1", " TYPE_A "), (2, "BRAND#2", "other"), (3, None, None)],
                                   "`<ID>` int, `Product brand` string, `Type` string")
@@ -38,8 +60,10 @@ def test_enrichment_priority(spark):
 
 
 def test_list_text_and_union(spark):
-    df = spark.createDataFrame([("['a', 'b']",), ("plain",), ("",), (None,)], "t string")
-    assert [r[0] for r in df.select(parse_list_text("t")).collect()] == [["a", "b"], ["plain"], [], []]
+    df = spark.createDataFrame([("['a', 'b']",), ("plain",), ("",), (None,), ("[\"it's\", 'b']",), ("['x\\'y', 3]",),
+                                ("['a'",), ("[]",), ("[a b]",), ("('p, q',)",)], "t string")
+    assert [r[0] for r in df.select(parse_list_text("t")).collect()] == [
+        ["a", "b"], ["plain"], [], [], ["it's", "b"], ["x'y", "3"], ["['a'"], [], ["[a b]"], ["p, q"]]
     a = spark.createDataFrame([(0, 1.0)], "iteration int, x double")
     b = spark.createDataFrame([(1, "y")], "iteration int, z string")
     u = union_iterations([a, None, b])
