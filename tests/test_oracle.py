@@ -3,12 +3,12 @@ correctness gate: row count, column names, order-insensitive value hash)."""
 
 import pytest
 
-import __spark_entry__ as entry
 from compare import compare, duck
 from conftest import SF01
+from proselens.plans import catalog, oracle
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalog.QUERIES
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
