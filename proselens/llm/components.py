@@ -39,3 +39,25 @@ def components(links: DataFrame, scratch: Scratch, label: str = "links") -> Data
         turn += 1
         edges = scratch.write(small, f"{label}{turn}")
         scratch.drop(f"{label}{turn - 1}", f"{label}{turn - 1}-large")
+
+
+def with_components(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the known components of both ends, ca and cb (their
+    own name if they have none)."""
+    for end in ("a", "b"):
+        side = known.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        pairs = pairs.join(side, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    return pairs
+
+
+def extended(known: DataFrame, links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """``known`` components after more links: only components that a link
+    joins take part, under their names."""
+    between = scratch.write(with_components(links, known).filter("ca <> cb")
+                            .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), f"{label}between")
+    if not between.limit(1).count():
+        return known
+    merged = components(between, scratch, label)
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    old = known.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return scratch.write(old.unionByName(merged.join(known, "node", "left_anti")), f"{label}extended")

@@ -10,8 +10,9 @@
 4. Survivors are verified exactly on the full sets, first one partner per
    class, then all that would still join two components.
 5. Members of large buckets that are in different components meet in blocks,
-   pruned by the same test; survivors are verified as before.  So nothing is
-   capped, and no task holds a whole bucket.
+   pruned by the same test; what survives is listed per member and block, not
+   per pair, and verified block by block on the full sets.  So nothing is
+   capped, no task holds a whole bucket, and no row is made per pair.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proselens.llm.common import Scratch, fresh, join_on_hot_key, pick, ship
-from proselens.llm.components import components
+from proselens.llm.components import components, extended, with_components
 
 BANDS, ROWS = 30, 5
 BATCH = 30
@@ -174,10 +175,9 @@ def _prune(pairs: DataFrame, classes: DataFrame, limits: list[tuple[int, int]])
     return both.mapInArrow(run, "a long, b long, m int")
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, k: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-
+def _sets(nodes: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """(cls, shingles) of the named documents, from their whole texts.  The
+    names are no bounded set: they are shuffled to the texts, at any size."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
@@ -188,75 +188,136 @@ def _verify(pairs: DataFrame, documents: DataFrame, k: int, percent: int, scratc
                     names=["cls", "shingles"])
 
     # rows that share an id are one document: each of them may hold the link
-    texts = pick(documents, "doc_id", "text").withColumnRenamed("doc_id", "cls").join(nodes, "cls")
-    sets = scratch.write(texts.mapInArrow(make, "cls long, shingles binary"), f"{label}-sets")
+    texts = pick(documents, "doc_id", "text").withColumnRenamed("doc_id", "cls").join(nodes.hint("merge"), "cls")
+    return texts.mapInArrow(make, "cls long, shingles binary")
+
+
+def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Exact test of two sorted sets."""
+    if len(s) > len(t):
+        s, t = t, s
+    if not len(s) or 100 * len(s) < percent * len(t):
+        return False
+    common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return 100 * common >= percent * (len(s) + len(t) - common)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough."""
     joined = (pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
               .join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
               .select("a", "b", "sa", "sb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keep = []
-            for i, (p, q) in enumerate(zip(x.column(2), x.column(3))):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                common = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-                if common and 100 * common >= percent * (len(s) + len(t) - common):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
+            at = pa.array([i for i, (p, q) in enumerate(zip(x.column(2), x.column(3)))
+                           if linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64),
+                                     percent)], pa.int64())
             yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at)], names=["a", "b"])
 
     return joined.mapInArrow(check, "a long, b long").distinct()
 
 
-def _with_component(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs with the components of both ends (their own name if alone)."""
-    for end in ("a", "b"):
-        side = comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        pairs = pairs.join(side, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return pairs
+def _blocks(name: str, size: int) -> Column:
+    return F.expr(f"cast(ceil({name} / {size}) as int)")
 
 
 def _meet(hot: DataFrame, classes: DataFrame, comp: DataFrame, limits: list[tuple[int, int]], percent: int,
-          scratch: Scratch) -> DataFrame:
-    """Pairs of members of large buckets in different components that survive
-    the signature test: those outside the bucket's commonest component meet
-    every block of its members."""
+          scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Candidates between members of large buckets in different components.
+
+    Those outside a bucket's commonest component meet every block of its
+    members, and the signature test prunes.  What survives is never a row per
+    pair: one row lists a member's candidates within a home block.  ``home``
+    is the commonest component of one of a member's buckets, so that near
+    copies share few home blocks.  Returns the lists (home, y, x, cls,
+    others) and the members that occur in one: (home, y, cls, xs), xs the
+    number of x blocks of the home.
+    """
     side = comp.select(F.col("node").alias("cls"), "component")
-    members = (hot.join(side, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-               .join(classes.select("cls", "sig"), "cls"))
-    members = scratch.write(members.select("bkey", "cls", "n", "cnt", "component", "sig"), "members")
+    members = scratch.write(
+        hot.join(side, "cls", "left").select("bkey", "cls", "n", "cnt", F.coalesce("component", "cls").alias("component")),
+        "members")
     sizes = members.groupBy("bkey", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = (sizes.groupBy("bkey").agg(F.max_by("component", F.struct("c", "component")).alias("main"),
-                                       F.count(F.lit(1)).alias("comps"), F.sum("c").alias("_n")).filter("comps > 1"))
-    mixed = scratch.write(mixed, "mixed")
-    total = members.count()
+    mixed = scratch.write(
+        sizes.groupBy("bkey").agg(F.max_by("component", F.struct("c", "component")).alias("main"),
+                                  F.count(F.lit(1)).alias("comps"), F.sum("c").alias("_n")).filter("comps > 1"), "mixed")
+    total = mixed.agg(F.sum("_n")).first()[0] or 0
     rows = join_on_hot_key(members, mixed, "bkey", total=total)
-    blocks = F.expr(f"cast(ceil(cnt / {BLOCK}) as int)")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    homes = scratch.write(rows.groupBy("cls").agg(F.min("main").alias("home"),
+                                                  F.max((F.col("component") != F.col("main")).cast("int")).alias("out")),
+                          "homes")
+    counts = homes.groupBy("home").agg(F.count(F.lit(1)).alias("_n"), F.sum("out").alias("outs"))
+    placed = join_on_hot_key(homes, counts, "home", total=homes.count()).select(
+        "cls", "home", F.expr(f"cast(pmod(xxhash64(cls), ceil(_n / {BLOCK})) as int)").alias("y"),
+        F.greatest(_blocks("outs", BLOCK), F.lit(1)).alias("xs"))
+    placed = scratch.write(placed, "placed")
+    rows = (rows.join(placed, "cls").join(classes.select("cls", "sig"), "cls")
+            .withColumn("parts", _blocks("cnt", BLOCK))
+            .withColumn("part", F.expr("cast(pmod(xxhash64(cls, 5), parts) as int)")))
     rows = scratch.write(rows, "meeting")
-    every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = rows.select("bkey", F.col("block").alias("x"), every.alias("y"), "cls", "n", "component", "sig")
+    every = F.explode(F.expr("sequence(0, parts - 1)"))
+    left = rows.select("bkey", F.col("part").alias("p"), every.alias("q"), "cls", "n", "component", "sig", "home", "y", "xs")
     outside = scratch.read("meeting", rows.schema).filter("component <> main")
-    right = outside.select("bkey", every.alias("x"), F.col("block").alias("y"), "cls", "n", "component", "sig")
+    right = outside.select("bkey", every.alias("p"), F.col("part").alias("q"), "cls", "n", "component", "sig")
     width = limits[-1][0]
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        """A member and the outsider it survived against: the list stands in
+        the member's home block, for the outsider."""
         found = []
         if len(p) and len(q):
             sp, sq = (np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(-1, width) for f in (p, q))
-            ids, comps, ns = (p[c].to_numpy() for c in ("cls", "component", "n"))
+            ids, comps, ns, homes_, ys, xs = (p[c].to_numpy() for c in ("cls", "component", "n", "home", "y", "xs"))
             for i, (cls, component, n) in enumerate(zip(q["cls"], q["component"], q["n"])):
                 some = np.flatnonzero((comps != component) & (100 * np.minimum(ns, n) >= percent * np.maximum(ns, n)))
-                live, m = survives(sp[some], np.broadcast_to(sq[i], (len(some), width)), limits)
-                found += [(min(cls, o), max(cls, o), int(k)) for o, k in zip(ids[some[live]], m)]
-        return pd.DataFrame(found, columns=["a", "b", "m"])
+                live, _ = survives(sp[some], np.broadcast_to(sq[i], (len(some), width)), limits)
+                hit = some[live]
+                for home, y in {(h, y) for h, y in zip(homes_[hit].tolist(), ys[hit].tolist())}:
+                    here = hit[(homes_[hit] == home) & (ys[hit] == y)]
+                    # the outsider's place among the x blocks of that home
+                    found.append((home, y, int(cls) % int(xs[here[0]]), int(cls), int(component), ids[here].tolist()))
+        return pd.DataFrame(found, columns=["home", "y", "x", "cls", "component", "others"])
+
+    key = ["bkey", "p", "q"]
+    lists = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
+        run, "home long, y int, x int, cls long, component long, others array<long>")
+    members = rows.select("home", "y", "xs", "cls", "component").distinct()
+    return scratch.write(lists, "lists"), members
+
+
+def _verify_lists(lists: DataFrame, members: DataFrame, sets: DataFrame, same_sets: DataFrame,
+                  percent: int) -> DataFrame:
+    """Links (a, b) of the lists, exact on full sets (the same table, read twice).  A member that is linked
+    to a component needs no second link to it."""
+    left = (members.join(sets, "cls").select("home", "y", F.explode(F.expr("sequence(0, xs - 1)")).alias("x"), "cls",
+                                             "component", "shingles"))
+    right = lists.select("home", "y", "x", "cls", "component", "others").join(same_sets, "cls")
+    schema = "a long, b long"
 
-    key = ["bkey", "x", "y"]
-    return (left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "a long, b long, m int")
-            .groupBy("a", "b").agg(F.max("m").alias("m")))
+    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        theirs: dict[int, list] = {}
+        for cls, raw in zip(p["cls"], p["shingles"]):
+            theirs.setdefault(cls, []).append(np.frombuffer(raw, np.uint64))
+        comps = dict(zip(p["cls"], p["component"]))
+        found, joined, tested = [], set(), set()
+        for cls, others, raw in zip(q["cls"], q["others"], q["shingles"]):
+            mine = np.frombuffer(raw, np.uint64)
+            for o in others.tolist():
+                if (cls, comps[o]) in joined or (cls, o, raw) in tested:
+                    continue
+                tested.add((cls, o, raw))
+                if any(linked(mine, t, percent) for t in theirs[o]):
+                    joined.add((cls, comps[o]))
+                    found.append((min(cls, o), max(cls, o)))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    key = ["home", "y", "x"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema)
 
 
 def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
@@ -318,20 +379,23 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     pairs = both.unionByName(star).distinct()
     survivors = scratch.write(_prune(pairs, classes, limits), "survivors")
 
-    # one partner each, the likeliest; then whatever still joins components
+    # one partner each, the likeliest
     first = survivors.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b")
-    links = scratch.write(_verify(first, documents, k, percent, scratch, "first").unionByName(
+    first = scratch.write(first, "first")
+    sets = scratch.write(_sets(_ends(first), documents, k), "first-sets")
+    links = scratch.write(_verify(first, sets, percent).unionByName(
         same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "links1")
     comp = scratch.write(components(links, scratch, "c1-"), "comp1")
-    rest = _with_component(survivors.select("a", "b").join(first, ["a", "b"], "left_anti"), comp).filter("ca <> cb")
-    more = scratch.write(_verify(scratch.write(rest.select("a", "b"), "rest"), documents, k, percent, scratch, "second"),
-                         "links2")
-    links = links.unionByName(more)
-    comp = scratch.write(components(links, scratch, "c2-"), "comp2")
-    met = scratch.write(_meet(hot, classes, comp, limits, percent, scratch), "met")
-    last = scratch.write(_verify(met.select("a", "b").join(survivors, ["a", "b"], "left_anti"), documents, k, percent,
-                                 scratch, "third"), "links3")
-    comp = components(links.unionByName(last), scratch, "c3-")
+    scratch.drop("first-sets")
+    # then all that would still join two components, from small and large buckets
+    rest = with_components(survivors.select("a", "b").join(first, ["a", "b"], "left_anti"), comp).filter("ca <> cb")
+    rest = scratch.write(rest.select("a", "b"), "rest")
+    lists, members = _meet(hot, classes, comp, limits, percent, scratch)
+    nodes = _ends(rest).unionByName(lists.select("cls")).unionByName(members.select("cls")).distinct()
+    sets = scratch.write(_sets(nodes, documents, k), "rest-sets")
+    again = scratch.read("rest-sets", sets.schema)
+    more = _verify(rest, sets, percent).unionByName(_verify_lists(lists, members, sets, again, percent))
+    comp = extended(comp, scratch.write(more, "links2"), scratch, "c2-")
 
     named = scratch.write(classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
                           .select("digest", "_n", F.coalesce("component", "cls").alias("component_id")), "named")
