@@ -281,3 +281,26 @@ def test_pipeline_stages(spark, odd_rows):
     assert stages["toxicity"](spark, docs, d).columns == docs.columns
     assert stages["line_dedup"](spark, docs, d).columns == docs.columns
     assert stages["packing"](spark, docs, d).count() >= len(rows)
+
+
+def test_components_after_more_links(spark):
+    from proselens.llm.components import extended
+
+    scratch = Scratch(spark, "t")
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = components(frame([(1, 2), (2, 3), (10, 11), (20, 21)]), scratch, "one-")
+    got = {r["node"]: r["component"] for r in
+           extended(known, frame([(3, 11), (30, 20), (40, 41), (1, 3)]), scratch, "two-").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 40: 40, 41: 40}
+    same = extended(known, frame([(1, 3)]), scratch, "three-")
+    assert {r["node"]: r["component"] for r in same.collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 20}
+
+
+def test_pipeline_stages_on_an_empty_table(spark, no_documents):
+    import corpus_pipeline as cp
+
+    for name, stage in cp.STAGES:
+        out = stage(spark, no_documents, "/root/testdata/sf0.001")
+        assert out.collect() == []
+        if name != "packing":
+            assert out.columns == no_documents.columns
