@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 # are hot, whatever the size of the table: that is the proven bound of the
 # broadcast in ``join_on_hot_key``.
 HOT_KEYS = 1000
+# Rows of an Arrow batch at most: rows here are whole texts, so this bounds
+# what a Python worker holds at a time.  It changes no result.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application."""
+    """Send this package to the Python workers once per application, and keep
+    their batches within BATCH_ROWS."""
     sc = spark.sparkContext
+    rows = int(spark.conf.get(_BATCH_CONF))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     if getattr(sc, "_proselens_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -42,7 +42,7 @@ PATTERNS = {
     "!masked": re.compile(r"\b\w+[*@#$]{2,}\w*\b"),
 }
 _WORD = re.compile(r"\w+")
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
