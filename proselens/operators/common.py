@@ -94,8 +94,8 @@ def release(*frames: DataFrame) -> None:
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition rows by ``keys`` (``spark.sql.shuffle.partitions``
-    buckets, which AQE may coalesce when they are small).
+    """Hash-partition rows by ``keys`` into ``spark.sql.shuffle.partitions``
+    buckets, a count that AQE leaves alone: per-text work outweighs its bytes.
 
     Used before tokenising texts: the shuffle moves each text once (cheaper
     than moving its exploded tokens), spreads the per-text CPU work over all
@@ -103,4 +103,5 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     by the text key, so per-text aggregations that follow (token counts,
     norms) need no further exchange.
     """
-    return df.repartition(*keys)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proselens.operators.common import spread_by
+
 # Bytes of reference texts that a task holds at a time.
 REFERENCE_BYTES = 32 << 20
 
@@ -64,7 +66,7 @@ def _per_row(joined: DataFrame, key: str, fields: list[T.StructField], fn: Calla
                 [batch.column(0), *[pa.array(c, kinds[f.dataType]) for c, f in zip(columns, fields)]],
                 names=[key, *[f.name for f in fields]])
 
-    return joined.mapInArrow(run, schema)
+    return spread_by(joined, key).mapInArrow(run, schema)
 
 
 def _remembered(make: Callable) -> Callable:
