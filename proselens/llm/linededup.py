@@ -1,12 +1,14 @@
 """Line deduplication by pairwise alignment (operator 6).
 
-Lines end at line breaks and sentence ends; a longer line is wrapped at words
-that their own hash picks, so a passage has the same lines wherever it stands.
-Each line's earliest holder (by doc_id) pairs with every later one: linear in
-the number of lines, whatever they share.  Pairs that share enough words in
-lines long enough to be rare are aligned by patience diff over their line
-hashes, and aligned common blocks of enough words are deleted from the later
-document.  The earliest holder of a line always keeps it.
+Lines end at line breaks and sentence ends, and inside a sentence before words
+picked by their neighbours alone: the least hash of every PICK_WORDS words in a
+row.  Two texts that share n words in a row therefore share all their lines but
+for PICK_WORDS - 1 words at either end, whatever stands around them.  Each
+line's earliest holder (by doc_id) pairs with every later one: linear in the
+number of lines, whatever they share.  Pairs that share enough words in whole
+lines are aligned by patience diff over their line hashes; aligned blocks are widened word by word past the ends of their lines, and those
+of enough words are deleted from the later document.  The earliest holder of a
+line always keeps it.
 """
 
 from __future__ import annotations
@@ -25,36 +27,64 @@ from proselens.llm.common import Scratch, fresh, join_on_hot_key, pick, ship
 
 # A block of at least so many words is deleted.
 BLOCK_WORDS = 25
-# Pairs share at least so many words, in lines of at least RARE_WORDS.
-EVIDENCE_WORDS, RARE_WORDS = 15, 4
-WRAP_WORDS = 24
-_BREAK = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
+# Pairs share at least so many words in whole lines.
+EVIDENCE_WORDS = 15
+# In each sentence one of so many words in a row begins a line, at least.
+PICK_WORDS = 12
+_LINES = re.compile(r"[\r\n]+")
 _WORD = re.compile(r"\S+")
 _BATCH = 512
-
-
-def spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the lines of a text that hold words."""
-    out = []
-    at = 0
-    for stop, after in [*(m.span() for m in _BREAK.finditer(text)), (len(text), len(text))]:
-        words = len(text[at:stop].split())
-        if 0 < words <= WRAP_WORDS:
-            out.append((at, stop, words))
-        elif words:
-            start, n = at, 0
-            for m in _WORD.finditer(text, at, stop):
-                if n and xxhash.xxh32_intdigest(m[0].lower()) % 8 == 0:
-                    out.append((start, m.start(), n))
-                    start, n = m.start(), 0
-                n += 1
-            out.append((start, stop, n))
-        at = after
-    return out
-
-
-def line_hash(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(line.lower().split()))
+_MEMO_WORDS = 200_000
+_PLACE = (1 << 31) - 1
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+class _Memo(dict):
+    """Hashes of words; the lowest bit says that the word ends a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _MEMO_WORDS:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word.lower()) & ~1 | (word[-1] in ".!?")
+        self[word] = h
+        return h
+
+
+_MEMO = _Memo()
+
+
+def cut(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each line and the number of words)."""
+    hashes: list[int] = []
+    begins = []
+    for part in _LINES.split(text):
+        words = part.split()
+        if words:
+            begins.append(len(hashes))
+            hashes.extend(map(_MEMO.__getitem__, words))
+    h = np.array(hashes, np.uint64)
+    opens = np.zeros(len(h), bool)
+    opens[begins] = True
+    opens[1:] |= (h[:-1] & np.uint64(1)).astype(bool)
+    if len(h) >= PICK_WORDS:
+        # of equal words the last, so that the choice depends on these words only
+        keys = (h >> np.uint64(33)).view(np.int64) << 31 | _PLACE - np.arange(len(h))
+        least = np.lib.stride_tricks.sliding_window_view(keys, PICK_WORDS).min(axis=1)
+        sentence = np.cumsum(opens)
+        inside = sentence[:1 - PICK_WORDS] == sentence[PICK_WORDS - 1:]
+        opens[_PLACE - (least[inside] & _PLACE)] = True
+    return h, np.append(np.flatnonzero(opens), len(h))
+
+
+def hashes_of(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes (int64) of the runs of words from first to before end."""
+    n = len(words)
+    up, down = (np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _BACK))
+    sums = np.append(np.uint64(0), np.cumsum(words * up[:n], dtype=np.uint64))
+    x = (sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
 def _rising(values: list[int]) -> list[int]:
@@ -126,19 +156,35 @@ def align(later: list[int], earlier: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def blocks(later: list[int], earlier: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(first line, end line, words) of the aligned runs of the later text."""
+def widened(later: list[int], earlier: list[int], first: int, end: int, start: int) -> tuple[int, int]:
+    """Words first to before end of the later text, which the earlier one holds
+    from start on, as far to either side as both texts agree."""
+    stop = start + end - first
+    while first and start and later[first - 1] == earlier[start - 1]:
+        first, start = first - 1, start - 1
+    while end < len(later) and stop < len(earlier) and later[end] == earlier[stop]:
+        end, stop = end + 1, stop + 1
+    return first, end
+
+
+def blocks(later: np.ndarray, later_lines: np.ndarray, earlier: np.ndarray, earlier_lines: np.ndarray,
+           least: int) -> list[tuple[int, int, int, int]]:
+    """(first line, end line, first word, end word) of the blocks of the later
+    text that the earlier one holds.  A text is its words' hashes and, as of
+    ``cut``, where its lines begin; lines are those that match as a whole."""
     out = []
-    run: list[int] = []
-    last = (-2, -2)
-    for b, a in [*align(later, earlier), (-9, -9)]:
-        if (b, a) != (last[0] + 1, last[1] + 1):
-            n = sum(words[i] for i in run)
-            if run and n >= least:
-                out.append((run[0], run[-1] + 1, n))
+    run: list[tuple[int, int]] = []
+    mine, theirs = later.tolist(), earlier.tolist()
+    pairs = align(hashes_of(later, later_lines[:-1], later_lines[1:]).tolist(),
+                  hashes_of(earlier, earlier_lines[:-1], earlier_lines[1:]).tolist())
+    for b, a in [*pairs, (-9, -9)]:
+        if run and (b, a) != (run[-1][0] + 1, run[-1][1] + 1):
+            i, j = run[0][0], run[-1][0] + 1
+            first, end = widened(mine, theirs, int(later_lines[i]), int(later_lines[j]), int(earlier_lines[run[0][1]]))
+            if end - first >= least:
+                out.append((i, j, first, end))
             run = []
-        run.append(b)
-        last = (b, a)
+        run.append((b, a))
     return out
 
 
@@ -147,8 +193,9 @@ def _key() -> Column:
 
 
 def find_blocks(documents: DataFrame, least_words: int = BLOCK_WORDS, evidence_words: int = EVIDENCE_WORDS,
-                rare_words: int = RARE_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """Blocks to delete: (key, doc_id, earlier_id, first_line, end_line, words).
+                scratch: Scratch | None = None) -> DataFrame:
+    """Blocks to delete: (key, doc_id, earlier_id, first_line, end_line,
+    first_word, end_word, words).
 
     ``key`` names a document by id and text: rows that repeat both are one
     document, which is never its own duplicate.  Null ids come first in the
@@ -157,28 +204,30 @@ def find_blocks(documents: DataFrame, least_words: int = BLOCK_WORDS, evidence_w
     """
     ship(documents.sparkSession)
     scratch = scratch or Scratch(documents.sparkSession, "lines")
-    schema = "key long, doc_id long, hashes array<long>, words array<int>"
+    schema = "key long, doc_id long, tokens array<int>, begins array<int>, hashes array<long>, words array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, _BATCH):
                 batch = whole.slice(first, _BATCH)
-                hashes, counts = [], []
+                tokens, begins, hashes, counts = [], [], [], []
                 for t in batch.column(2).to_pylist():
-                    at = spans(t)
-                    hashes.append(np.array([line_hash(t[a:b]) for a, b, _ in at], np.uint64).view(np.int64))
-                    counts.append([n for _, _, n in at])
+                    h, at = cut(t)
+                    tokens.append((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    begins.append(at.astype(np.int32))
+                    hashes.append(hashes_of(h, at[:-1], at[1:]))
+                    counts.append(np.diff(at).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())),
-                     pa.array(counts, pa.list_(pa.int32()))], names=["key", "doc_id", "hashes", "words"])
+                    [batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.int32())),
+                     pa.array(begins, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())),
+                     pa.array(counts, pa.list_(pa.int32()))], names=schema.replace(",", "").split()[::2])
 
     texts = (pick(documents, "doc_id", "text").filter("text is not null")
              .select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
     lines = scratch.write(texts.mapInArrow(run, schema), "lines")
     # one row per document: repeated rows have equal lines
     flat = (lines.select("key", "doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("l"))
-            .select("key", "doc_id", F.col("l.hashes").alias("line"), F.col("l.words").alias("n"))
-            .filter(F.col("n") >= rare_words))
+            .select("key", "doc_id", F.col("l.hashes").alias("line"), F.col("l.words").alias("n")))
     holders = scratch.write(
         flat.groupBy("line").agg(F.min(F.struct("doc_id", "key")).alias("first"),
                                  F.max(F.struct("doc_id", "key")).alias("last"), F.count(F.lit(1)).alias("_n"))
@@ -188,36 +237,39 @@ def find_blocks(documents: DataFrame, least_words: int = BLOCK_WORDS, evidence_w
     pairs = scratch.write(
         shared.filter("key <> earlier").groupBy("key", "earlier").agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= evidence_words).select("key", "earlier"), "pairs")
-    whole = lines.dropDuplicates(["key"])
-    mine = whole.select("key", "doc_id", "hashes", "words")
+    whole = lines.select("key", "doc_id", "tokens", "begins").dropDuplicates(["key"])
     theirs = whole.select(F.col("key").alias("earlier"), F.col("doc_id").alias("earlier_id"),
-                          F.col("hashes").alias("earlier_hashes"))
-    both = (pairs.join(mine, "key").join(theirs, "earlier")
-            .select("key", "doc_id", "earlier_id", "hashes", "words", "earlier_hashes"))
+                          F.col("tokens").alias("earlier_tokens"), F.col("begins").alias("earlier_begins"))
+    both = (pairs.join(whole, "key").join(theirs, "earlier")
+            .select("key", "doc_id", "earlier_id", "tokens", "begins", "earlier_tokens", "earlier_begins"))
+    found = ("key long, doc_id long, earlier_id long, first_line int, end_line int, first_word int, end_word int, "
+             "words int")
+    names = found.replace(",", "").split()[::2]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, doc, other, h, w, o in zip(*(batch.column(i) for i in range(6))):
-                for a, b, n in blocks(h.as_py(), o.as_py(), w.as_py(), least_words):
-                    rows.append((key.as_py(), doc.as_py(), other.as_py(), a, b, n))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["key", "doc_id", "earlier_id", "first_line", "end_line", "words"])
+            for key, doc, other, *texts in zip(*batch.columns):
+                w, at, ow, oat = (x.values.to_numpy() for x in texts)
+                for i, j, a, b in blocks(w.view(np.uint32).astype(np.uint64), at,
+                                         ow.view(np.uint32).astype(np.uint64), oat, least_words):
+                    rows.append((key.as_py(), doc.as_py(), other.as_py(), i, j, a, b, b - a))
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return both.mapInArrow(match, "key long, doc_id long, earlier_id long, first_line int, end_line int, words int")
+    return both.mapInArrow(match, found)
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> str:
-    """Text without the lines of the runs (first, end); what separates lines
-    goes with the line before it."""
-    at = spans(text)
-    gone = np.zeros(len(at) + 1, bool)
-    for a, b in runs:
-        gone[a:b] = True
-    starts = [s for s, _, _ in at] + [len(text)]
-    return text[:starts[0]] + "".join(text[starts[i]:starts[i + 1]] for i in range(len(at)) if not gone[i])
+    """Text without the words of the runs (first, end); what separates words
+    goes with the word before it."""
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    kept, at = [], 0
+    for a, b in sorted(runs):
+        kept.append(text[at:starts[a]])
+        at = max(at, starts[b])
+    return "".join([*kept, text[at:]])
 
 
 def delete_blocks(documents: DataFrame, found: DataFrame) -> DataFrame:
@@ -226,7 +278,7 @@ def delete_blocks(documents: DataFrame, found: DataFrame) -> DataFrame:
     names = documents.columns
     key, gone = fresh(documents, "line_key"), fresh(documents, "line_runs")
     # a document has at most as many runs as lines
-    runs = found.groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("first_line", "end_line")).alias(gone))
+    runs = found.groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("first_word", "end_word")).alias(gone))
     tagged = documents.withColumn(key, _key()).join(runs, key, "left")
     same = tagged.filter(F.col(f"`{gone}`").isNull()).select(*[F.col(f"`{n}`") for n in names])
     schema = documents.schema
@@ -234,7 +286,7 @@ def delete_blocks(documents: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without(t, [(r["first_line"], r["end_line"]) for r in runs])
+            texts = [without(t, [(r["first_word"], r["end_word"]) for r in runs])
                      for t, runs in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist())]
             keep = pa.array([i for i, t in enumerate(texts) if t.strip()], pa.int64())
             columns = [c.take(keep) for c in batch.columns[:len(names)]]

@@ -117,6 +117,25 @@ def test_repeated_passage_goes_from_later_documents(spark, wrapped):
             assert prose(1000 + i, 60).replace(".", "")[:200] in out[i]["text"].replace(".", "")
 
 
+def plain(seed, n):
+    return prose(seed, n).replace(".", "").split()
+
+
+def test_passages_over_50_words_go_wherever_they_stand(spark):
+    """Any words around the same words: all of them go from the later text."""
+    rng = random.Random(5)
+    docs, want = [], {}
+    for i in range(120):
+        passage = plain(10_000 + i, rng.randint(51, 120))
+        for k in range(2):
+            around = prose(20_000 + 2 * i + k, 150).split() if i % 2 else plain(20_000 + 2 * i + k, 150)
+            at = rng.randrange(len(around) + 1)
+            docs.append((2 * i + k, " ".join(around[:at] + passage + around[at:])))
+            want[2 * i + k] = " ".join(around).split() if k else docs[-1][1].split()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"].split() for r in linededup.line_dedup(df).collect()} == want
+
+
 def test_line_dedup_odd_rows(odd_documents, no_documents, odd_rows):
     out = linededup.line_dedup(odd_documents)
     assert out.columns == odd_documents.columns
