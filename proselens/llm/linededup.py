@@ -3,12 +3,14 @@
 Lines end at line breaks and sentence ends, and inside a sentence before words
 picked by their neighbours alone: the least hash of every PICK_WORDS words in a
 row.  Two texts that share n words in a row therefore share all their lines but
-for PICK_WORDS - 1 words at either end, whatever stands around them.  Each
-line's earliest holder (by doc_id) pairs with every later one: linear in the
-number of lines, whatever they share.  Pairs that share enough words in whole
-lines are aligned by patience diff over their line hashes; aligned blocks are widened word by word past the ends of their lines, and those
-of enough words are deleted from the later document.  The earliest holder of a
-line always keeps it.
+for PICK_WORDS - 1 words at either end, whatever stands around them.  Each line
+begins a run of lines, as many as hold the words of a block.  The earliest
+holder (by doc_id) of a run pairs with every later one: one row per line,
+whatever they share, and whoever holds a block has a partner for each of its
+runs.  Pairs are aligned by patience diff over their line hashes; aligned
+blocks are widened word by word past the ends of their lines, and those of
+enough words are deleted from the later document.  The earliest holder of a run
+always keeps it.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ from proselens.llm.common import Scratch, fresh, join_on_hot_key, pick, ship
 
 # A block of at least so many words is deleted.
 BLOCK_WORDS = 25
-# Pairs share at least so many words in whole lines.
-EVIDENCE_WORDS = 15
 # In each sentence one of so many words in a row begins a line, at least.
 PICK_WORDS = 12
 _LINES = re.compile(r"[\r\n]+")
@@ -87,6 +87,13 @@ def hashes_of(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
+def run_ends(lines: np.ndarray, least: int) -> np.ndarray:
+    """For each line the first line by which ``least`` words have passed;
+    only the lines before which that many words are left, a prefix of all."""
+    ends = np.searchsorted(lines, lines[:-1] + least)
+    return ends[ends < len(lines)]
+
+
 def _rising(values: list[int]) -> list[int]:
     """Places of a longest rising subsequence, by patience piles."""
     from bisect import bisect_left
@@ -192,8 +199,7 @@ def _key() -> Column:
     return F.xxhash64(F.col("`doc_id`"), F.col("`text`"))
 
 
-def find_blocks(documents: DataFrame, least_words: int = BLOCK_WORDS, evidence_words: int = EVIDENCE_WORDS,
-                scratch: Scratch | None = None) -> DataFrame:
+def find_blocks(documents: DataFrame, least_words: int = BLOCK_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """Blocks to delete: (key, doc_id, earlier_id, first_line, end_line,
     first_word, end_word, words).
 
@@ -204,39 +210,35 @@ def find_blocks(documents: DataFrame, least_words: int = BLOCK_WORDS, evidence_w
     """
     ship(documents.sparkSession)
     scratch = scratch or Scratch(documents.sparkSession, "lines")
-    schema = "key long, doc_id long, tokens array<int>, begins array<int>, hashes array<long>, words array<int>"
+    schema = "key long, doc_id long, tokens array<int>, begins array<int>, runs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, _BATCH):
                 batch = whole.slice(first, _BATCH)
-                tokens, begins, hashes, counts = [], [], [], []
+                tokens, begins, runs = [], [], []
                 for t in batch.column(2).to_pylist():
                     h, at = cut(t)
                     tokens.append((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     begins.append(at.astype(np.int32))
-                    hashes.append(hashes_of(h, at[:-1], at[1:]))
-                    counts.append(np.diff(at).astype(np.int32))
+                    ends = run_ends(at, least_words)
+                    runs.append(hashes_of(h, at[:len(ends)], at[ends]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.int32())),
-                     pa.array(begins, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())),
-                     pa.array(counts, pa.list_(pa.int32()))], names=schema.replace(",", "").split()[::2])
+                     pa.array(begins, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], names=schema.replace(",", "").split()[::2])
 
     texts = (pick(documents, "doc_id", "text").filter("text is not null")
              .select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
     lines = scratch.write(texts.mapInArrow(run, schema), "lines")
     # one row per document: repeated rows have equal lines
-    flat = (lines.select("key", "doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("l"))
-            .select("key", "doc_id", F.col("l.hashes").alias("line"), F.col("l.words").alias("n")))
+    flat = lines.select("key", "doc_id", F.explode("runs").alias("run"))
     holders = scratch.write(
-        flat.groupBy("line").agg(F.min(F.struct("doc_id", "key")).alias("first"),
-                                 F.max(F.struct("doc_id", "key")).alias("last"), F.count(F.lit(1)).alias("_n"))
-        .filter("first <> last").select("line", F.col("first.key").alias("earlier"), "_n"), "holders")
+        flat.groupBy("run").agg(F.min(F.struct("doc_id", "key")).alias("first"),
+                                F.max(F.struct("doc_id", "key")).alias("last"), F.count(F.lit(1)).alias("_n"))
+        .filter("first <> last").select("run", F.col("first.key").alias("earlier"), "_n"), "holders")
     total = holders.agg(F.sum("_n")).first()[0] or 0
-    shared = join_on_hot_key(flat.select("line", "key", "n"), holders, "line", total=total)
-    pairs = scratch.write(
-        shared.filter("key <> earlier").groupBy("key", "earlier").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= evidence_words).select("key", "earlier"), "pairs")
+    shared = join_on_hot_key(flat.select("run", "key"), holders, "run", total=total)
+    pairs = scratch.write(shared.filter("key <> earlier").select("key", "earlier").distinct(), "pairs")
     whole = lines.select("key", "doc_id", "tokens", "begins").dropDuplicates(["key"])
     theirs = whole.select(F.col("key").alias("earlier"), F.col("doc_id").alias("earlier_id"),
                           F.col("tokens").alias("earlier_tokens"), F.col("begins").alias("earlier_begins"))

@@ -136,6 +136,17 @@ def test_passages_over_50_words_go_wherever_they_stand(spark):
     assert {r["doc_id"]: r["text"].split() for r in linededup.line_dedup(df).collect()} == want
 
 
+def test_passage_goes_though_each_line_is_older(spark):
+    """Lines that first stand singly in other texts do not hide a passage."""
+    lines = [" ".join(plain(30_000 + i, 8)) + "." for i in range(10)]
+    docs = [(i, f"{prose(31_000 + i, 45)} {line} {prose(32_000 + i, 45)}") for i, line in enumerate(lines)]
+    docs += [(20 + k, " ".join([prose(33_000 + k, 45), *lines, prose(34_000 + k, 45)])) for k in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in linededup.line_dedup(df).collect()}
+    assert all(out[i] == t for i, t in docs[:11])
+    assert all(out[20 + k] == f"{prose(33_000 + k, 45)} {prose(34_000 + k, 45)}" for k in (1, 2))
+
+
 def test_line_dedup_odd_rows(odd_documents, no_documents, odd_rows):
     out = linededup.line_dedup(odd_documents)
     assert out.columns == odd_documents.columns
