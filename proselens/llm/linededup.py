@@ -7,8 +7,9 @@ for PICK_WORDS - 1 words at either end, whatever stands around them.  Each line
 begins a run of lines, as many as hold the words of a block.  The earliest
 holder (by doc_id) of a run pairs with every later one: one row per line,
 whatever they share, and whoever holds a block has a partner for each of its
-runs.  Pairs are aligned by patience diff over their line hashes; aligned
-blocks are widened word by word past the ends of their lines, and those of
+runs.  Pairs are aligned by patience diff over their line hashes, and runs that
+one rising sequence leaves out (moved or repeated passages) are looked up in
+the earlier text, so each common run is found; blocks are widened word by word past the ends of their lines, and those of
 enough words are deleted from the later document.  The earliest holder of a run
 always keeps it.
 """
@@ -77,6 +78,18 @@ def cut(text: str) -> tuple[np.ndarray, np.ndarray]:
     return h, np.append(np.flatnonzero(opens), len(h))
 
 
+def packed(words: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """31 bits of each word's hash, and in the lowest bit whether it begins a line."""
+    out = (words >> np.uint64(33) << np.uint64(1)).astype(np.uint32)
+    out[lines[:-1]] |= np.uint32(1)
+    return out.view(np.int32)
+
+
+def unpacked(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = tokens.view(np.uint32)
+    return (x >> np.uint32(1)).astype(np.uint64), np.append(np.flatnonzero(x & np.uint32(1)), len(x))
+
+
 def hashes_of(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes (int64) of the runs of words from first to before end."""
     n = len(words)
@@ -178,21 +191,42 @@ def blocks(later: np.ndarray, later_lines: np.ndarray, earlier: np.ndarray, earl
            least: int) -> list[tuple[int, int, int, int]]:
     """(first line, end line, first word, end word) of the blocks of the later
     text that the earlier one holds.  A text is its words' hashes and, as of
-    ``cut``, where its lines begin; lines are those that match as a whole."""
-    out = []
-    run: list[tuple[int, int]] = []
+    ``cut``, where its lines begin; lines are those that match as a whole.
+
+    Together the blocks hold each run of whole lines of at least ``least``
+    words that stands anywhere in the earlier text.
+    """
+    out: list[tuple[int, int, int, int]] = []
     mine, theirs = later.tolist(), earlier.tolist()
-    pairs = align(hashes_of(later, later_lines[:-1], later_lines[1:]).tolist(),
-                  hashes_of(earlier, earlier_lines[:-1], earlier_lines[1:]).tolist())
-    for b, a in [*pairs, (-9, -9)]:
+    my_lines = hashes_of(later, later_lines[:-1], later_lines[1:]).tolist()
+    their_lines = hashes_of(earlier, earlier_lines[:-1], earlier_lines[1:]).tolist()
+
+    def add(i: int, j: int, a: int) -> None:
+        first, end = widened(mine, theirs, int(later_lines[i]), int(later_lines[j]), int(earlier_lines[a]))
+        if end - first >= least:
+            out.append((i, j, first, end))
+
+    run: list[tuple[int, int]] = []
+    for b, a in [*align(my_lines, their_lines), (-9, -9)]:
         if run and (b, a) != (run[-1][0] + 1, run[-1][1] + 1):
-            i, j = run[0][0], run[-1][0] + 1
-            first, end = widened(mine, theirs, int(later_lines[i]), int(later_lines[j]), int(earlier_lines[run[0][1]]))
-            if end - first >= least:
-                out.append((i, j, first, end))
+            add(run[0][0], run[-1][0] + 1, run[0][1])
             run = []
         run.append((b, a))
-    return out
+    gone = np.zeros(len(later) + 1, bool)
+    for _, _, first, end in out:
+        gone[first:end] = True
+    ends, their_ends = run_ends(later_lines, least), run_ends(earlier_lines, least)
+    where: dict[int, int] = {}
+    for a, h in enumerate(hashes_of(earlier, earlier_lines[:len(their_ends)], earlier_lines[their_ends]).tolist()):
+        where.setdefault(h, a)
+    for i, h in enumerate(hashes_of(later, later_lines[:len(ends)], later_lines[ends]).tolist()):
+        if h in where and not gone[later_lines[i]:later_lines[ends[i]]].all():
+            a, n = where[h], int(ends[i]) - i
+            while i + n < len(my_lines) and a + n < len(their_lines) and my_lines[i + n] == their_lines[a + n]:
+                n += 1
+            add(i, i + n, a)
+            gone[out[-1][2]:out[-1][3]] = True
+    return sorted(out)
 
 
 def _key() -> Column:
@@ -210,22 +244,21 @@ def find_blocks(documents: DataFrame, least_words: int = BLOCK_WORDS, scratch: S
     """
     ship(documents.sparkSession)
     scratch = scratch or Scratch(documents.sparkSession, "lines")
-    schema = "key long, doc_id long, tokens array<int>, begins array<int>, runs array<long>"
+    schema = "key long, doc_id long, tokens array<int>, runs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, _BATCH):
                 batch = whole.slice(first, _BATCH)
-                tokens, begins, runs = [], [], []
+                tokens, runs = [], []
                 for t in batch.column(2).to_pylist():
                     h, at = cut(t)
-                    tokens.append((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    begins.append(at.astype(np.int32))
+                    tokens.append(packed(h, at))
                     ends = run_ends(at, least_words)
-                    runs.append(hashes_of(h, at[:len(ends)], at[ends]))
+                    runs.append(np.unique(hashes_of(h, at[:len(ends)], at[ends])))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.int32())),
-                     pa.array(begins, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], names=schema.replace(",", "").split()[::2])
+                     pa.array(runs, pa.list_(pa.int64()))], names=schema.replace(",", "").split()[::2])
 
     texts = (pick(documents, "doc_id", "text").filter("text is not null")
              .select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -233,17 +266,17 @@ def find_blocks(documents: DataFrame, least_words: int = BLOCK_WORDS, scratch: S
     # one row per document: repeated rows have equal lines
     flat = lines.select("key", "doc_id", F.explode("runs").alias("run"))
     holders = scratch.write(
-        flat.groupBy("run").agg(F.min(F.struct("doc_id", "key")).alias("first"),
-                                F.max(F.struct("doc_id", "key")).alias("last"), F.count(F.lit(1)).alias("_n"))
-        .filter("first <> last").select("run", F.col("first.key").alias("earlier"), "_n"), "holders")
+        flat.groupBy("run").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1").select("run", F.col("first.key").alias("earlier"), "_n"), "holders")
     total = holders.agg(F.sum("_n")).first()[0] or 0
     shared = join_on_hot_key(flat.select("run", "key"), holders, "run", total=total)
     pairs = scratch.write(shared.filter("key <> earlier").select("key", "earlier").distinct(), "pairs")
-    whole = lines.select("key", "doc_id", "tokens", "begins").dropDuplicates(["key"])
+    scratch.drop("holders")
+    whole = lines.select("key", "doc_id", "tokens").dropDuplicates(["key"])
     theirs = whole.select(F.col("key").alias("earlier"), F.col("doc_id").alias("earlier_id"),
-                          F.col("tokens").alias("earlier_tokens"), F.col("begins").alias("earlier_begins"))
+                          F.col("tokens").alias("earlier_tokens"))
     both = (pairs.join(whole, "key").join(theirs, "earlier")
-            .select("key", "doc_id", "earlier_id", "tokens", "begins", "earlier_tokens", "earlier_begins"))
+            .select("key", "doc_id", "earlier_id", "tokens", "earlier_tokens"))
     found = ("key long, doc_id long, earlier_id long, first_line int, end_line int, first_word int, end_word int, "
              "words int")
     names = found.replace(",", "").split()[::2]
@@ -251,10 +284,9 @@ def find_blocks(documents: DataFrame, least_words: int = BLOCK_WORDS, scratch: S
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, doc, other, *texts in zip(*batch.columns):
-                w, at, ow, oat = (x.values.to_numpy() for x in texts)
-                for i, j, a, b in blocks(w.view(np.uint32).astype(np.uint64), at,
-                                         ow.view(np.uint32).astype(np.uint64), oat, least_words):
+            for key, doc, other, later, earlier in zip(*batch.columns):
+                mine, theirs = unpacked(later.values.to_numpy()), unpacked(earlier.values.to_numpy())
+                for i, j, a, b in blocks(*mine, *theirs, least_words):
                     rows.append((key.as_py(), doc.as_py(), other.as_py(), i, j, a, b, b - a))
             columns = list(zip(*rows)) if rows else [()] * len(names)
             kinds = [pa.int64()] * 3 + [pa.int32()] * 5

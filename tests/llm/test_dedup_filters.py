@@ -147,6 +147,37 @@ def test_passage_goes_though_each_line_is_older(spark):
     assert all(out[20 + k] == f"{prose(33_000 + k, 45)} {prose(34_000 + k, 45)}" for k in (1, 2))
 
 
+def test_swapped_and_repeated_passages_go(spark):
+    """Earlier P Q, later Q P; earlier P once, later twice."""
+    p, q = prose(40_000, 70), prose(40_001, 60)
+    a, b, c = (prose(40_010 + i, 45) for i in range(3))
+    docs = [(1, f"{a} {p} {b} {q} {c}")]
+    for i, x, y in [(2, q, p), (3, p, p), (4, q, q)]:
+        docs.append((i, " ".join([prose(41_000 + i, 45), x, prose(42_000 + i, 45), y, prose(43_000 + i, 45)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in linededup.line_dedup(df).collect()}
+    assert out[1] == docs[0][1]
+    for i in (2, 3, 4):
+        assert out[i] == " ".join(prose(k + i, 45) for k in (41_000, 42_000, 43_000))
+
+
+def test_blocks_hold_every_common_run():
+    rng = random.Random(6)
+    vocabulary = plain(44_000, 400)
+    parts = [rng.choices(vocabulary, k=rng.randint(20, 80)) for _ in range(12)]
+    for _ in range(100):
+        one, two = ([w for p in rng.choices(parts, k=6) for w in p] for _ in range(2))
+        (later, lines), (earlier, others) = linededup.cut(" ".join(one)), linededup.cut(" ".join(two))
+        gone = set()
+        for _, _, first, end in linededup.blocks(later, lines, earlier, others, 25):
+            assert " " + " ".join(one[first:end]) + " " in " " + " ".join(two) + " "
+            gone |= set(range(first, end))
+        for at in range(len(one) - 48 + 1):
+            if " " + " ".join(one[at:at + 48]) + " " in " " + " ".join(two) + " ":
+                assert len(gone & set(range(at, at + 48))) >= 26
+                assert set(range(at + 11, at + 37)) <= gone
+
+
 def test_line_dedup_odd_rows(odd_documents, no_documents, odd_rows):
     out = linededup.line_dedup(odd_documents)
     assert out.columns == odd_documents.columns
