@@ -28,13 +28,15 @@ BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public l
 @dataclass(frozen=True)
 class Family:
     """A license family: its label, the keyword that gates its rules, the
-    pattern of its name over single-spaced lower-case words, and patterns of
-    text that only this license has."""
+    pattern of its name over single-spaced lower-case words, patterns of text
+    that only this license has, and their keyword if it is another.  A keyword
+    is a word that every match holds, perhaps with a version joined to it."""
 
     label: str
     keyword: str
     name: str
     texts: tuple[str, ...] = ()
+    text_keyword: str = ""
 
 
 V = r"(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)*| version [0-9]+(?: [0-9]+)*| [0-9]+(?: [0-9]+)*)?"
@@ -62,7 +64,7 @@ FAMILIES = (
     Family("cddl", "cddl", r"(?:the )?cddl(?: ?v?[0-9]+(?: [0-9]+)*)?", ()),
     Family("cddl", "distribution", r"(?:the )?common development and distribution license" + V, ()),
     Family("isc", "isc", r"(?:the )?isc", ()),
-    Family("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose", ()),
+    Family("isc", "modify", r"permission to use copy modify and or distribute this software for any purpose", ()),
     Family("zlib", "zlib", r"(?:the )?zlib(?: libpng)?", ()),
     Family("boost", "boost", r"(?:the )?boost software license" + V, ()),
     Family("unlicense", "unlicense", r"(?:the )?unlicense", ()),
@@ -76,7 +78,7 @@ FAMILIES = (
     Family("ms-pl", "microsoft", r"(?:the )?microsoft (?:public|reciprocal) license", ()),
     Family("odbl", "database", r"(?:the )?open database license" + V, ()),
     Family("cc0", "cc0", r"cc0(?: [0-9]+(?: [0-9]+)*)?(?: universal)?",
-           (r"to the extent possible under law",)),
+           (r"to the extent possible under law",), "extent"),
     Family("cc-by", "cc", r"cc by(?: [0-9] [0-9])?", ()),
     Family("cc-by-sa", "cc", r"cc by sa(?: [0-9] [0-9])?", ()),
     Family("cc-by-nd", "cc", r"cc by nd(?: [0-9] [0-9])?", ()),
@@ -111,13 +113,20 @@ def rules() -> list[tuple[str, str, int, float, str]]:
     """All rules in order: (keyword, label, priority, confidence, pattern)."""
     out = []
     for f in FAMILIES:
-        out += [(f.keyword, f.label, 1, 1.0, t) for t in f.texts]
+        out += [(f.text_keyword or f.keyword, f.label, 1, 1.0, t) for t in f.texts]
         out += [(f.keyword, f.label, p, c, t.replace("{name}", f"(?:{f.name})")) for p, c, t in TEMPLATES]
         if f.label in BARE or f.name.startswith(("permission", "redistribution")):
             out.append((f.keyword, f.label, 7, 0.7, f.name))
     return sorted(out, key=lambda r: (r[2], -r[3], r[1], r[4]))
 
 
+def gate_pattern(signatures: list[tuple[str, str, int, float, str]]) -> str:
+    """Finds the keywords in single-spaced words, at their own end or before a
+    joined version (gplv3); the longest first, so that cc0 is not cc."""
+    keywords = sorted({r[0] for r in signatures}, key=lambda k: (-len(k), k))
+    return "(?i)(?<= )(?:" + "|".join(keywords) + ")(?=(?:v?[0-9]+)? )"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -163,7 +172,7 @@ def scan_licenses(documents: DataFrame, signature_rules: list[tuple[str, str, in
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(lab).alias("label"), F.lit(p).alias("priority"),
                                F.lit(float(c)).alias("confidence"), F.lit(f"(?i)(?<= )(?:{rx})(?= )").alias("pattern"))
                       for k, lab, p, c, rx in signatures])
-    gate = "(?i)(?<= )(?:" + "|".join(sorted({r[0] for r in signatures})) + ")(?= )"
+    gate = gate_pattern(signatures)
     base_gate = "(?i)(?<= )(?:" + "|".join(p for p, _ in BASE) + ")(?= )"
     docs = pick(documents, "doc_id", "text").select("doc_id", words_text(F.col("text")).alias("_w"))
     none = F.expr("cast(array() as array<struct<a:int,b:int,priority:int,label:string,confidence:double>>)")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import string
 
@@ -127,6 +128,46 @@ def test_license_rules_by_brute_force(spark):
     assert got == want and len(got) >= 4
 
 
+def sample(tree, rng):
+    """A random string that a parsed pattern matches."""
+    out = ""
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "IN":
+            lo, hi = arg[0][1] if str(arg[0][0]) == "RANGE" else (arg[0][1],) * 2
+            out += chr(rng.randint(lo, hi))
+        elif kind == "MAX_REPEAT":
+            out += "".join(sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif kind == "SUBPATTERN":
+            out += sample(arg[3], rng)
+        else:
+            assert kind == "BRANCH"
+            out += sample(rng.choice(arg[1]), rng)
+    return out
+
+
+def test_license_gate_passes_all_that_the_rules_match():
+    rng = random.Random(3)
+    gate = re.compile(licenses.gate_pattern(licenses.rules()))
+    for keyword, _, _, _, rx in licenses.rules():
+        tree = re._parser.parse(rx)
+        for _ in range(40):
+            text = f" {sample(tree, rng)} "
+            assert re.fullmatch(f" (?:{rx}) ", text) and keyword in gate.findall(text), (keyword, text)
+
+
+def test_license_versions_joined_to_the_name(spark):
+    want = {"Licensed under GPLv3": "gpl", "the LGPLv2.1 or later": "lgpl", "See AGPLv3.": "agpl", "under MPLv2": "mpl",
+            "CDDLv1.0": "cddl", "EUPLv1.2": "eupl", "GPL3": "gpl", "License: CC0 1.0": "cc0", "CC BY 4.0": "cc-by",
+            "to the extent possible under law": "cc0", "gplx gplv": "", "xgplv3": "",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc"}
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_license_empty(no_documents):
     assert licenses.scan_licenses(no_documents).collect() == []
 
