@@ -86,6 +86,15 @@ def op10_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op13_counted_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.infill import infill, part_lengths, restore
+
+    out = part_lengths(infill(_table(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_karmarkar_karp_sharding": op2_karmarkar_karp_sharding,
@@ -97,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_bayes": op8_minhash_bayes,
     "op9_warc_index": op9_warc_index,
     "op10_url_template_filter": op10_url_template_filter,
+    "op13_counted_infill": op13_counted_infill,
 }
 
 SQL: dict[str, str] = {
@@ -115,4 +125,30 @@ SQL: dict[str, str] = {
             FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op13_counted_infill": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents),
+        e AS (
+            SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1,
+                   ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2
+            FROM d),
+        f AS (
+            SELECT doc_id, text, n,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                             OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                        WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                   array_to_string(u[1:least(c1, c2)], '') AS p,
+                   array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+                   array_to_string(u[greatest(c1, c2) + 1:n], '') AS s
+            FROM e)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                                ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM f
+    """,
 }

@@ -1,6 +1,7 @@
 """The registered queries: names, columns, and DuckDB where SQL can say it."""
 
 import __spark_entry__ as entry
+import pytest
 from compare import compare, duck
 from conftest import SF001, SF01
 
@@ -14,6 +15,7 @@ COLUMNS = {
     "op8": {"doc_id", "n_shingles", "component_id", "kept"},
     "op9": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op10": {"page_id", "host", "path", "rule", "verdict"},
+    "op13": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
 }
 
 
@@ -24,8 +26,8 @@ def test_one_query_per_operator_and_the_pipeline():
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
 
-def test_search_matches_duckdb(spark):
-    name = "op3_vantage_point_search"
+@pytest.mark.parametrize("name", ["op3_vantage_point_search", "op13_counted_infill"])
+def test_query_matches_duckdb(spark, name):
     res = compare(spark, duck(SF01), name, entry.queries()[name], entry.oracle_sql()[name], SF01)
     assert res["status"] == "ok", res
 
@@ -33,7 +35,7 @@ def test_search_matches_duckdb(spark):
 def test_native_and_short_queries_have_their_columns(spark):
     for name, query in entry.queries().items():
         op = name.split("_")[0]
-        if op in ("op4", "op5", "op6", "op9", "op10"):
+        if op in ("op4", "op5", "op6", "op9", "op10", "op13"):
             df = query(spark, SF001)
             assert COLUMNS[op] <= set(df.columns)
             plan = df._jdf.queryExecution().toString()
