@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from conftest import DOC_SCHEMA
+from llm.conftest import DOC_SCHEMA
 from pyspark.sql import functions as F
 
 from proselens.llm import infill
