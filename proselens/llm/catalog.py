@@ -86,6 +86,12 @@ def op10_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proselens.llm.ranked import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_counted_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proselens.llm.infill import infill, part_lengths, restore
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_bayes": op8_minhash_bayes,
     "op9_warc_index": op9_warc_index,
     "op10_url_template_filter": op10_url_template_filter,
+    "op11_range_maximum_search": op11_range_maximum_search,
     "op13_counted_infill": op13_counted_infill,
 }
 
@@ -125,6 +132,35 @@ SQL: dict[str, str] = {
             FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op11_range_maximum_search": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS row, doc_id,
+                   unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                       'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        c AS (SELECT row, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        l AS (SELECT row, sum(tf)::BIGINT AS n FROM c GROUP BY row),
+        k AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM l),
+        q AS (
+            SELECT DISTINCT item_id,
+                   unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                       'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        w AS (
+            SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM c, k GROUP BY term),
+        s AS (
+            SELECT item_id, row, any_value(doc_id) AS doc_id,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score
+            FROM q JOIN c USING (term) JOIN w USING (term) JOIN l USING (row), k GROUP BY item_id, row),
+        r AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)
+                                 AS INTEGER) AS rank, doc_id, score
+            FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+    """,
     "op13_counted_infill": """
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text,

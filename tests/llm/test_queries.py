@@ -15,6 +15,7 @@ COLUMNS = {
     "op8": {"doc_id", "n_shingles", "component_id", "kept"},
     "op9": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op10": {"page_id", "host", "path", "rule", "verdict"},
+    "op11": {"item_id", "rank", "doc_id", "score"},
     "op13": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
 }
 
@@ -26,7 +27,7 @@ def test_one_query_per_operator_and_the_pipeline():
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op3_vantage_point_search", "op13_counted_infill"])
+@pytest.mark.parametrize("name", ["op3_vantage_point_search", "op11_range_maximum_search", "op13_counted_infill"])
 def test_query_matches_duckdb(spark, name):
     res = compare(spark, duck(SF01), name, entry.queries()[name], entry.oracle_sql()[name], SF01)
     assert res["status"] == "ok", res
