@@ -92,6 +92,14 @@ def op11_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_context_mixing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from proselens.llm.tokenfiles import encode_and_read
+
+    return encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op13_counted_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proselens.llm.infill import infill, part_lengths, restore
 
@@ -113,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_index": op9_warc_index,
     "op10_url_template_filter": op10_url_template_filter,
     "op11_range_maximum_search": op11_range_maximum_search,
+    "op12_context_mixing_files": op12_context_mixing_files,
     "op13_counted_infill": op13_counted_infill,
 }
 

@@ -16,6 +16,7 @@ COLUMNS = {
     "op9": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op10": {"page_id", "host", "path", "rule", "verdict"},
     "op11": {"item_id", "rank", "doc_id", "score"},
+    "op12": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op13": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
 }
 
