@@ -44,7 +44,7 @@ def op3_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proselens.llm.licenses import scan_licenses
 
-    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans", "spdx")
 
 
 def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

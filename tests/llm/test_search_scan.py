@@ -45,7 +45,7 @@ def test_search_is_exact_at_factor_one(spark, shard_rows, query_block):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=6) * rng.integers(1, 4)]) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(40)]  # a group of equal vectors
-    rows += [(400, None), (401, []), (402, [0.0] * 6), (403, [1.0, None, 1, 1, 1, 1]), (404, [float("nan")] * 6),
+    rows += [(400, None), (401, []), (402, [0.0] * 6), (403, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (404, [float("nan")] * 6),
              (405, [float("inf")] * 6), (None, [1.0] * 6), (406, [1.0, 2.0]), rows[20], rows[20]]
     df = with_clashes(spark.createDataFrame([(i, v, 1) for i, v in rows], VECTORS))
     got = vptree.nearest(df, F.col("vec_id") % 5 == 0, 6, 1.0, shard_rows, query_block, 64).collect()
@@ -104,28 +104,66 @@ def test_license_spans_do_not_contain_each_other(spark):
         assert x["a"] < y["a"] and x["b"] < y["b"]
 
 
+def direct_spans(text):
+    """All rules over the words of each sentence, resolved pair by pair."""
+    kept, at = [], 0
+    for sentence in re.split(r"[.;!?](?=[\x00-\x20]|$)", text):
+        words = re.findall(r"[0-9a-zA-Z\x80-\U0010ffff]+", sentence)
+        line = " " + " ".join(words).lower() + " "
+        found = set()
+        for _, label, priority, confidence, rx in licenses.rules():
+            for m in re.finditer(f"(?<= )(?:{rx})(?= )", line):
+                a = line[:m.start()].count(" ") - 1
+                found.add((a, a + m[0].count(" ") + 1, priority, label, confidence))
+        found = {s for s in found if not any(t[:2] == s[:2] and (t[2], -t[4], t[3]) < (s[2], -s[4], s[3]) for t in found)}
+        inner = {s for s in found if any(t[0] <= s[0] and s[1] <= t[1] and t[:2] != s[:2] for t in found)}
+        queue = sorted(found - inner, key=lambda s: (s[2], s[0])) + sorted(inner, key=lambda s: (s[0] - s[1], s[2], s[0]))
+        here = []
+        for s in queue:
+            if all(s[1] <= t[0] or t[1] <= s[0] for t in here):
+                here.append(s)
+        kept += [(a + at, b + at, label) for a, b, _, label, _ in here]
+        at += len(words)
+    return sorted(kept)
+
+
 def test_license_rules_by_brute_force(spark):
-    """Kept spans equal a direct evaluation of all rules on a small text."""
-    text = ("Released under the BSD 3-Clause license. All rights reserved. Redistribution and use in source and binary "
-            "forms, with or without modification, are permitted. See the Mozilla Public License 2.0 license; public domain.")
-    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    got = [(s["a"], s["b"], s["label"]) for s in licenses.scan_licenses(df).first()["spans"]]
-    words = " " + " ".join(re.findall(r"[0-9a-z]+", text.lower())) + " "
-    found = []
-    for keyword, label, priority, confidence, rx in licenses.rules():
-        if f" {keyword} " in words:
-            for m in re.finditer(f"(?<= )(?:{rx})(?= )", words):
-                a = words[:m.start()].count(" ") - 1
-                found.append((a, -(a + m[0].count(" ") + 1), priority, label, confidence))
-    end, kept = 0, []
-    for a, nb, priority, label, _ in sorted(found):
-        if -nb > end:
-            end = -nb
-            kept.append((a, -nb, priority, label))
-    want = [(a, b, lab) for i, (a, b, p, lab) in enumerate(kept)
-            if not (i and kept[i - 1][1] > a and kept[i - 1][2] < p)
-            and not (i + 1 < len(kept) and kept[i + 1][0] < b and kept[i + 1][2] < p)]
-    assert got == want and len(got) >= 4
+    """Kept spans equal a direct evaluation of all rules, sentence by sentence."""
+    texts = [
+        "Released under the BSD 3-Clause license. All rights reserved. Redistribution and use in source and binary "
+        "forms, with or without modification, are permitted. See the Mozilla Public License 2.0 license; public domain.",
+        "See the Mozilla Public License 2.0 license; public domain.",
+        "... Artistic License. The GNU General Public License; ISC license.", "EPL-2.0 license", "MIT OR Apache-2.0",
+        "Under the MIT license MIT license under the terms of the GPL v3 license Apache license! licensed under GPLv2 or later.",
+        "mit license " * 40, "; . mit license", ". ", "(MIT license). 'Apache License, Version 2.0'; and \n\nGPL"]
+    rng = random.Random(8)
+    bits = ["license", "licensed under", "the", "MIT", "gpl", "v3", "2.0", "Apache", "public domain", "general public license",
+            ".", ";", "\n", "under the terms of", "BSD", "3-clause", "cc by", "sa", "mpl", "GNU", "released under", "word"]
+    texts += [" ".join(rng.choices(bits, k=rng.randint(3, 25))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    for i, text in enumerate(texts):
+        assert [(s["a"], s["b"], s["label"]) for s in got[i]["spans"]] == direct_spans(text), text
+    assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["mpl,public-domain", "artistic,gpl,isc", "epl", "apache,mit"]
+
+
+def test_spdx_identifiers_and_expressions(spark):
+    cases = {"// SPDX-License-Identifier: EPL-2.0\nint x;": "epl", "SPDX-License-Identifier: MS-PL": "ms-pl",
+             "# SPDX-License-Identifier: BSL-1.0": "boost", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND CC-BY-SA-4.0":
+             "apache,cc-by-sa,mit", "spdx-license-identifier: GPL-2.0-only WITH Classpath-exception-2.0": "gpl",
+             "SPDX-License-Identifier: LicenseRef-Own AND Sleepycat": "licenseref-own,sleepycat",
+             "SPDX-License-Identifier: GPL-2.0+ and then prose": "gpl", "SPDX-License-Identifier:": "", "no id": "",
+             "choose MIT OR Apache-2.0.": "apache,mit", "this AND that OR MIT-like OR 3-1": "", "MIT OR": ""}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_very_many_hits_in_one_text(spark):
+    line = "Licensed under the MIT License. "
+    row = licenses.scan_licenses(spark.createDataFrame([(1, line * 4000)], "doc_id long, text string")).first()
+    assert row["n_words"] == 20_000 and row["n_base"] == 4000 and len(row["spans"]) == 4000 and row["labels"] == "mit"
+    assert row["spans"][3999]["a"] == 3999 * 5
 
 
 def sample(tree, rng):
