@@ -105,3 +105,26 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def ship_package(spark) -> None:
+    """Send this package to the Python workers, once per application: code
+    that runs in tasks is found there by name."""
+    import os
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_proselens_package", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # the archive is handed to Spark, which serves it to every executor
+    target = os.path.join(tempfile.mkdtemp(prefix="proselens-package-"), "proselens_package.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._proselens_package = True

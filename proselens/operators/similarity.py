@@ -8,8 +8,9 @@ division.
 Each text is one row throughout: a row meets the one reference row that it
 points to by an equi-join on the reference key, and the measure is computed on
 the joined row from an Arrow batch.  Tokens never move.  A set of references
-that every text is held against (gold texts) goes to the tasks in blocks of
-bounded size, where an inverted index gives the best one.
+that every text is held against (gold texts) is dealt to blocks of bounded
+size, which meet shards of texts in tasks, where an inverted index gives the
+best one.
 
 Other encoders plug in through ``proselens.operators.encoders``.
 """
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proselens.operators.common import spread_by
+from proselens.operators.common import ship_package, spread_by
 
-# Bytes of reference texts that a task holds at a time.
+# Bytes of reference texts and of texts that a task holds at a time.
 REFERENCE_BYTES = 32 << 20
+SHARD_BYTES = 64 << 20
 
 
 def bag(text: str | None) -> Counter:
@@ -55,6 +57,7 @@ def _per_row(joined: DataFrame, key: str, fields: list[T.StructField], fn: Calla
     """Append ``fields`` computed by ``fn()(text, reference)`` to the key of
     every row of (key, text, reference)."""
     schema = T.StructType([joined.schema[key], *fields])
+    ship_package(joined.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = fn()
@@ -111,53 +114,59 @@ def own_cosine(rows: DataFrame, key: str, text_col: str, other_col: str, out: st
 
 def max_reference_similarity(rows: DataFrame, key: str, text_col: str, refs: DataFrame | None,
                              ref_key: str, ref_text_col: str, out: str = "sbert",
-                             reference_bytes: int = REFERENCE_BYTES) -> DataFrame:
+                             reference_bytes: int = REFERENCE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Best cosine of each text to any reference (gold) text; 0.0 without any.
 
-    The references go to the tasks in blocks of about ``reference_bytes``; a
-    text's dot products with a block stay in its task and only the best leaves
-    it.  With several blocks the best of the blocks is taken per text.
+    Distinct references are dealt to blocks of about ``reference_bytes`` and
+    texts to shards of about ``shard_bytes``; a task holds one of each, and
+    only each text's best leaves it.  Nothing passes through the driver.
     """
-    base = rows.select(key, text_col, F.lit(None).cast("string").alias("_none"))
     if refs is None:
-        return base.select(key, F.lit(0.0).alias(out))
-    texts = refs.select(F.col(ref_text_col).alias("_g")).filter(F.col("_g").isNotNull())
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("_g")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // reference_bytes))
-    field = [T.StructField(out, T.DoubleType())]
-    parts = []
-    for i in range(blocks):
-        block = [r[0] for r in texts.filter(F.expr(f"pmod(xxhash64(_g), {blocks}) = {i}")).distinct().collect()]
-        sent = rows.sparkSession.sparkContext.broadcast(block)
-
-        def fn(sent=sent):
-            bags = [bag(g) for g in sent.value]
-            norms = np.array([math.sqrt(norm2(b)) for b in bags])
-            index = defaultdict(list)
-            for n, b in enumerate(bags):
-                for token, tf in b.items():
-                    index[token].append((n, tf))
-            postings = {t: (np.array([n for n, _ in p]), np.array([tf for _, tf in p], np.int64))
-                        for t, p in index.items()}
-
-            def measure(text, _):
-                a = bag(text)
-                dots = np.zeros(len(bags), np.int64)
-                for token, tf in a.items():
-                    if token in postings:
-                        at, tfs = postings[token]
-                        dots[at] += tf * tfs
-                hit = np.flatnonzero(dots)
-                if not len(hit):
-                    return (0.0,)
-                return (float((dots[hit] / (math.sqrt(norm2(a)) * norms[hit])).max()),)
-            return measure
-
-        parts.append(_per_row(base, key, field, fn))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res if blocks == 1 else res.groupBy(key).agg(F.max(out).alias(out))
+        return rows.select(key, F.lit(0.0).alias(out))
+    ship_package(rows.sparkSession)
+    base = rows.select(key, F.col(text_col).alias("_t"))
+    texts = refs.select(F.col(ref_text_col).alias("_g")).filter(F.col("_g").isNotNull()).distinct()
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("_g")), F.lit(0))).first()[0]
+    blocks = max(1, -(-n_bytes // reference_bytes))
+    size = base.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
+    # a shard is a task's texts of about shard_bytes; each task reads one block
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(tasks, -(-size // shard_bytes))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = base.select(key, "_t", deal(key, shards).alias("_shard"), every(blocks).alias("_block"))
+    right = texts.select("_g", deal("_g", blocks).alias("_block"), every(shards).alias("_shard"))
+    schema = T.StructType([rows.schema[key], T.StructField(out, T.DoubleType())])
+
+    def run(p: pa.Table, q: pa.Table) -> pa.Table:
+        measure = _best_of(q.column("_g").to_pylist())
+        return pa.table({key: p.column(key), out: pa.array([measure(t.as_py()) for t in p.column("_t")], pa.float64())})
+
+    found = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(run, schema)
+    return found if blocks == 1 else found.groupBy(key).agg(F.max(out).alias(out))
+
+
+def _best_of(references: list[str]) -> Callable[[str | None], float]:
+    """Best cosine of a text with any of the references, by an inverted index."""
+    bags = [bag(g) for g in references]
+    norms = np.array([math.sqrt(norm2(b)) for b in bags])
+    index = defaultdict(list)
+    for n, b in enumerate(bags):
+        for token, tf in b.items():
+            index[token].append((n, tf))
+    postings = {t: (np.array([n for n, _ in p]), np.array([tf for _, tf in p], np.int64)) for t, p in index.items()}
+
+    def measure(text: str | None) -> float:
+        a = bag(text)
+        dots = np.zeros(len(bags), np.int64)
+        for token, tf in a.items():
+            if token in postings:
+                at, tfs = postings[token]
+                dots[at] += tf * tfs
+        hit = np.flatnonzero(dots)
+        return float((dots[hit] / (math.sqrt(norm2(a)) * norms[hit])).max()) if len(hit) else 0.0
+
+    return measure
 
 
 def feature_coverage(rows: DataFrame, key: str, text_col: str, refs: DataFrame, ref_key: str,
