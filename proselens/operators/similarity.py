@@ -72,7 +72,7 @@ def _per_row(joined: DataFrame, key: str, fields: list[T.StructField], fn: Calla
     return spread_by(joined, key).mapInArrow(run, schema)
 
 
-def _remembered(make: Callable) -> Callable:
+def remembered(make: Callable) -> Callable:
     """``make`` of the last argument again and again costs one call: rows of a
     reference stand together after the join."""
     last: list = [None, None]
@@ -102,7 +102,7 @@ def paired_cosine(rows: DataFrame, key: str, text_col: str, ref: DataFrame, ref_
 def own_cosine(rows: DataFrame, key: str, text_col: str, other_col: str, out: str) -> DataFrame:
     """Cosine of two texts of the same row (a row's own ``gold_text``)."""
     def fn():
-        other = _remembered(lambda r: (b := bag(r), norm2(b)))
+        other = remembered(lambda r: (b := bag(r), norm2(b)))
 
         def measure(text, ref):
             a, (b, n) = bag(text), other(ref)

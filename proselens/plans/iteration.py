@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from proselens.config import EvalConfig
 from proselens.operators import replies as R
-from proselens.operators import similarity as S
+from proselens.operators import encoders as E
+from proselens.operators.measures import features_of, measures
 from proselens.operators.metrics import add_scores, attribute_text, combined_features, length_measures
 from proselens.functions.scoring import normalize_coverage
 from proselens.operators.requests import prompt_family
@@ -23,8 +24,10 @@ KEY = ["iteration", "model", "product_id", "prompt_name"]
 
 
 def iteration_results(replies: DataFrame, products: DataFrame, gold: DataFrame | None = None,
-                      cfg: EvalConfig = EvalConfig(), key: str = "candidate_ord") -> DataFrame:
-    """``replies``: (key, iteration, model, product_id, prompt_name, kind, raw)."""
+                      cfg: EvalConfig = EvalConfig(), key: str = "candidate_ord",
+                      encoder: E.Encoder | None = None) -> DataFrame:
+    """Similarities by term counts, or by the vectors of ``encoder`` (M1).
+    ``replies``: (key, iteration, model, product_id, prompt_name, kind, raw)."""
     parsed = R.parse_replies(replies)
     gen = R.valid_generations(parsed.filter(F.col("kind") == "generation")) \
         .select(key, *KEY, "header", "subheader", "marketing_text")
@@ -37,10 +40,11 @@ def iteration_results(replies: DataFrame, products: DataFrame, gold: DataFrame |
     cands = length_measures(gen, cfg)
     prod = products.select("product_id", attribute_text().alias("attribute_text"),
                            combined_features().alias("combined"))
-    align = S.paired_cosine(cands, key, "marketing_text", prod, "product_id", "attribute_text",
-                            "semantic_attribute_alignment")
-    cov = S.feature_coverage(cands, key, "marketing_text", prod, "product_id", "combined", cfg.coverage_threshold)
-    sbert = S.max_reference_similarity(cands, key, "marketing_text", gold, "gold_id", "marketing_text", "sbert")
+    by = measures(encoder, [(cands, "marketing_text"), (prod, "attribute_text"), (features_of(prod, "combined"), "feature")]
+                  + ([(gold, "marketing_text")] if gold is not None else []))
+    align = by.paired(cands, key, "marketing_text", prod, "product_id", "attribute_text", "semantic_attribute_alignment")
+    cov = by.coverage(cands, key, "marketing_text", prod, "product_id", "combined", cfg.coverage_threshold)
+    sbert = by.best(cands, key, "marketing_text", gold, "gold_id", "marketing_text", "sbert")
     rows = (cands.join(align, key, "left").join(cov, key, "left").join(sbert, key, "left")
             .join(judge, key, "left").join(fact, key, "left"))
     rows = rows.withColumns({
