@@ -544,19 +544,31 @@ def q_prompt_families(spark, sf):
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The results written once; every table of a report set reads them."""
+    from proselens.operators.common import materialize
+    return materialize(df, "report-results")
+
+
 def q_optimisation_report(spark, sf):
-    from proselens.plans.reports import optimisation_report
-    return optimisation_report(results(spark, sf), CFG)["top_issues"]
+    """H5: all four tables, a row per cell."""
+    from proselens.plans.reports import long_form, optimisation_report
+    return long_form(optimisation_report(_written(results(spark, sf)), CFG))
 
 
 def q_final_report(spark, sf):
-    from proselens.plans.reports import final_report
-    return final_report(results(spark, sf), CFG)["duplicate_rate"]
+    """H6: all eight tables, a row per cell; of the results the scores and the
+    new duplicate flags."""
+    from proselens.plans.reports import final_report, long_form
+    tables = final_report(_written(results(spark, sf)), CFG)
+    kept = ["iteration", "candidate_ord", "overall_score", "passed_quality_gates", "is_unique", "duplicate_of"]
+    return long_form(tables | {"results": tables["results"].select(*kept)})
 
 
 def q_figure_tables(spark, sf):
-    from proselens.plans.reports import figure_tables
-    return figure_tables(add_scores(FX.two_runs(spark, sf)), CFG)["score_curve"]
+    """H7: all five tables, a row per cell."""
+    from proselens.plans.reports import figure_tables, long_form
+    return long_form(figure_tables(_written(add_scores(FX.two_runs(spark, sf))), CFG))
 
 
 # The texts around what a reviewer gets to see.
@@ -602,4 +614,96 @@ def q_best_vector_reference(spark, sf):
     return out.select("vec_id", r6("best").alias("best"))
 
 
+# --- encoders and the scorer hook -----------------------------------------------------
+
+def _hashed_model():
+    """M1 (c): the small deterministic model, loaded in the workers."""
+    from proselens.operators.encoders import HashedWords, UserModel
+    return UserModel(HashedWords)
+
+
+def q_model_alignment(spark, sf):
+    """M1 (c), A22, X4: distinct texts through the model once, each candidate
+    against its product's attribute text."""
+    from proselens.operators.encoders import TextVectors, paired_vectors
+    c, p = _cand_products(spark, sf)
+    vectors = TextVectors(_hashed_model(), [(c, "marketing_text"), (p, "attribute_text")])
+    out = paired_vectors(c, "candidate_ord", "marketing_text", p, "product_id", "attribute_text",
+                         "semantic_attribute_alignment", vectors)
+    return out.select("candidate_ord", r6("semantic_attribute_alignment").alias("semantic_attribute_alignment"))
+
+
+def q_model_feature_coverage(spark, sf):
+    """A17, A22, J6 on vectors."""
+    from proselens.operators.encoders import TextVectors, vector_coverage
+    from proselens.operators.measures import features_of
+    c, p = _cand_products(spark, sf)
+    vectors = TextVectors(_hashed_model(), [(c, "marketing_text"), (features_of(p, "combined"), "feature")])
+    out = vector_coverage(c, "candidate_ord", "marketing_text", p, "product_id", "combined", CFG.coverage_threshold, vectors)
+    return out.withColumn("semantic_feature_coverage", r6("semantic_feature_coverage"))
+
+
+def q_model_unique_texts(spark, sf):
+    """D1 / D2 by the vectors of the model."""
+    from proselens.operators.dedup import duplicate_flags
+    d = duplicate_flags(FX.candidates(spark, sf), threshold=CFG.dedup_threshold_eval, cfg=CFG, encoder=_hashed_model())
+    return d.withColumn("duplicate_similarity", r6("duplicate_similarity"))
+
+
+def _embedded_texts(spark, sf) -> DataFrame:
+    """M1 (a): texts with vectors from ``embeddings``; many texts have none."""
+    return FX.table(spark, sf, "documents").select("doc_id", "text").join(
+        FX.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+
+
+def q_vector_unique_texts(spark, sf):
+    """D1 by vectors made elsewhere: of the pairs whose words overlap enough,
+    those whose vectors do not point apart."""
+    from proselens.operators.dedup import duplicate_flags
+    from proselens.operators.encoders import VectorTable
+    d = duplicate_flags(FX.candidates(spark, sf), threshold=0.0, cfg=CFG,
+                        encoder=VectorTable(_embedded_texts(spark, sf), "text", "embedding"))
+    return d.withColumn("duplicate_similarity", r6("duplicate_similarity"))
+
+
+def q_model_evaluate_texts(spark, sf):
+    """H3 by the model instead of term counts."""
+    from proselens.plans.evaluate import evaluate_texts
+    c = FX.with_gold(FX.candidates(spark, sf).select("candidate_ord", "product_id", "marketing_text"), spark, sf)
+    ev = evaluate_texts(c, products(spark, sf), gold=FX.gold(spark, sf), cfg=CFG, encoder=_hashed_model())
+    return ev.select("candidate_ord", r6("semantic_attribute_alignment").alias("semantic_attribute_alignment"),
+                     r6("semantic_similarity_gold").alias("semantic_similarity_gold"),
+                     r6("semantic_feature_coverage").alias("semantic_feature_coverage"), "num_features",
+                     "is_unique", "duplicate_of_candidate", r6("duplicate_similarity").alias("duplicate_similarity"))
+
+
+def q_model_iteration_results(spark, sf):
+    """H4 by the model instead of term counts."""
+    from proselens.plans.iteration import iteration_results
+    res = iteration_results(FX.text_replies(spark, sf), products(spark, sf), FX.gold(spark, sf), CFG, encoder=_hashed_model())
+    dbl = ["semantic_attribute_alignment", "semantic_feature_coverage", "sbert", "overall_score"]
+    return res.select("candidate_ord", *[r6(c).alias(c) for c in dbl], "passed_quality_gates", "rejection_reasons")
+
+
+class LengthJudge:
+    """A deterministic judge: scores a request by its length, gives some no
+    reply and fails on others."""
+
+    def __call__(self, texts: list[str]) -> list[str | None]:
+        if any(len(t) % 13 == 0 for t in texts):
+            raise ValueError("unlucky request")
+        return [None if len(t) % 17 == 0 else
+                f'{{"overall_score": {6 + len(t) % 4}, "relevance_score": {1 + len(t) % 5}, '
+                f'"generalization_score": "{2 + len(t) % 3}", "reason": "length {len(t)}"}}' for t in texts]
+
+
+def q_scored_requests(spark, sf):
+    """M2-M4: judge requests through the scorer hook, replies parsed."""
+    from proselens.operators.scorer import score_requests
+    requests = judge_requests(FX.scored_candidates(spark, sf), JUDGE_TEMPLATE, CFG).select("candidate_ord", "request")
+    replies = score_requests(requests, LengthJudge, _folder(spark, "judge-journal")).withColumnRenamed("status", "call_status")
+    return R.judge_fields(R.parse_replies(replies)).select(
+        "candidate_ord", "call_status", "error", "judge_score", "relevance_score", "generalization_score", "judge_reason")
+
+
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_")}

@@ -868,9 +868,72 @@ FROM results GROUP BY iteration"""
 Q["prompt_families"] = """
 SELECT CASE WHEN model = 'model_a' THEN 'prompt' ELSE 'prompt2' END AS family, CAST(count(*) AS BIGINT) AS n
 FROM candidates GROUP BY ALL"""
-Q["optimisation_report"] = Q["top_issues"]
-Q["final_report"] = Q["duplicate_rate"]
-Q["figure_tables"] = Q["score_curve"]
+# --- report sets: a row per cell -----------------------------------------------------
+
+def long_sql(parts: list[tuple[str, str, list[str], list[str], list[str]]]) -> str:
+    """(table, SQL, keys, numbers, texts) of each table of a set."""
+    out = []
+    for name, sql, keys, numbers, texts in parts:
+        key = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys) or "''"
+        cells = [f"{{'metric': '{c}', 'value': round(CAST({c} AS DOUBLE), 6), 'text': CAST(NULL AS VARCHAR)}}" for c in numbers]
+        cells += [f"{{'metric': '{c}', 'value': CAST(NULL AS DOUBLE), 'text': CAST({c} AS VARCHAR)}}" for c in texts]
+        out.append(f"SELECT '{name}' AS \"table\", key, c.metric AS metric, c.value AS value, c.text AS text FROM ("
+                   f"SELECT {key} AS key, unnest([{', '.join(cells)}]) AS c FROM ({sql}))")
+    return " UNION ALL ".join(out)
+
+
+_BEST = ("best_product_id AS best_example_product_id, best_score AS best_example_score, best_length AS best_example_length, "
+         "best_model AS best_example_model")
+_BEST_CELLS = ["best_example_score", "best_example_length"], ["best_example_product_id", "best_example_model"]
+
+
+def _by_dataset(sql: str, source: str) -> str:
+    """A table by iteration and model, by dataset as well."""
+    for old, new in ((f"FROM {source}", "FROM two_runs_overall"), ("SELECT iteration, model", "SELECT dataset, iteration, model"),
+                     ("GROUP BY iteration, model", "GROUP BY dataset, iteration, model"),
+                     ("SELECT c.iteration", "SELECT c.dataset, c.iteration"), ("SELECT f.iteration", "SELECT f.dataset, f.iteration"),
+                     ("GROUP BY f.iteration", "GROUP BY f.dataset, f.iteration"), ("SELECT g.iteration", "SELECT g.dataset, g.iteration"),
+                     ("ON l.iteration", "ON l.dataset = f.dataset AND l.iteration"), ("(iteration, model", "(dataset, iteration, model"),
+                     ("SELECT model, iteration", "SELECT dataset, model, iteration"),
+                     ("GROUP BY model, iteration", "GROUP BY dataset, model, iteration")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+Q["optimisation_report"] = long_sql([
+    ("prompt_means", f"SELECT *, {_BEST} FROM pmeans", ["iteration", "prompt_family"],
+     [*_AVGS, "sample_size", *_BEST_CELLS[0]], _BEST_CELLS[1]),
+    ("improvement_history", "SELECT iteration, prompt_family, sample_size, " + ", ".join(f"round({c}, 3) AS {c}" for c in _AVGS)
+     + ", array_to_string(issues, ' | ') AS issues, best_product_id AS best_example_product_id, "
+     "round(best_score, 3) AS best_example_score, best_length AS best_example_length, best_model AS best_example_model FROM issues",
+     ["iteration", "prompt_family"], [*_AVGS, "sample_size", *_BEST_CELLS[0]], [*_BEST_CELLS[1], "issues"]),
+    ("rejection_focus", Q["recommendations"], ["iteration", "prompt_family"], ["rejected", "sample_size"],
+     ["top_reasons", "top_counts", "top_percentages", "top_reason", "recommendation"]),
+    ("top_issues", Q["top_issues"], ["iteration", "rank"], ["count", "pct_of_all"], ["reason"])])
+Q["final_report"] = long_sql([
+    ("results", f"SELECT r.iteration, r.candidate_ord, r.overall_score, r.passed_quality_gates, d.is_unique, d.duplicate_of "
+     f"FROM results r JOIN ({dedup_sql(0.95, True)}) d USING (iteration, candidate_ord)", ["iteration", "candidate_ord"],
+     ["overall_score", "passed_quality_gates", "is_unique"], ["duplicate_of"]),
+    ("duplicate_rate", Q["duplicate_rate"], ["iteration"], ["duplicate_rate"], []),
+    ("rejection_patterns", Q["rejection_patterns"], ["reason"], ["count", "pct_of_rejected"], ["reason_display"]),
+    ("rejection_totals", Q["rejection_totals"], [], ["total", "rejected", "approved", "rejected_pct", "approved_pct"], []),
+    ("worst_example", Q["worst_example"], ["candidate_ord"],
+     ["overall_score", "judge_score", "relevance_score", "hallucination_score"], ["product_id", "reasons", "feedback"]),
+    ("quality_summary", Q["quality_summary"], [], ["total_outputs", "rejected_count", "rejection_rate", "top_issue_count"],
+     ["top_issue", "all_patterns"]),
+    ("iteration_progress", Q["iteration_progress"], ["iteration"], ["mean_score", "pass_rate"], []),
+    ("aggregate", Q["aggregate_by_run"], ["iteration", "model", "prompt_name"],
+     [*_AGG_COLS, "hallucination_rate", "semantic_feature_coverage", "semantic_feature_coverage_normalized",
+      "semantic_attribute_alignment"], [])])
+Q["figure_tables"] = long_sql([
+    ("failure_rates", Q["two_run_compare"], ["dataset", "model", "rule"], ["failure_rate_pct"], []),
+    ("score_box", _by_dataset(Q["score_box"], "results"), ["dataset", "iteration", "model", "metric"],
+     ["n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers"], []),
+    ("length_histogram", _by_dataset(Q["length_histogram"], "candidates"), ["dataset", "iteration", "model", "bin"],
+     ["bin_lo", "bin_hi", "n"], []),
+    ("score_curve", Q["score_curve"], ["dataset", "model", "iteration"], ["mean_overall_score"], []),
+    ("coverage_trend", _by_dataset(Q["coverage_trend"], "scored"), ["dataset", "model", "iteration"],
+     ["mean_coverage_normalized"], [])])
 Q["judge_requests"] = """
 SELECT candidate_ord, 'Rate this text (' || CAST(char_len AS VARCHAR) || ' characters, 450 to 600 allowed, in range: '
        || CASE WHEN in_range THEN 'True' ELSE 'False' END || '; alignment ' || printf('%.3f', semantic_attribute_alignment)
@@ -890,5 +953,64 @@ Q["best_vector_reference"] = f"""
 SELECT vec_id, round(max({_COS}), 6) AS best FROM embeddings e, first_vectors f GROUP BY vec_id"""
 
 
+# --- encoders and the scorer hook -----------------------------------------------------
+
+# The small model: words counted in buckets of two hex digits of their MD5.
+_BUCKET = "substr(md5(token), 1, 2)"
+
+
+def hashed(sql: str) -> str:
+    """The same measures on the model's vectors: every word becomes its bucket."""
+    return with_ctes(sql).replace("token, count(*) AS tf FROM (SELECT", f"{_BUCKET} AS token, count(*) AS tf FROM (SELECT")
+
+
+def dense_dedup_sql(threshold: float, similarity: str, tables: str) -> str:
+    """D1 / D2 whose cosine is ``similarity`` of rows a and c of ``dv``."""
+    sql = dedup_sql(threshold, False)
+    start, end = sql.index("sem AS ("), sql.index("edges AS (")
+    return sql[:start] + f"""{tables},
+sem AS (SELECT * FROM (
+        SELECT sh.i, sh.j, {similarity} AS sim
+        FROM sh JOIN nn x ON x.ord = sh.i JOIN nn y ON y.ord = sh.j
+        LEFT JOIN dv a ON a.ord = sh.i LEFT JOIN dv c ON c.ord = sh.j
+        WHERE x.wset <> y.wset AND sh.inter * 20 >= greatest(x.n, 1) * 19) WHERE sim >= {threshold}),
+""" + sql[end:]
+
+
+_HASHED_DEDUP = dense_dedup_sql(0.99, "coalesce(list_cosine_similarity(a.v, c.v), 0.0)", f"""
+hb AS (SELECT ord, {_BUCKET} AS bkt, CAST(sum(tf) AS DOUBLE) AS n FROM tk GROUP BY ALL),
+bk AS (SELECT DISTINCT bkt FROM hb),
+dv AS (SELECT o.ord, list(coalesce(hb.n, 0.0) ORDER BY bk.bkt) AS v
+       FROM (SELECT DISTINCT ord FROM hb) o CROSS JOIN bk LEFT JOIN hb ON hb.ord = o.ord AND hb.bkt = bk.bkt GROUP BY o.ord)""")
+_VECTOR_DEDUP = dense_dedup_sql(0.0, "coalesce(list_cosine_similarity(a.v, c.v), 0.0)", """
+tv AS (SELECT text, min(embedding::DOUBLE[]) AS v FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY text),
+dv AS (SELECT b.ord, tv.v FROM b JOIN tv ON tv.text = b.text)""")
+DENSE: dict[str, str] = {
+    "model_alignment": hashed(Q["attribute_alignment"]), "model_feature_coverage": hashed(Q["feature_coverage"]),
+    "model_unique_texts": with_ctes(_HASHED_DEDUP), "vector_unique_texts": with_ctes(_VECTOR_DEDUP),
+    "model_iteration_results": hashed("""
+SELECT candidate_ord, round(semantic_attribute_alignment, 6) AS semantic_attribute_alignment,
+       round(semantic_feature_coverage, 6) AS semantic_feature_coverage, round(sbert, 6) AS sbert,
+       round(overall_score, 6) AS overall_score, passed_quality_gates, rejection_reasons FROM h_results"""),
+}
+DENSE["model_evaluate_texts"] = f"""
+SELECT al.candidate_ord, al.semantic_attribute_alignment, pg.semantic_similarity_gold,
+       fc.semantic_feature_coverage, fc.n_features AS num_features,
+       ut.is_unique, ut.duplicate_of_candidate, ut.duplicate_similarity
+FROM ({DENSE["model_alignment"]}) al
+JOIN ({hashed(Q["paired_gold_similarity"])}) pg ON pg.candidate_ord = al.candidate_ord
+JOIN ({DENSE["model_feature_coverage"]}) fc ON fc.candidate_ord = al.candidate_ord
+JOIN ({DENSE["model_unique_texts"]}) ut ON ut.candidate_ord = al.candidate_ord"""
+
+Q["scored_requests"] = f"""
+SELECT candidate_ord, call_status, CASE WHEN call_status = 'failed' THEN 'ValueError: unlucky request' END AS error,
+       CASE WHEN call_status = 'ok' THEN CAST(6 + n % 4 AS DOUBLE) END AS judge_score,
+       CASE WHEN call_status = 'ok' THEN CAST(1 + n % 5 AS DOUBLE) END AS relevance_score,
+       CASE WHEN call_status = 'ok' THEN CAST(2 + n % 3 AS DOUBLE) END AS generalization_score,
+       CASE WHEN call_status = 'ok' THEN 'length ' || CAST(n AS VARCHAR) ELSE 'API error' END AS judge_reason
+FROM (SELECT candidate_ord, n, CASE WHEN n % 13 = 0 THEN 'failed' WHEN n % 17 = 0 THEN 'no_reply' ELSE 'ok' END AS call_status
+      FROM (SELECT candidate_ord, length(coalesce(request, '')) AS n FROM ({Q["judge_requests"]})))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {k: with_ctes(v) for k, v in Q.items()}
+    return {k: with_ctes(v) for k, v in Q.items()} | DENSE
