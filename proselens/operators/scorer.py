@@ -143,10 +143,10 @@ def score_requests(requests: DataFrame, factory: Callable[[], Scorer], journal:
 def _parts(spark: SparkSession, journal: str, count: Callable[[], int]) -> int:
     """The number of parts of a journal, fixed by its first run."""
     sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{journal}/_parts.json")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{journal}/parts.json")
     store = path.getFileSystem(sc._jsc.hadoopConfiguration())
     if store.exists(path):
-        return json.loads(spark.read.text(f"{journal}/_parts.json").first()[0])["parts"]
+        return json.loads(spark.read.text(f"{journal}/parts.json").first()[0])["parts"]
     parts = count()
     out = store.create(path)
     out.write(json.dumps({"parts": parts}).encode())
