@@ -221,7 +221,8 @@ SELECT item_id AS ord,
              ELSE 'Brand#' || CAST(item_id % 12 + 1 AS VARCHAR) END, '^\s+|\s+$', '', 'g')) AS asset_name,
        coalesce(substring(text, 1, 30), '') AS t_title,
        coalesce(CASE WHEN item_id % 5 = 0 THEN NULL ELSE substring(text, 31, 40) END, '') AS t_insight,
-       coalesce(substring(text, 71, 40), '') AS t_benefit,
+       coalesce(substring(text, CASE WHEN item_id % 5 = 0 THEN 31 ELSE 71 END,
+                          CASE WHEN item_id % 4 = 1 THEN length(text) WHEN item_id % 5 = 0 THEN 80 ELSE 40 END), '') AS t_benefit,
        coalesce(CASE WHEN item_id % 4 = 1 THEN NULL ELSE substring(text, 111) END, '') AS t_feature
 FROM benchmark"""
 

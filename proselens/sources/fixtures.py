@@ -208,8 +208,10 @@ def raw_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("AssetName.1"),
         F.substring(t, 1, 30).alias("Title"),
         F.when(i % 5 == 0, F.lit(None).cast("string")).otherwise(F.substring(t, 31, 40)).alias("Insight"),
-        F.substring(t, 71, 40).alias("Benefit"),
-        # the rest of the text, however long
+        # Benefit holds what a neighbour that is NULL leaves out, so that the
+        # cells of every row are the whole text, however long
+        F.substring(t, F.when(i % 5 == 0, 31).otherwise(71),
+                    F.when(i % 4 == 1, F.length(t)).otherwise(F.when(i % 5 == 0, 80).otherwise(40))).alias("Benefit"),
         F.when(i % 4 == 1, F.lit(None).cast("string")).otherwise(F.substring(t, F.lit(111), F.length(t))).alias("Function"),
     )
 
