@@ -57,6 +57,10 @@ def grams(ids: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+# Bytes of windows or regions that are looked at together.
+_WINDOW_BYTES = 32 << 20
+
+
 def embed(rows: np.ndarray, bits: np.ndarray, pad: int) -> np.ndarray:
     """CGK walk over rows of word numbers: step j puts out the word it stands
     on (``pad`` past the end) and moves on if the word's bit of step j is 1."""
@@ -73,16 +77,17 @@ def embed(rows: np.ndarray, bits: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
-def nearest_run(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def nearest_run(items: np.ndarray, regions: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """For rows of items and regions: the least edit distance of the item to
-    any run of the region, and where that run ends (first such place)."""
+    any run of the region, and where that run ends (first such place); a run
+    begins anywhere or, ``anchored``, where the region does."""
     m, n = items.shape
     place = np.arange(n + 1)
     row = np.broadcast_to(place, (m, n + 1)).astype(np.int32)
     best, end = row[:, n].copy(), np.zeros(m, np.int64)
     for j in range(regions.shape[1]):
         step = np.empty_like(row)
-        step[:, 0] = 0
+        step[:, 0] = j + 1 if anchored else 0
         step[:, 1:] = np.minimum(row[:, :-1] + (items != regions[:, j:j + 1]), row[:, 1:] + 1)
         row = np.minimum.accumulate(step - place, axis=1) + place
         better = row[:, n] < best
@@ -172,25 +177,35 @@ class Items:
             e = self.edits[n]
             start = np.unique(np.maximum(np.concatenate(starts), 0))
             start = start[start + n + e < len(ids)]
-            windows = ids[start[:, None] + np.arange(n)]
-            w, item = self.candidates(windows, n)
-            if not len(w):
-                continue
-            left = np.maximum(start[w] - e, 0)
-            for a in range(0, len(w), 4096):
-                part = slice(a, a + 4096)
-                regions = ids[np.minimum(left[part, None] + np.arange(n + 2 * e), len(ids) - 1)]
-                distance, end = nearest_run(self.rows[n][item[part]], regions)
-                for x in np.flatnonzero(distance <= e).tolist():
-                    stop = int(left[a + x] + end[x])
-                    doc = int(np.searchsorted(begins, stop - 1, "right")) - 1
-                    first = max(0, stop - n - int(begins[doc]))
-                    stop = min(stop - int(begins[doc]), int(sizes[doc]))
-                    d, key = int(distance[x]), (doc, int(self.ids[n][item[a + x]]))
-                    if key not in found or (d, first) < (found[key][2], found[key][0]):
-                        found[key] = (first, stop, d, n)
+            # as many windows at a time as fit the bound, however long the item
+            for c in range(0, len(start), max(1, _WINDOW_BYTES // (8 * n))):
+                some = start[c:c + max(1, _WINDOW_BYTES // (8 * n))]
+                w, item = self.candidates(ids[some[:, None] + np.arange(n)], n)
+                step = max(1, min(4096, _WINDOW_BYTES // (8 * (n + 2 * e))))
+                for a in range(0, len(w), step):
+                    self._verify(ids, n, e, some[w[a:a + step]], item[a:a + step], begins, sizes, found)
         return [(doc, i, f, s, d, n) for (doc, i), (f, s, d, n) in sorted(found.items())]
 
+    def _verify(self, ids: np.ndarray, n: int, e: int, start: np.ndarray, item: np.ndarray, begins: np.ndarray,
+                sizes: np.ndarray, found: dict) -> None:
+        """Exact distances around the candidate windows; a run's first word is
+        found by the same distance backwards from its end."""
+        left = np.maximum(start - e, 0)
+        distance, end = nearest_run(self.rows[n][item], ids[np.minimum(left[:, None] + np.arange(n + 2 * e), len(ids) - 1)])
+        hits = np.flatnonzero(distance <= e)
+        if not len(hits):
+            return
+        stops = left[hits] + end[hits]
+        back = ids[np.maximum(stops[:, None] - 1 - np.arange(n + e), 0)]
+        _, length = nearest_run(self.rows[n][item[hits], ::-1], back, anchored=True)
+        for x, stop, run in zip(hits.tolist(), stops.tolist(), length.tolist()):
+            doc = int(np.searchsorted(begins, stop - 1, "right")) - 1
+            first = max(0, stop - run - int(begins[doc]))
+            stop = min(stop - int(begins[doc]), int(sizes[doc]))
+            d, key = int(distance[x]), (doc, int(self.ids[n][item[x]]))
+            if key not in found or (d, first) < (found[key][2], found[key][0]):
+                found[key] = (first, stop, d, n)
+
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS,
                walks: int = WALKS, samples: int = SAMPLES, places: int = PLACES,

@@ -171,14 +171,16 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     """Model from the labelled documents outside the held-out third.
 
     Null labels and null ids take no part; of repeated labels of a document
-    the larger counts.  Without any usable label the lexicon alone decides.
+    the larger counts, of its repeated rows the least text.  Without any usable label the lexicon alone decides.
     """
     ship(documents.sparkSession)
     known = (pick(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null")
              .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # one row per document, however often its id is repeated: its least text
     sample = (pick(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-              .select(F.coalesce("text", F.lit("")).alias("text"), "y"))
+              .groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
+              .select("text", "y"))
     vocabulary = _mine(sample, features)
     words = ["=" + w for w in LEXICON]
     if not vocabulary:
