@@ -26,58 +26,66 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselens.llm.common import Scratch, fresh, join_on_hot_key, pick, ship
+from proselens.llm.common import HOT_KEYS, Scratch, fresh, join_on_hot_key, pick, ship
 
 # A block of at least so many words is deleted.
 BLOCK_WORDS = 25
 # In each sentence one of so many words in a row begins a line, at least.
 PICK_WORDS = 12
-_LINES = re.compile(r"[\r\n]+")
 _WORD = re.compile(r"\S+")
 _BATCH = 512
-_MEMO_WORDS = 200_000
+_MEMO_WORDS = 400_000
 _PLACE = (1 << 31) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
 
-class _Memo(dict):
-    """Hashes of words; the lowest bit says that the word ends a sentence."""
+# Hashes of words; the lowest bit says that the word ends a sentence.
+_MEMO: dict[str, int] = {}
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _MEMO_WORDS:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word.lower()) & ~1 | (word[-1] in ".!?")
-        self[word] = h
-        return h
 
-
-_MEMO = _Memo()
+def _learn(words: list[str]) -> None:
+    """Make sure that every word has its hash."""
+    if len(_MEMO) > _MEMO_WORDS:
+        _MEMO.clear()
+    digest = xxhash.xxh3_64_intdigest
+    for w in set(words).difference(_MEMO):
+        _MEMO[w] = digest(w.lower()) & ~1 | (w[-1] in ".!?")
 
 
 def cut(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each line and the number of words)."""
-    hashes: list[int] = []
+    words: list[str] = []
     begins = []
-    for part in _LINES.split(text):
-        words = part.split()
-        if words:
-            begins.append(len(hashes))
-            hashes.extend(map(_MEMO.__getitem__, words))
-    h = np.array(hashes, np.uint64)
+    for part in text.replace("\r", "\n").split("\n"):
+        some = part.split()
+        if some:
+            begins.append(len(words))
+            words += some
+    _learn(words)
+    h = np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
     opens = np.zeros(len(h), bool)
     opens[begins] = True
     opens[1:] |= (h[:-1] & np.uint64(1)).astype(bool)
     if len(h) >= PICK_WORDS:
         # of equal words the last, so that the choice depends on these words only
         keys = (h >> np.uint64(33)).view(np.int64) << 31 | _PLACE - np.arange(len(h))
-        least = np.lib.stride_tricks.sliding_window_view(keys, PICK_WORDS).min(axis=1)
+        least = window_minima(keys, PICK_WORDS)
         sentence = np.cumsum(opens)
         inside = sentence[:1 - PICK_WORDS] == sentence[PICK_WORDS - 1:]
         opens[_PLACE - (least[inside] & _PLACE)] = True
     return h, np.append(np.flatnonzero(opens), len(h))
 
 
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Least value of every ``width`` neighbours, by doubling stretches."""
+    least, reach = values, 1
+    while 2 * reach <= width:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    return least if reach == width else np.minimum(least[:len(values) - width + 1], least[width - reach:])
+
+
 def packed(words: np.ndarray, lines: np.ndarray) -> np.ndarray:
     """31 bits of each word's hash, and in the lowest bit whether it begins a line."""
     out = (words >> np.uint64(33) << np.uint64(1)).astype(np.uint32)
@@ -90,11 +98,24 @@ def unpacked(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x >> np.uint32(1)).astype(np.uint64), np.append(np.flatnonzero(x & np.uint32(1)), len(x))
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n of the base and of its inverse."""
+    if len(_POWERS[0]) <= n:
+        size = max(n + 1, 2 * len(_POWERS[0]))
+        _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64)), dtype=np.uint64)
+                      for b in (_BASE, _BACK)]
+    return _POWERS
+
+
 def hashes_of(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes (int64) of the runs of words from first to before end."""
     n = len(words)
-    up, down = (np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _BACK))
-    sums = np.append(np.uint64(0), np.cumsum(words * up[:n], dtype=np.uint64))
+    up, down = _powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * up[:n], dtype=np.uint64, out=sums[1:])
     x = (sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (x ^ (x >> np.uint64(32))).view(np.int64)
@@ -187,8 +208,20 @@ def widened(later: list[int], earlier: list[int], first: int, end: int, start: i
     return first, end
 
 
-def blocks(later: np.ndarray, later_lines: np.ndarray, earlier: np.ndarray, earlier_lines: np.ndarray,
-           least: int) -> list[tuple[int, int, int, int]]:
+class Holder:
+    """An earlier text as its later partners look it up: its words, the hashes
+    of its lines, and where each of its runs first begins."""
+
+    def __init__(self, words: np.ndarray, lines: np.ndarray, least: int) -> None:
+        self.words, self.begins = words.tolist(), lines.tolist()
+        self.lines = hashes_of(words, lines[:-1], lines[1:]).tolist()
+        ends = run_ends(lines, least)
+        self.runs: dict[int, int] = {}
+        for a, h in enumerate(hashes_of(words, lines[:len(ends)], lines[ends]).tolist()):
+            self.runs.setdefault(h, a)
+
+
+def blocks(later: np.ndarray, later_lines: np.ndarray, holder: Holder, least: int) -> list[tuple[int, int, int, int]]:
     """(first line, end line, first word, end word) of the blocks of the later
     text that the earlier one holds.  A text is its words' hashes and, as of
     ``cut``, where its lines begin; lines are those that match as a whole.
@@ -197,12 +230,12 @@ def blocks(later: np.ndarray, later_lines: np.ndarray, earlier: np.ndarray, earl
     words that stands anywhere in the earlier text.
     """
     out: list[tuple[int, int, int, int]] = []
-    mine, theirs = later.tolist(), earlier.tolist()
+    mine, theirs = later.tolist(), holder.words
     my_lines = hashes_of(later, later_lines[:-1], later_lines[1:]).tolist()
-    their_lines = hashes_of(earlier, earlier_lines[:-1], earlier_lines[1:]).tolist()
+    their_lines, where = holder.lines, holder.runs
 
     def add(i: int, j: int, a: int) -> None:
-        first, end = widened(mine, theirs, int(later_lines[i]), int(later_lines[j]), int(earlier_lines[a]))
+        first, end = widened(mine, theirs, int(later_lines[i]), int(later_lines[j]), holder.begins[a])
         if end - first >= least:
             out.append((i, j, first, end))
 
@@ -215,10 +248,7 @@ def blocks(later: np.ndarray, later_lines: np.ndarray, earlier: np.ndarray, earl
     gone = np.zeros(len(later) + 1, bool)
     for _, _, first, end in out:
         gone[first:end] = True
-    ends, their_ends = run_ends(later_lines, least), run_ends(earlier_lines, least)
-    where: dict[int, int] = {}
-    for a, h in enumerate(hashes_of(earlier, earlier_lines[:len(their_ends)], earlier_lines[their_ends]).tolist()):
-        where.setdefault(h, a)
+    ends = run_ends(later_lines, least)
     for i, h in enumerate(hashes_of(later, later_lines[:len(ends)], later_lines[ends]).tolist()):
         if h in where and not gone[later_lines[i]:later_lines[ends[i]]].all():
             a, n = where[h], int(ends[i]) - i
@@ -275,18 +305,29 @@ def find_blocks(documents: DataFrame, least_words: int = BLOCK_WORDS, scratch: S
     whole = lines.select("key", "doc_id", "tokens").dropDuplicates(["key"])
     theirs = whole.select(F.col("key").alias("earlier"), F.col("doc_id").alias("earlier_id"),
                           F.col("tokens").alias("earlier_tokens"))
-    both = (pairs.join(whole, "key").join(theirs, "earlier")
-            .select("key", "doc_id", "earlier_id", "tokens", "earlier_tokens"))
+    # a holder of very many pairs is dealt into shares of its pairs, each with
+    # a copy of its text; fewer than HOT_KEYS holders have that many
+    share = max(2, pairs.count() // HOT_KEYS)
+    hot = F.broadcast(pairs.groupBy("earlier").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= share)
+                      .select("earlier", (F.floor(F.col("_n") / share) + 1).cast("int").alias("_shares")))
+    names = ["key", "doc_id", "earlier", "earlier_id", "tokens", "earlier_tokens"]
+    few = pairs.join(hot, "earlier", "left_anti").join(whole, "key").join(theirs, "earlier").select(names)
+    dealt = pairs.join(hot, "earlier").withColumn("_share", F.pmod(F.xxhash64("key"), F.col("_shares")).cast("int"))
+    copies = theirs.join(hot, "earlier").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    many = dealt.drop("_shares").join(whole, "key").join(copies.drop("_shares"), ["earlier", "_share"]).select(names)
+    both = few.unionByName(many)
     found = ("key long, doc_id long, earlier_id long, first_line int, end_line int, first_word int, end_word int, "
              "words int")
     names = found.replace(",", "").split()[::2]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[pa.Scalar, Holder] | None = None
         for batch in batches:
             rows = []
-            for key, doc, other, later, earlier in zip(*batch.columns):
-                mine, theirs = unpacked(later.values.to_numpy()), unpacked(earlier.values.to_numpy())
-                for i, j, a, b in blocks(*mine, *theirs, least_words):
+            for key, doc, holder_key, other, later, earlier in zip(*batch.columns):
+                if held is None or held[0] != holder_key:  # the pairs of a holder stand together
+                    held = (holder_key, Holder(*unpacked(earlier.values.to_numpy()), least_words))
+                for i, j, a, b in blocks(*unpacked(later.values.to_numpy()), held[1], least_words):
                     rows.append((key.as_py(), doc.as_py(), other.as_py(), i, j, a, b, b - a))
             columns = list(zip(*rows)) if rows else [()] * len(names)
             kinds = [pa.int64()] * 3 + [pa.int32()] * 5

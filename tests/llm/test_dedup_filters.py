@@ -39,6 +39,15 @@ def least_distance(item, words):
     return best
 
 
+def test_window_minima_are_those_of_every_window():
+    import numpy as np
+
+    values = np.random.default_rng(1).integers(0, 99, 50)
+    for width in (1, 2, 3, 5, 8, 12, 50):
+        want = [values[i:i + width].min() for i in range(len(values) - width + 1)]
+        assert linededup.window_minima(values, width).tolist() == want
+
+
 def test_leaks_equal_brute_force(spark, odd_rows):
     rng = random.Random(7)
     items = [(i, prose(100 + i, rng.randint(6, 50))) for i in range(12)] + [(90, None), (91, ""), (92, "two words")]
@@ -62,6 +71,31 @@ def test_leaks_equal_brute_force(spark, odd_rows):
     assert set(got) <= set(want)
     assert len(got) >= 0.95 * len(want) and {k for k, d in want.items() if d == 0} <= set(got)
     assert all(got[k]["distance"] == want[k] for k in got)
+    text, item = ({k: decontaminate.words_of(t) for k, t in rows} for rows in (docs, items))
+    for (i, b), r in got.items():  # the run itself has that distance, and its first and last word are the item's own
+        run = text[i][r["start_word"]:r["end_word"]]
+        assert least_distance(item[b], run) == r["distance"]
+        assert min(run[0] in item[b], run[-1] in item[b]) and len(run) <= len(item[b]) + r["distance"]
+
+
+@pytest.mark.parametrize("change,start,end", [(lambda w: w[:10] + ["inserted"] + w[10:], 50, 71),
+                                              (lambda w: w[:5] + w[6:14] + w[15:], 50, 68), (lambda w: w, 50, 70)])
+def test_leaks_begin_where_the_passage_does(spark, change, start, end):
+    item = prose(77, 20)
+    words = prose(78, 50).split() + change(item.split()) + prose(79, 50).split()
+    row = decontaminate.find_leaks(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"),
+                                   spark.createDataFrame([(5, item)], ITEMS)).first()
+    assert (row["start_word"], row["end_word"]) == (start, end)
+
+
+def test_windows_in_chunks_change_nothing(monkeypatch):
+    items = decontaminate.Items([(i, prose(200 + i, 30)) for i in range(6)], decontaminate.SHARE, decontaminate.LEAST_WORDS,
+                                decontaminate.WALKS, decontaminate.SAMPLES, decontaminate.PLACES)
+    texts = [" ".join([prose(300 + i, 20), prose(200 + i % 6, 30), prose(400 + i, 20)]) for i in range(30)]
+    want = items.scan(texts)
+    assert len(want) >= 30
+    monkeypatch.setattr(decontaminate, "_WINDOW_BYTES", 600)
+    assert items.scan(texts) == want
 
 
 def test_leaks_empty_sides(spark, no_documents, odd_documents):
@@ -169,7 +203,7 @@ def test_blocks_hold_every_common_run():
         one, two = ([w for p in rng.choices(parts, k=6) for w in p] for _ in range(2))
         (later, lines), (earlier, others) = linededup.cut(" ".join(one)), linededup.cut(" ".join(two))
         gone = set()
-        for _, _, first, end in linededup.blocks(later, lines, earlier, others, 25):
+        for _, _, first, end in linededup.blocks(later, lines, linededup.Holder(earlier, others, 25), 25):
             assert " " + " ".join(one[first:end]) + " " in " " + " ".join(two) + " "
             gone |= set(range(first, end))
         for at in range(len(one) - 48 + 1):
@@ -287,6 +321,17 @@ def test_components(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    """One id repeated very often is one row of the sample."""
+    seen = []
+    real = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda x, y: seen.append(len(y)) or real(x, y))
+    rows = [(i, prose(i, 20) + (" idiot" if i % 2 else "")) for i in range(60)] + [(7, "you idiot " + str(k)) for k in range(500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample_rows=60)
+    assert seen and max(seen) <= 60
+
+
 def test_toxicity_held_out(spark):
     from conftest import SF01
 
