@@ -27,6 +27,8 @@ INDEX = ("page_id long, url string, file string, offset long, length long, paylo
 RECORD = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
           "refers_to long, payload binary")
 SEGMENT_BYTES = 256 << 20
+# Bytes of records that one task reads back.
+READ_BYTES = 64 << 20
 _LINE = "\r\n"
 
 
@@ -150,10 +152,13 @@ def ranges(rows: list[tuple[str, int, int]], gap: int, most: int) -> Iterator[tu
         yield here
 
 
-def read_records(index: DataFrame, with_payload: bool = True, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read_records(index: DataFrame, with_payload: bool = True, gap: int = 64 << 10, most: int = 8 << 20,
+                 task_bytes: int = READ_BYTES) -> DataFrame:
     """Records of the selected index rows: RECORD, parsed from the archives.
-    A revisit has no payload of its own (null)."""
+    A revisit has no payload of its own (null).  Tasks are counted by the bytes
+    of the records, not of their index rows."""
     ship(index.sparkSession)
+    count = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -184,7 +189,7 @@ def read_records(index: DataFrame, with_payload: bool = True, gap: int = 64 << 1
             held[1].close()
 
     order = ["file", "offset"]
-    tasks = index.select("file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
+    tasks = index.select("file", "offset", "length").repartitionByRange(count, *order).sortWithinPartitions(*order)
     return tasks.mapInArrow(run, RECORD)
 
 
