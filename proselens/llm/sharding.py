@@ -4,10 +4,10 @@ Karmarkar-Karp differencing for ``shards`` ways.  Every group begins as a
 partial partition that has its size in one slot and nothing in the others.
 The two partial partitions with the largest spread are combined again and
 again, the largest slot of one with the smallest of the other, until one is
-left.  Differencing runs in two levels: each task combines the groups that a
-hash dealt to it, and the driver combines one partial partition per task (a
-vector of ``shards`` sums), so what meets in one place is bounded by the
-number of tasks.
+left.  Differencing runs in levels: each task combines the groups that a hash
+dealt to it, then further tasks combine up to ``fan_in`` partial partitions
+(vectors of ``shards`` sums) each, until at most ``fan_in`` are left, which
+the driver combines.  So what meets in one place never grows with the data.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proselens.llm.common import Scratch, join_on_hot_key, pick, ship
+from proselens.operators.common import broadcast_if_small
 
 # Groups that one differencing task combines: bounds its memory.
 GROUPS_PER_TASK = 50_000
+# Partial partitions that one task, or the driver at the end, combines.
+FAN_IN = 1000
 
 
 def difference(parts: list[np.ndarray]) -> np.ndarray:
@@ -73,7 +76,16 @@ def _difference_groups(sizes: np.ndarray, ways: int) -> tuple[np.ndarray, np.nda
     return slot, np.bincount(slot, weights=sizes, minlength=ways)
 
 
-def assign_groups(groups: DataFrame, shards: int, scratch: Scratch, groups_per_task: int = GROUPS_PER_TASK) -> DataFrame:
+def _vectors(sums: pd.DataFrame, shards: int) -> tuple[list[int], np.ndarray]:
+    """Cells in ascending order and their slot sums from rows (cell, slot, bytes)."""
+    cells, at = np.unique(sums["cell"].to_numpy(np.int64), return_inverse=True)
+    parts = np.zeros((len(cells), shards))
+    parts[at, sums["slot"].to_numpy(np.int64)] = sums["bytes"].to_numpy(np.float64)
+    return cells.tolist(), parts
+
+
+def assign_groups(groups: DataFrame, shards: int, scratch: Scratch, groups_per_task: int = GROUPS_PER_TASK,
+                  fan_in: int = FAN_IN) -> DataFrame:
     """Groups (digest unique, size, _n rows) with their shard."""
     ship(groups.sparkSession)
     total = groups.count()
@@ -85,17 +97,29 @@ def assign_groups(groups: DataFrame, shards: int, scratch: Scratch, groups_per_t
         slot, _ = _difference_groups(pdf["size"].to_numpy(np.float64), shards)
         return pdf.assign(slot=slot)
 
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, parts = _vectors(pdf, shards)
+        return pd.DataFrame({"cell": np.repeat(names, shards), "slot": np.tile(np.arange(shards), len(names)),
+                             "up": int(pdf["up"].iloc[0]), "up_slot": difference(list(parts)).ravel()})
+
     schema = "digest string, size long, _n long, cell int, slot int"
     local = scratch.write(cells.select("digest", "size", "_n", "cell").groupBy("cell").applyInPandas(run, schema),
                           "cells")
-    # one vector of sums per task
-    sums = local.groupBy("cell", "slot").agg(F.sum("size").alias("bytes")).collect()
-    names = sorted({r["cell"] for r in sums})
-    parts = np.zeros((len(names), shards))
-    for r in sums:
-        parts[names.index(r["cell"]), r["slot"]] = r["bytes"]
-    if not names:
+    level = 0
+    while tasks > fan_in:
+        # up to fan_in vectors of sums per task; a (cell, slot) holds at most
+        # one task's groups of the level below
+        tasks, level = -(-tasks // fan_in), level + 1
+        sums = local.groupBy("cell", "slot").agg(F.sum("size").alias("bytes"))
+        steps = scratch.write(sums.withColumn("up", F.expr(f"cell div {fan_in}").cast("int")).groupBy("up")
+                              .applyInPandas(combine, "cell int, slot int, up int, up_slot int"), f"steps{level}")
+        local = scratch.write(local.join(steps, ["cell", "slot"]).select(
+            "digest", "size", "_n", F.col("up").alias("cell"), F.col("up_slot").alias("slot")), f"cells{level}")
+    # at most fan_in x shards sums
+    sums = local.groupBy("cell", "slot").agg(F.sum("size").alias("bytes")).toPandas()
+    if not len(sums):
         return local.select("digest", "_n", F.col("slot").alias("shard"))
+    names, parts = _vectors(sums, shards)
     final = difference(list(parts))
     rows = [(c, s, int(final[i, s])) for i, c in enumerate(names) for s in range(shards)]
     plan = F.broadcast(scratch.spark.createDataFrame(rows, "cell int, slot int, shard int"))
@@ -128,13 +152,14 @@ def number(rows: DataFrame, by: str, scratch: Scratch) -> DataFrame:
     placed = scratch.write(rows.mapInArrow(run, f"{schema}, part int, place long"), "placed")
     w = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition and value
-    before = (placed.groupBy(by, "part").agg(F.count(F.lit(1)).alias("rows"))
-              .select(by, "part", F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("before")))
-    return (placed.join(F.broadcast(before), [by, "part"])
+    before = scratch.write(placed.groupBy(by, "part").agg(F.count(F.lit(1)).alias("rows"))
+                           .select(by, "part", F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("before")), "before")
+    return (placed.join(broadcast_if_small(before), [by, "part"])
             .withColumn("slot", F.col("place") + F.col("before")).drop("part", "place", "before"))
 
 
-def shard_documents(documents: DataFrame, shards: int = 24, groups_per_task: int = GROUPS_PER_TASK) -> DataFrame:
+def shard_documents(documents: DataFrame, shards: int = 24, groups_per_task: int = GROUPS_PER_TASK,
+                    fan_in: int = FAN_IN) -> DataFrame:
     """Shard of every document by bytes; equal texts are one group.
 
     Returns (doc_id, size, text_crc32, shard, slot).  Size: UTF-8 bytes of the
@@ -150,7 +175,7 @@ def shard_documents(documents: DataFrame, shards: int = 24, groups_per_task: int
         F.sha2(text, 256).alias("digest")), "rows")
     groups = scratch.write(rows.groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("_n")),
                            "groups")
-    placed = assign_groups(groups, shards, scratch, groups_per_task)
+    placed = assign_groups(groups, shards, scratch, groups_per_task, fan_in)
     joined = join_on_hot_key(rows, placed, "digest", total=rows.count())
     return number(joined.select("doc_id", "size", "text_crc32", "shard"), "shard", scratch)
 

@@ -104,15 +104,34 @@ def test_sharding_empty(no_documents):
     assert sharding.shard_documents(no_documents).collect() == []
 
 
-@pytest.mark.parametrize("groups_per_task", [20, 50_000])
-def test_sharding_balance(spark, groups_per_task):
+# levels of three vectors combine too few sums for 2 %: there the spread is within the largest group's size
+@pytest.mark.parametrize("groups_per_task,fan_in,most", [(20, 1000, 0.02), (50_000, 1000, 0.02), (20, 3, None)])
+def test_sharding_balance(spark, groups_per_task, fan_in, most):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(1 + pmod(hash(id), 900) as int))").alias("text"))
-    rows = sharding.shard_documents(df, 8, groups_per_task).collect()
+    rows = sharding.shard_documents(df, 8, groups_per_task, fan_in).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(400))
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
     total = Counter()
     for r in rows:
         total[r["shard"]] += r["size"]
     mean = sum(total.values()) / 8
-    assert max(total.values()) - min(total.values()) <= 0.02 * mean
+    assert max(total.values()) - min(total.values()) <= (most * mean if most else max(r["size"] for r in rows))
+
+
+def test_differencing_equals_a_direct_one():
+    """Singletons against plain largest differencing with explicit sets."""
+    rng = np.random.default_rng(3)
+    for ways in (2, 3, 5):
+        sizes = rng.choice(1 << 20, 40, replace=False) + 1
+        parts = [[(0, ())] * (ways - 1) + [(int(v), (i,))] for i, v in enumerate(sizes)]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: p[-1][0] - p[0][0])
+            a, b = parts.pop(), parts.pop()
+            parts.append(sorted(((x + y, g + h) for (x, g), (y, h) in zip(a, reversed(b))), key=lambda t: t[0]))
+        _, sums = sharding._difference_groups(sizes.astype(float), ways)
+        assert sorted(sums.tolist()) == [s for s, _ in parts[0]]
 
 
 def test_differencing_keeps_every_slot():
