@@ -19,17 +19,21 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselens.llm.common import fresh, pick, ship
+from proselens.llm.common import Scratch, pick, ship
 
-# Items of one pass over the documents: bounds what goes to the tasks.
+# Items of one pass over the documents, and their bytes: bounds what goes to
+# the tasks (one item may be longer).
 ITEMS_PER_BLOCK = 20_000
+BLOCK_BYTES = 16 << 20
+# Items with fewer words are too common to reject a document for.
 LEAST_WORDS = 5
 SHARE = 0.2
 WALKS, SAMPLES, PLACES = 6, 16, 2
@@ -207,52 +211,97 @@ class Items:
                 found[key] = (first, stop, d, n)
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS,
+class _Blocks:
+    """The benchmark's items in blocks of bounded size, one on the driver at a time."""
+
+    def __init__(self, benchmark: DataFrame, share: float, least_words: int, walks: int, samples: int, places: int,
+                 items_per_block: int) -> None:
+        self.items = pick(benchmark, "item_id", "text").filter("item_id is not null and text is not null").distinct()
+        self.options = (share, least_words, walks, samples, places)
+        total, size = self.items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        self.count = max(1, -(-total // items_per_block), -(-size // BLOCK_BYTES))
+
+    def broadcast(self, b: int) -> Broadcast:
+        rows = (self.items.filter(F.expr(f"pmod(xxhash64(item_id), {self.count}) = {b}"))
+                .orderBy("item_id", "text").collect())
+        return self.items.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], *self.options))
+
+
+def _hits(block: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared = block.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, _STEP):
+                batch = whole.slice(first, _STEP)
+                docs = batch.column(0).cast(pa.int64()).to_pylist()
+                hits = prepared.scan(batch.column(1).to_pylist())
+                columns = list(zip(*hits)) if hits else [()] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([docs[i] for i in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()),
+                     pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()),
+                     pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.int32())],
+                    names=["doc_id", "item_id", "start_word", "end_word", "distance", "item_words"])
+    return run
+
+
+def _clean(block: Broadcast, text: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared = block.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, _STEP):
+                batch = whole.slice(first, _STEP)
+                keep = np.ones(batch.num_rows, bool)
+                keep[[hit[0] for hit in prepared.scan(batch.column(text).to_pylist())]] = False
+                yield batch.filter(pa.array(keep))
+    return run
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = 1,
                walks: int = WALKS, samples: int = SAMPLES, places: int = PLACES,
                items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """HITS: one row per document row and item that it leaks, at the best run.
 
-    Words are runs of letters and digits, lower-cased.  Items under
-    ``least_words`` words (null ones too) say nothing about a leak and match
-    nothing; items under eight words must appear unchanged.  Null and empty
-    texts hold nothing; repeated rows are searched each; an empty table on
-    either side gives no rows; other columns are ignored.
+    Words are runs of letters and digits, lower-cased.  Items without words or
+    under ``least_words`` words match nothing; items under eight words must
+    appear unchanged.  Rows of one item id with different texts are one item,
+    reported at the best run of any.  Null and empty texts hold nothing;
+    repeated rows are searched each; an empty table on either side gives no
+    rows; other columns are ignored.
+
+    Several blocks of items are searched one after another, each block's hits
+    being written before the next is read.
     """
     spark = documents.sparkSession
     ship(spark)
-    items = pick(benchmark, "item_id", "text").filter("item_id is not null and text is not null").distinct()
-    total = items.count()
-    blocks = max(1, -(-total // items_per_block))
-    out = None
-    for b in range(blocks):
-        rows = items.filter(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {b}")).orderBy("item_id", "text").collect()
-        block = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], share, least_words, walks, samples,
-                                                   places))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            prepared = block.value
-            for whole in batches:
-                for first in range(0, whole.num_rows, _STEP):
-                    batch = whole.slice(first, _STEP)
-                    docs = batch.column(0).cast(pa.int64()).to_pylist()
-                    hits = prepared.scan(batch.column(1).to_pylist())
-                    columns = list(zip(*hits)) if hits else [()] * 6
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([docs[i] for i in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()),
-                         pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()),
-                         pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.int32())],
-                        names=["doc_id", "item_id", "start_word", "end_word", "distance", "item_words"])
-
-        part = pick(documents, "doc_id", "text").mapInArrow(run, HITS)
+    blocks = _Blocks(benchmark, share, max(1, least_words), walks, samples, places, items_per_block)
+    rows = pick(documents, "doc_id", "text")
+    if blocks.count == 1:
+        return rows.mapInArrow(_hits(blocks.broadcast(0)), HITS)
+    scratch, out = Scratch(spark, "leaks"), None
+    for b in range(blocks.count):
+        block = blocks.broadcast(b)
+        part = scratch.write(rows.mapInArrow(_hits(block), HITS), f"hits{b}")
+        block.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def drop_leaks(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, all their columns, that leak no item; rows without an id
-    are judged by their own text like any others."""
-    name = fresh(documents, "text_key")
-    tagged = documents.withColumn(name, F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))))
-    texts = tagged.select(F.col(f"`{name}`").alias("doc_id"), F.col("`text`").alias("text"))
-    leaks = find_leaks(texts, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
-    return tagged.join(leaks, name, "left_anti").drop(name)
+def drop_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS,
+               walks: int = WALKS, samples: int = SAMPLES, places: int = PLACES,
+               items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+    """The documents, all their columns, that leak no item of ``least_words``
+    words or more; rows are filtered where they are scanned, those without an
+    id like any others."""
+    spark = documents.sparkSession
+    ship(spark)
+    blocks = _Blocks(benchmark, share, max(1, least_words), walks, samples, places, items_per_block)
+    text = [c.lower() for c in documents.columns].index("text")
+    scratch, out = Scratch(spark, "clean"), documents
+    for b in range(blocks.count):
+        block = blocks.broadcast(b)
+        out = out.mapInArrow(_clean(block, text), documents.schema)
+        if blocks.count > 1:
+            out = scratch.write(out, f"block{b}")
+            block.destroy()
+            scratch.drop(f"block{b - 1}") if b else None
+    return out

@@ -64,7 +64,7 @@ def test_leaks_equal_brute_force(spark, odd_rows):
     for i, t in docs:
         for b, item in items:
             x = decontaminate.words_of(item)
-            if len(x) >= decontaminate.LEAST_WORDS:
+            if x:
                 d = least_distance(x, decontaminate.words_of(t))
                 if d <= decontaminate.edits(len(x), decontaminate.SHARE):
                     want[i, b] = d
@@ -98,6 +98,27 @@ def test_windows_in_chunks_change_nothing(monkeypatch):
     assert items.scan(texts) == want
 
 
+def test_short_items_match_word_for_word(spark):
+    docs = spark.createDataFrame([(1, "Some TWO words here"), (2, "two other words"), (3, "word"), (4, None)],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "two words"), (2, "word"), (3, "!"), (4, None)], ITEMS)
+    got = {(r["doc_id"], r["item_id"], r["start_word"], r["end_word"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1, 1, 3), (3, 2, 0, 1)}
+    # too common to reject a document for, unless asked
+    assert decontaminate.drop_leaks(docs, bench).count() == 4
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench, least_words=1).collect()} == {2, 4}
+
+
+def test_leaking_rows_go_block_by_block(spark):
+    items = [(i, prose(100 + i, 20)) for i in range(9)]
+    docs = with_clashes(spark.createDataFrame([(i, prose(i, 30) + " " + (t if i % 2 else "")) for i, t in items] + [(None, items[3][1])],
+                                              "doc_id long, text string"))
+    for per_block in (2, 1000):
+        kept = decontaminate.drop_leaks(docs, spark.createDataFrame(items, ITEMS), items_per_block=per_block)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 2, 4, 6, 8}
+        assert "Join" not in kept._jdf.queryExecution().toString()
+
+
 def test_leaks_empty_sides(spark, no_documents, odd_documents):
     none = spark.createDataFrame([], ITEMS)
     assert decontaminate.find_leaks(odd_documents, none).collect() == []
