@@ -25,8 +25,6 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Levels of the tree; what lies deeper stays together in the last one.
-LEVELS = 6
 
 
 def host_of(url: Column) -> Column:
@@ -56,50 +54,85 @@ def looks(path: Column) -> Column:
     return F.regexp_replace(out, r"(?<=/)(?=[^/]*[0-9])[0-9A-Za-z_-]{12,}(?=[/.]|$)", "<id>")
 
 
+def _join_at(left: DataFrame, right: DataFrame, names: list[str], n: str, total: int) -> DataFrame:
+    """Join on several columns, of which a value may be hot: ``right`` is a
+    written table, unique on them, with the number of left rows in ``n``."""
+    key = F.struct(*[F.col(c) for c in names])
+    return join_on_hot_key(left.withColumn("_at", key), right.withColumn("_at", key).drop(*names), "_at", n=n,
+                           total=total).drop("_at", n)
+
+
 def template_tree(urls: DataFrame, scratch: Scratch, many: int = 10, few_pages: float = 3.0, strength: float = 4.0,
                   z: float = 2.0) -> DataFrame:
     """Leaves of the tree over (host, look, verdict or null): one row per
-    (host, look) with its template and the smoothed share of allowed pages."""
+    (host, look) with its template and the smoothed share of allowed pages.
+
+    The tree is as deep as two looks of a host go together: a leaf that is
+    alone in its node, or at its end, has its template.  The end of a path is a
+    child like any other, an empty segment: templates of nodes that several
+    looks reach together end in a slash.
+    """
     good, bad = (F.sum((F.col("verdict") == v).cast("long")) for v in ("allow", "block"))
     leaves = urls.groupBy("host", "look").agg(
         F.count(F.lit(1)).alias("_n"), F.coalesce(good, F.lit(0)).alias("good"), F.coalesce(bad, F.lit(0)).alias("bad"))
-    segments = F.split(F.col("look"), "/", LEVELS + 1)
-    nodes = scratch.write(leaves.withColumn("segments", segments).withColumn("node", F.lit("")), "level0")
-    depth = min(LEVELS + 1, nodes.agg(F.max(F.size("segments"))).first()[0] or 0)
+    nodes = scratch.write(leaves.withColumn("segments", F.split(F.col("look"), "/")).withColumn("node", F.lit("")),
+                          "level0")
     whole = nodes.agg(((F.sum("good") + 1) / (F.sum("good") + F.sum("bad") + 2)).alias("all_share"))
+    # a literal segment that looks like a merged one gets a mark
+    literal = F.regexp_replace("seg", r"^(\\*[*~])$", r"\\$1")
 
     def share(good: str, bad: str, prior: str) -> Column:
         return (F.col(good) + strength * F.col(prior)) / (F.col(good) + F.col(bad) + strength)
 
-    for level in range(1, depth):
-        seg = F.coalesce(F.get("segments", F.lit(level)), F.lit(""))
-        here = nodes.withColumn("seg", seg)
-        children = here.groupBy("host", "node", "seg").agg(
-            F.sum("_n").alias("pages"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
-        parents = children.groupBy("host", "node").agg(
-            F.count(F.lit(1)).alias("kids"), F.sum("pages").alias("all_pages"), F.sum("g").alias("pg"),
-            F.sum("b").alias("pb"))
-        judged = (children.join(parents, ["host", "node"]).join(F.broadcast(whole))
+    level, open_leaves, done = 0, nodes.count(), []
+    while open_leaves:
+        level += 1
+        here = nodes.withColumn("seg", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
+        children = scratch.write(here.groupBy("host", "node", "seg").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("_n").alias("pages"), F.sum("good").alias("g"),
+            F.sum("bad").alias("b")), f"children{level}")
+        parents = scratch.write(children.groupBy("host", "node").agg(
+            F.count(F.lit(1)).alias("n_kids"), F.sum("rows").alias("leaves"), F.sum("pages").alias("all_pages"),
+            F.sum("g").alias("pg"), F.sum("b").alias("pb")).withColumn("kids", F.col("n_kids")), f"parents{level}")
+        judged = (_join_at(children, parents, ["host", "node"], "n_kids", open_leaves).join(F.broadcast(whole))
                   .withColumn("pooled", share("pg", "pb", "all_share"))
                   .withColumn("own", share("g", "b", "pooled"))
                   .withColumn("spread", F.sqrt(F.col("pooled") * (1 - F.col("pooled")) / (F.col("g") + F.col("b") + strength))))
         variable = (F.col("kids") >= many) & (F.col("all_pages") < few_pages * F.col("kids"))
         alike = (F.abs(F.col("own") - F.col("pooled")) <= z * F.col("spread")) & (F.col("g") + F.col("b") > 0)
-        step = judged.select(
-            "host", "node", "seg",
+        step = scratch.write(judged.select(
+            "host", "node", "seg", "rows", (F.col("leaves") == 1).alias("alone"),
             F.concat("node", F.lit("/"), F.when(variable, F.lit("*")).when(alike & (F.col("kids") > 1), F.lit("~"))
-                     .otherwise(F.col("seg"))).alias("next"))
-        nodes = scratch.write(here.join(step, ["host", "node", "seg"])
-                              .select("host", "look", "_n", "good", "bad", "segments", F.col("next").alias("node")),
-                              f"level{level}")
-        scratch.drop(f"level{level - 1}") if level > 1 else None
-    templates = nodes.groupBy("host", "node").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    hosts = templates.groupBy("host").agg(F.sum("g").alias("hg"), F.sum("b").alias("hb"))
-    scored = (templates.join(hosts, "host").join(F.broadcast(whole))
-              .withColumn("host_share", share("hg", "hb", "all_share"))
-              .withColumn("share", share("g", "b", "host_share")))
-    return nodes.select("host", "look", "_n", "node").join(
-        scored.select("host", "node", "share"), ["host", "node"]).withColumnRenamed("node", "template")
+                     .otherwise(literal)).alias("next")), f"steps{level}")
+        rest = F.array_join(F.slice("segments", level + 2, F.size("segments")), "/")
+        # the level's leaves: those alone take the rest of their path as it is
+        last = F.col("alone") | (F.lit(level) >= F.size("segments"))
+        whole_path = F.when(F.col("alone") & (F.size("segments") > level + 1), F.concat("next", F.lit("/"), rest)) \
+            .otherwise(F.col("next"))
+        placed = scratch.write(_join_at(here, step, ["host", "node", "seg"], "rows", open_leaves).select(
+            "host", "look", "_n", "good", "bad", "segments", whole_path.alias("node"), last.alias("last")),
+            f"level{level}")
+        done.append(placed.filter(F.col("last")).drop("last", "segments"))
+        nodes = placed.filter(~F.col("last")).drop("last")
+        open_leaves = nodes.count()
+        scratch.drop(f"children{level}", f"parents{level}", f"steps{level}")
+    if not done:
+        return nodes.select("host", "look", "_n", F.col("node").alias("template"), F.lit(0.0).alias("share"))
+    ended = done[0]
+    for part in done[1:]:
+        ended = ended.unionByName(part)
+    ended = scratch.write(ended, "ended")
+    templates = scratch.write(ended.groupBy("host", "node").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("good").alias("g"), F.sum("bad").alias("b")), "templates")
+    hosts = scratch.write(templates.groupBy("host").agg(
+        F.count(F.lit(1)).alias("in_host"), F.sum("g").alias("hg"), F.sum("b").alias("hb")), "hosts")
+    scored = scratch.write(
+        _join_at(templates, hosts, ["host"], "in_host", templates.count()).join(F.broadcast(whole))
+        .withColumn("host_share", share("hg", "hb", "all_share"))
+        .select("host", "node", "rows", share("g", "b", "host_share").alias("share")), "scored")
+    scratch.drop(*[f"level{i}" for i in range(level + 1)], "templates", "hosts")
+    return _join_at(ended, scored, ["host", "node"], "rows", ended.count()).select(
+        "host", "look", "_n", F.col("node").alias("template"), "share")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, least_share: float = 0.5) -> DataFrame:

@@ -238,6 +238,14 @@ def test_warc_round_trip(spark):
     assert [bytes(r["payload"]) for r in some] == [("é" * 40_000).encode()] * 2
 
 
+def test_warc_reads_in_tasks_by_bytes(spark):
+    rows = [(i, f"http://a/{i}", random.Random(i).randbytes(3000).hex()) for i in range(40)]
+    index = warc.write_archives(spark.createDataFrame(rows, PAGES), Scratch(spark, "t"))
+    read = warc.read_records(index, task_bytes=20_000)
+    parts = read.select("page_id", F.spark_partition_id().alias("part")).collect()
+    assert sorted(r["page_id"] for r in parts) == list(range(40)) and len({r["part"] for r in parts}) >= 4
+
+
 def test_warc_minimum_and_empty(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "yyyyy"), (4, "d", "yyyyy")], PAGES)
     got = {r["page_id"]: r["record_type"] for r in warc.archive_and_read(df, least_revisit_bytes=3).collect()}
@@ -292,5 +300,88 @@ def test_url_templates_learn_from_rules(spark):
     assert got[0]["template"] == "/~/<n>" or got[0]["template"].endswith("<n>")
 
 
+def tree_brute(urls, many=10, few_pages=3.0, strength=4.0, z=2.0):
+    """(host, look) -> (template, share), node by node from (host, look, verdict) rows."""
+    leaves = {}
+    for host, look, verdict in urls:
+        leaf = leaves.setdefault((host, look), [0, 0, 0])
+        leaf[0] += 1
+        leaf[1] += verdict == "allow"
+        leaf[2] += verdict == "block"
+    tally = lambda xs, i: sum(leaves[x][i] for x in xs)
+    smooth = lambda g, b, prior: (g + strength * prior) / (g + b + strength)
+    everything = (tally(leaves, 1) + 1) / (tally(leaves, 1) + tally(leaves, 2) + 2)
+    template = {}
+
+    def name(seg):
+        return "\\" + seg if re.fullmatch(r"\\*[*~]", seg) else seg
+
+    def descend(node, here, level):
+        children = {}
+        for x in here:
+            parts = x[1].split("/")
+            children.setdefault(parts[level] if level < len(parts) else "", []).append(x)
+        pooled = smooth(tally(here, 1), tally(here, 2), everything)
+        below = {}
+        for seg, xs in children.items():
+            g, b = tally(xs, 1), tally(xs, 2)
+            spread = math.sqrt(pooled * (1 - pooled) / (g + b + strength))
+            merged = name(seg)
+            if len(children) >= many and tally(here, 0) < few_pages * len(children):
+                merged = "*"
+            elif len(children) > 1 and g + b and abs(smooth(g, b, pooled) - pooled) <= z * spread:
+                merged = "~"
+            below.setdefault(f"{node}/{merged}", []).extend(xs)
+        for following, xs in below.items():
+            going = []
+            for x in xs:
+                parts = x[1].split("/")
+                if len(here) == 1:
+                    template[x] = "/".join([following, *parts[level + 1:]])
+                elif level >= len(parts):
+                    template[x] = following
+                else:
+                    going.append(x)
+            if going:
+                descend(following, going, level + 1)
+
+    out = {}
+    for host in {h for h, _ in leaves}:
+        mine = [x for x in leaves if x[0] == host]
+        descend("", mine, 1)
+        prior = smooth(tally(mine, 1), tally(mine, 2), everything)
+        for x in mine:
+            same = [y for y in mine if template[y] == template[x]]
+            out[x] = template[x], smooth(tally(same, 1), tally(same, 2), prior)
+    return out
+
+
+def test_url_tree_equals_a_direct_version(spark):
+    """Deep paths, one hot host, literal * and ~, merged and kept branches."""
+    rng = random.Random(5)
+    urls = []
+    for i in range(900):
+        host = "hot.com" if i % 3 else rng.choice(["a.org", "b.com", "c.net", ""])
+        parts = [rng.choice(["de", "fr", "en", "*", "~", "\\*", ""]) for _ in range(rng.randrange(4))]
+        parts += rng.choice([[], ["deep"] * 8, [f"x{rng.randrange(400)}"], ["p", f"y{rng.randrange(60)}", "q"]])
+        kind = parts[0] if parts else ""
+        verdict = {"de": "block", "fr": "allow"}.get(kind) if rng.random() < 0.8 else rng.choice(["allow", "block", None])
+        urls.append((host, "".join("/" + s for s in parts), verdict))
+    df = spark.createDataFrame(urls, "host string, look string, verdict string")
+    rows = urlfilter.template_tree(df, Scratch(spark, "t")).collect()
+    want = tree_brute(urls)
+    assert {(r["host"], r["look"]): r["template"] for r in rows} == {x: t for x, (t, _) in want.items()}
+    assert len(rows) == len(want)
+    assert all(abs(r["share"] - want[r["host"], r["look"]][1]) < 1e-9 for r in rows)
+    kinds = {t.split("/")[i] for t, _ in want.values() for i in range(1, t.count("/") + 1)}
+    assert {"*", "~"} <= kinds and any(k.startswith("\\") for k in kinds)
+    assert sum(r["_n"] for r in rows) == len(urls)
+
+
+def test_url_deep_numbers_share_a_template(spark):
+    df = spark.createDataFrame([(i, f"http://h.net/a/b/c/d/e/f/{i}/x{i}y", "") for i in range(30)], PAGES)
+    assert {r["template"] for r in urlfilter.judge_urls(df).collect()} == {"/a/b/c/d/e/f/<n>/*/"}
+
+
 def test_url_empty(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
