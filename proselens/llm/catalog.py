@@ -141,6 +141,45 @@ SQL: dict[str, str] = {
             FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op8_minhash_bayes": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                ELSE list_sort(list_distinct(list_transform(
+                                         range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s
+            FROM w),
+        c AS (SELECT s, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY s),
+        t AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM c),
+        p AS (
+            SELECT a.rep AS a, b.rep AS b, any_value(a.n + b.n) AS n, count(*) AS shared
+            FROM t a JOIN t b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep),
+        l AS (SELECT a, b FROM p WHERE 100 * shared >= 80 * (n - shared)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT rep, rep AS start FROM c UNION SELECT e.b, r.start FROM r JOIN e ON e.a = r.rep),
+        k AS (SELECT rep, min(start) AS component_id FROM r GROUP BY rep)
+        SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id,
+               coalesce(k.component_id, s.doc_id) = s.doc_id AS kept
+        FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN k ON c.rep = k.rep
+    """,
+    "op9_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        f AS (SELECT html, min(page_id) AS first, sha1(html) AS h FROM p GROUP BY html),
+        b AS (
+            SELECT html, first,
+                   array_to_string(list_transform(range(32), lambda i: substr(
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       (1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INTEGER,
+                       1)), '') AS payload_digest
+            FROM f)
+        SELECT page_id, strlen(p.html) AS payload_bytes, payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END
+                   AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM p JOIN b ON p.html = b.html
+    """,
     "op11_range_maximum_search": r"""
         WITH t AS (
             SELECT row_number() OVER () AS row, doc_id,

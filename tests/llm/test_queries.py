@@ -28,7 +28,8 @@ def test_one_query_per_operator_and_the_pipeline():
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op3_vantage_point_search", "op11_range_maximum_search", "op13_counted_infill"])
+@pytest.mark.parametrize("name", ["op3_vantage_point_search", "op8_minhash_bayes", "op9_warc_index",
+                                  "op11_range_maximum_search", "op13_counted_infill"])
 def test_query_matches_duckdb(spark, name):
     res = compare(spark, duck(SF01), name, entry.queries()[name], entry.oracle_sql()[name], SF01)
     assert res["status"] == "ok", res
