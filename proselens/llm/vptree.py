@@ -2,17 +2,21 @@
 
 Largest inner products become nearest neighbours once every vector gets the
 component sqrt(M^2 - |x|^2), M being the largest norm; queries get a zero
-there.  Rows are hashed to shards, queries to blocks; each (shard, block) task
-builds the shard's tree and takes its block of queries down together, nearest
-branch first, leaving out a branch when ``factor`` times its triangle-
-inequality bound exceeds the distance of the query's k-th best so far.  Factor
-one is exact; larger factors skip more.  A bounded sample of the index gives
-every query its first bound.  Scores of what is found are summed anew in
-double precision, component by component, on the original vectors.
+there.  Rows are hashed to shards, each shard's tree is built once and written;
+queries are hashed to blocks, and each (shard, block) task takes its queries
+down the tree together, nearest branch first, leaving out a branch when
+``factor`` times its triangle-inequality bound exceeds the distance of the
+query's k-th best so far.  Factor one is exact; larger factors skip more.  A
+bounded sample of the index gives every query its first bound.  Scores of what
+is found are summed anew in double precision, component by component, on the
+original vectors.  Where the largest squared norm leaves the range in which
+squared distances mean something in doubles, shards are scanned instead.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,10 +27,16 @@ from proselens.llm.common import Scratch, pick, ship
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 8192
+# A written tree holds at most about this much.
+SHARD_BYTES = 32 << 20
+# Queries that go down a tree together.
+DESCENT = 1024
 LEAF_ROWS = 128
 # Rows whose scores give each query a first bound.
 SAMPLE_ROWS = 2048
 _SLACK = 1e-9
+# Squared norms between which trees are used.
+LEAST_NORM2, MOST_NORM2 = 1e-200, 1e300
 
 
 class Tree:
@@ -60,12 +70,9 @@ def sequential_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_shard(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray,
-                 bounds: np.ndarray, k: int, norm2: float, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, vec_id, score) of up to ``k`` best rows of a shard for
-    each query, its own id left out.  ``bounds``: scores that a query's k-th
-    best reaches at least.  Equal vectors are one point of the tree; of their
-    ids only the k + 1 smallest can be among the k best."""
+def index_shard(vectors: np.ndarray, ids: np.ndarray, k: int, norm2: float) -> bytes:
+    """Tree of a shard, ready to be written.  Equal vectors are one point; of
+    their ids only the k + 1 smallest can be among the k best."""
     order = np.lexsort((ids, *vectors.T[::-1]))
     vectors, ids = vectors[order], ids[order]
     again = np.zeros(len(ids), dtype=bool)  # repeated rows are hashed to one shard
@@ -76,13 +83,55 @@ def search_shard(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
     starts = np.flatnonzero(fresh)
     ends = np.minimum(np.append(starts[1:], len(ids)), starts + k + 1)
     points = vectors[starts]
+    if not tree_fits(norm2):
+        return pickle.dumps((ids, points, starts, ends, None))
     lift = np.sqrt(np.maximum(norm2 - (points ** 2).sum(axis=1), 0))
-    tree = Tree(np.column_stack([points, lift]))
+    return pickle.dumps((ids, points, starts, ends, Tree(np.column_stack([points, lift])).root))
+
+
+def tree_fits(norm2: float) -> bool:
+    """Whether squared distances neither overflow nor vanish in doubles."""
+    return LEAST_NORM2 < norm2 < MOST_NORM2
+
+
+def _best(q: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query: a score that is no number counts as the
+    largest, as Spark sorts it; ties go to the smaller id."""
+    no_number = np.isnan(score)
+    order = np.lexsort((vec, -np.where(no_number, np.inf, score), ~no_number, q))
+    q, vec, score = q[order], vec[order], score[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[top], vec[top], score[top]
+
+
+def scan_shard(index: tuple, queries: np.ndarray, query_ids: np.ndarray,
+               k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``search_shard``, without a tree: every score of the shard."""
+    ids, points, starts, ends, _ = index
+    rows = np.repeat(np.arange(len(points)), ends - starts)
+    vec = ids[np.repeat(starts, ends - starts) + np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")]
+    out = []
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i, (query, own) in enumerate(zip(queries, query_ids)):
+            score = sequential_scores(np.broadcast_to(query, points.shape), points)[rows]
+            other = vec != own
+            out.append(_best(np.full(int(other.sum()), i), vec[other], score[other], k))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def search_shard(index: tuple, queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, k: int,
+                 norm2: float, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, vec_id, score) of up to ``k`` best rows of an indexed
+    shard for each query, its own id left out.  ``bounds``: scores that a
+    query's k-th best reaches at least.  Rounding is allowed for in proportion
+    to the largest norm."""
+    ids, points, starts, ends, root = index
     lifted = np.column_stack([queries, np.zeros(len(queries))])
     q2 = (queries ** 2).sum(axis=1)
     best = np.full((len(queries), k + 1), -np.inf)  # the query's own row may be among them
     least = bounds.copy()
     found_q, found_p, found_s = [], [], []
+    slack, slack_r = _SLACK * norm2, _SLACK * np.sqrt(norm2)
 
     def radius(q: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(q2[q] + norm2 - 2 * least[q], 0))
@@ -93,7 +142,7 @@ def search_shard(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
         if node[0] == "leaf":
             rows = node[1]
             s = queries[q] @ points[rows].T
-            passed = s >= (least[q] - _SLACK * (1 + np.abs(least[q])))[:, None]
+            passed = s >= (least[q] - slack)[:, None]
             hit = passed.any(axis=1)
             if not hit.any():
                 return
@@ -114,19 +163,18 @@ def search_shard(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
         def enter(child: tuple, some: np.ndarray, ds: np.ndarray) -> None:
             low, high, below = child
             bound = np.maximum(np.maximum(ds - high, low - ds), 0)
-            r = radius(some)
-            visit(below, some[bound * factor <= r + _SLACK * (1 + r)])
+            visit(below, some[bound * factor <= radius(some) * (1 + _SLACK) + slack_r])
 
         for here, first, second in ((inner, near, far), (~inner, far, near)):
             enter(first, q[here], d[here])
             enter(second, q[here], d[here])
 
-    if tree.root is not None and len(queries):
-        visit(tree.root, np.arange(len(queries)))
+    if root is not None and len(queries):
+        visit(root, np.arange(len(queries)))
     if not found_q:
         return np.array([], int), np.array([], np.int64), np.array([])
     fq, fp, fs = (np.concatenate(x) for x in (found_q, found_p, found_s))
-    keep = fs >= least[fq] - _SLACK * (1 + np.abs(least[fq]))
+    keep = fs >= least[fq] - slack
     fq, fp = fq[keep], fp[keep]
     score = sequential_scores(queries[fq], points[fp])
     copies = (ends - starts)[fp]
@@ -134,12 +182,7 @@ def search_shard(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
     at = at + np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
     vec = ids[at]
     other = vec != query_ids[fq]
-    fq, vec, score = fq[other], vec[other], score[other]
-    order = np.lexsort((vec, -score, fq))
-    fq, vec, score = fq[order], vec[order], score[order]
-    first = np.searchsorted(fq, fq, side="left")
-    top = np.arange(len(fq)) - first < k
-    return fq[top], vec[top], score[top]
+    return _best(fq[other], vec[other], score[other], k)
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -162,45 +205,60 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, factor: float
 
     Rows that ``usable`` leaves out take no part.  Repeated rows of an id
     count once; a query id with several vectors is searched by the smallest.
-    An empty table gives no rows; other columns are ignored.
+    Scores are doubles: products beyond their range are infinite, and a sum
+    that is no number counts as the largest.  An empty table gives no rows;
+    other columns are ignored.
     """
     spark = embeddings.sparkSession
     ship(spark)
     scratch = Scratch(spark, "nearest")
-    rows = scratch.write(usable(embeddings), "rows")
-    facts = rows.agg(F.count(F.lit(1)).alias("n"),
+    rows = scratch.write(usable(embeddings).distinct(), "rows")
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"),
                      F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).first()
     queries = scratch.write(rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n, norm2 = facts["n"], float(facts["norm2"] or 0) * (1 + 1e-12)
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // (8 * (facts["width"] or 1))))
     shards = max(1, -(-n // shard_rows))
     blocks = max(1, -(-queries.count() // query_block))
-    sample = (rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
-              .drop_duplicates("vec_id")["v"])
-    sampled = np.stack(sample.to_list()) if len(sample) else np.zeros((0, 1))
+    sampled = np.zeros((0, 1))
+    if tree_fits(norm2):
+        sample = (rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+                  .drop_duplicates("vec_id")["v"])
+        sampled = np.stack(sample.to_list())
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        tree = index_shard(np.stack(part["v"].to_list()), part["vec_id"].to_numpy(np.int64), k, norm2)
+        return pd.DataFrame({"shard": part["shard"].iloc[:1].to_list(), "tree": [tree]})
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(left) or not len(right):
-            return empty
-        q = np.stack(right["v"].to_list())
-        bounds = np.full(len(q), -np.inf)
-        if len(sampled) > k + 1:
-            for a in range(0, len(q), 1024):
-                s = q[a:a + 1024] @ sampled.T
-                bounds[a:a + 1024] = -np.partition(-s, k, axis=1)[:, k]
-        qid = right["vec_id"].to_numpy(np.int64)
-        at, vec, score = search_shard(np.stack(left["v"].to_list()), left["vec_id"].to_numpy(np.int64), q, qid,
-                                      bounds, k, norm2, factor)
-        return pd.DataFrame({"query_id": qid[at], "vec_id": vec, "score": score})
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+        if len(left) and len(right):
+            index = pickle.loads(left["tree"].iloc[0])
+            for a in range(0, len(right), DESCENT):
+                some = right.iloc[a:a + DESCENT]
+                q, qid = np.stack(some["v"].to_list()), some["vec_id"].to_numpy(np.int64)
+                if not tree_fits(norm2):
+                    at, vec, score = scan_shard(index, q, qid, k)
+                else:
+                    bounds = np.full(len(q), -np.inf)
+                    if len(sampled) > k + 1:
+                        bounds = -np.partition(-(q @ sampled.T), k, axis=1)[:, k]
+                    at, vec, score = search_shard(index, q, qid, bounds, k, norm2, factor)
+                out.append(pd.DataFrame({"query_id": qid[at], "vec_id": vec, "score": score}))
+        return pd.concat(out[1:] or out, ignore_index=True)
 
     shard = F.expr(f"pmod(xxhash64(vec_id), {shards})").cast("int").alias("shard")
     block = F.expr(f"pmod(xxhash64(vec_id, 7), {blocks})").cast("int").alias("block")
     every = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    index = rows.select("vec_id", "v", shard, every(blocks, "block"))
+    trees = scratch.write(rows.select("vec_id", "v", shard).groupBy("shard")
+                          .applyInPandas(build, "shard int, tree binary"), "trees")
+    index = trees.select("shard", "tree", every(blocks, "block"))
     asked = queries.select("vec_id", "v", block, every(shards, "shard"))
     found = (index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
              .applyInPandas(run, "query_id long, vec_id long, score double"))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # a score that is no number comes back from pandas as null
+    score = F.coalesce("score", F.lit(float("nan")))
+    best = found.groupBy("query_id", "vec_id").agg(F.max(score).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -62,6 +62,27 @@ def test_relaxed_search_keeps_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e120, 1e-120, 1e-200])
+def test_search_beyond_the_range_of_squares(spark, scale):
+    """Infinite products and products that vanish are ordered as doubles are."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) * (scale if i % 3 else 1.0) for x in rng.normal(size=4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vptree.nearest(df, F.col("vec_id") % 5 == 0, 6, 1.0, 25, 5, 64).collect()
+    want = []
+    for q, a in rows[::5]:
+        s = []
+        for i, b in rows:
+            if i != q:
+                t = 0.0
+                for x, y in zip(a, b):
+                    t += x * y
+                s.append((0 if math.isnan(t) else 1, 0.0 if math.isnan(t) else -t, i, t))
+        want += [(q, r + 1, i, str(t)) for r, (_, _, i, t) in enumerate(sorted(s)[:6])]
+    assert [(r["query_id"], r["rank"], r["vec_id"], str(r["score"])) for r in
+            sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == want
+
+
 def test_search_empty(spark):
     assert vptree.nearest(spark.createDataFrame([], VECTORS), F.col("vec_id") % 20 == 0).collect() == []
 
