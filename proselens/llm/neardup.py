@@ -37,6 +37,8 @@ MISS = 1e-6
 SMALL_BUCKET = 12
 # Members per block when the members of a large bucket meet.
 BLOCK = 2048
+# Bytes of shingle sets that a block holds, on the mean of its members.
+BLOCK_BYTES = 64 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _CHUNK = 1 << 14
 
@@ -226,6 +228,11 @@ def _blocks(name: str, size: int) -> Column:
     return F.expr(f"cast(ceil({name} / {size}) as int)")
 
 
+def _blocks_of_sets(rows: str, shingles: str) -> Column:
+    """Blocks bounded in rows and in the bytes of their sets, eight a shingle."""
+    return F.greatest(_blocks(rows, BLOCK), _blocks(f"8 * {shingles}", BLOCK_BYTES), F.lit(1))
+
+
 def _meet(hot: DataFrame, classes: DataFrame, comp: DataFrame, limits: list[tuple[int, int]], percent: int,
           scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Candidates between members of large buckets in different components.
@@ -249,12 +256,14 @@ def _meet(hot: DataFrame, classes: DataFrame, comp: DataFrame, limits: list[tupl
     total = mixed.agg(F.sum("_n")).first()[0] or 0
     rows = join_on_hot_key(members, mixed, "bkey", total=total)
     homes = scratch.write(rows.groupBy("cls").agg(F.min("main").alias("home"),
-                                                  F.max((F.col("component") != F.col("main")).cast("int")).alias("out")),
-                          "homes")
-    counts = homes.groupBy("home").agg(F.count(F.lit(1)).alias("_n"), F.sum("out").alias("outs"))
+                                                  F.max((F.col("component") != F.col("main")).cast("int")).alias("out"),
+                                                  F.first("n").alias("n")), "homes")
+    counts = homes.groupBy("home").agg(F.count(F.lit(1)).alias("_n"), F.sum("out").alias("outs"), F.sum("n").alias("_all"),
+                                       F.sum(F.col("n") * F.col("out")).alias("_outs"))
     placed = join_on_hot_key(homes, counts, "home", total=homes.count()).select(
-        "cls", "home", F.expr(f"cast(pmod(xxhash64(cls), ceil(_n / {BLOCK})) as int)").alias("y"),
-        F.greatest(_blocks("outs", BLOCK), F.lit(1)).alias("xs"))
+        "cls", "home", F.expr("xxhash64(cls)").alias("at"), _blocks_of_sets("_n", "_all").alias("ys"),
+        _blocks_of_sets("outs", "_outs").alias("xs"))
+    placed = placed.select("cls", "home", F.expr("cast(pmod(at, ys) as int)").alias("y"), "xs")
     placed = scratch.write(placed, "placed")
     rows = (rows.join(placed, "cls").join(classes.select("cls", "sig"), "cls")
             .withColumn("parts", _blocks("cnt", BLOCK))

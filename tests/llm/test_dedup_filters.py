@@ -290,9 +290,12 @@ def test_near_duplicates_equal_brute_force(spark, odd_rows, small_bucket):
     assert mine == near_brute(rows, 4, 80)
 
 
-def test_large_bucket_members_meet(spark):
+@pytest.mark.parametrize("block_bytes", [neardup.BLOCK_BYTES, 2000])
+def test_large_bucket_members_meet(spark, monkeypatch, block_bytes):
     """Two families in one bucket of the first band only meet through blocks:
-    with one-row bands nearly everything shares a bucket."""
+    with one-row bands nearly everything shares a bucket.  Blocks that hold
+    few bytes of sets find the same."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block_bytes)
     rows = []
     for seed in range(3):
         for i, t in enumerate(chain(50 + seed, 12, 60)):
