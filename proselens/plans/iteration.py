@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from proselens.config import EvalConfig
 from proselens.operators import replies as R
+from proselens.operators.common import materialize, referenced
 from proselens.operators import encoders as E
 from proselens.operators.measures import features_of, measures
 from proselens.operators.metrics import add_scores, attribute_text, combined_features, length_measures
@@ -37,8 +38,9 @@ def iteration_results(replies: DataFrame, products: DataFrame, gold: DataFrame |
     fact = R.factcheck_fields(parsed.filter(F.col("kind") == "factcheck")) \
         .select(key, "has_hallucination", "hallucination_score",
                 F.to_json("hallucinated_claims").alias("hallucinated_claims"), F.lit(True).alias("_fact"))
-    cands = length_measures(gen, cfg)
-    prod = products.select("product_id", attribute_text().alias("attribute_text"),
+    # parsed once, read by every measure
+    cands = materialize(length_measures(gen, cfg), "iteration-texts")
+    prod = referenced(products, "product_id", cands).select("product_id", attribute_text().alias("attribute_text"),
                            combined_features().alias("combined"))
     by = measures(encoder, [(cands, "marketing_text"), (prod, "attribute_text"), (features_of(prod, "combined"), "feature")]
                   + ([(gold, "marketing_text")] if gold is not None else []))
