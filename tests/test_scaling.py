@@ -82,3 +82,11 @@ def test_shared_features_are_sent_once(spark):
         n = 4 if i % 11 and k < 6 else 0
         assert by_id[i] == (n, hits, hits / n if n else 0.0)
     vectors.release()
+
+
+def test_one_shared_word_of_many_proposes_no_pair_by_containment(spark):
+    rows = [(i, i, 6, " ".join([f"rare{i % 3}", *[f"w{i}x{k}" for k in range(5)]])) for i in range(60)]
+    rows += [(100, 100, 2, "p q"), (101, 101, 3, "p q r"), (102, 102, 1, "r"), (103, 103, 2, "r s")]
+    reps = spark.createDataFrame(rows, "ord long, gmin long, n long, text string")
+    pairs = candidate_pairs(reps, [], 19, 20, EvalConfig())
+    assert sorted((r["i"], r["j"]) for r in pairs.collect()) == [(100, 101), (102, 103)]
