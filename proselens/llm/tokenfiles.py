@@ -6,26 +6,29 @@ with the ``tokenizers`` library and writes one file.  A file is
     MAGIC, blocks, directory, footer
 
 A block is a header (ids, alphabet bytes, words, CRC-32 of the stored bytes,
-CRC-32 of its ids), the gaps of its sorted alphabet and its code words, and
-decodes alone (``rangecoder``).  The directory holds every document's id and
-number of ids.  All numbers are little-endian.
+CRC-32 of its ids), the gaps of its sorted alphabet, and its words (levels and
+code), and decodes alone (``rangecoder``).  The directory holds every document's
+id and number of ids.  All numbers are little-endian.
 
 Encoding a text means splitting it at ASCII white space, which the
 vocabulary's own pattern never joins across, and looking the pieces up; pieces
-not met before go through the library.
+not met before go through the library, the usual ones word by word.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from proselens.llm import rangecoder
 from proselens.llm.common import Scratch, pick, ship
 
-MAGIC = b"TOKIDCM1"
+MAGIC = b"TOKIDCM2"
 _HEAD = struct.Struct("<IIIII")
 _FOOT = struct.Struct("<QIIQQ8s")  # directory place, bytes, CRC-32, documents, ids, MAGIC
 # Ids of a block, blocks coded in step, bytes of text per file.
@@ -47,76 +50,153 @@ INDEX = "part int, file string, documents long, ids long, bytes long"
 ROW = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+# Characters of usual pieces: letters and numbers of \p{L} and \p{N}, and what is
+# neither; lower-casing them needs no neighbours and stays among them, and NFC
+# leaves them alone.
+# "<" is missing, as it may begin an added token.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0400-\u0481\u048a-\u04ff" \
+           "\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_OTHERS = r"!-/:;=-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7"
+_USUAL = re.compile(f"[{_LETTERS}{_NUMBERS}{_OTHERS}]*")
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+# The steps that the two patterns above stand for.
+_STEPS = {"normalizer": {"type": "Sequence", "normalizers": [
+              {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+              {"type": "Lowercase"}]},
+          "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+              {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+               "behavior": "Removed", "invert": True},
+              {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+
+
+class Memo:
+    """Keys and the ids of each, in one array."""
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 12, np.int64)
+        self.lengths = np.zeros(1 << 12, np.int64)
+        self.end = 0
+
+    def full(self) -> bool:
+        return len(self.known) > MEMO_PIECES or self.end > MEMO_IDS
+
+    def add(self, keys: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        at = len(self.known)
+        while self.end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while at + len(keys) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.ids[self.end:self.end + len(ids)] = ids
+        self.starts[at:at + len(keys)] = self.end + np.cumsum(lengths) - lengths
+        self.lengths[at:at + len(keys)] = lengths
+        self.end += len(ids)
+        self.known.update(zip(keys, range(at, at + len(keys))))
+
+    def places(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where those of each place end."""
+        lengths = self.lengths[places]
+        stops = np.cumsum(lengths)
+        total = int(stops[-1]) if len(stops) else 0
+        at = np.repeat(self.starts[places] - (stops - lengths), lengths) + np.arange(total)
+        return self.ids[at], stops
+
+
 class Encoder:
-    """Ids of whole texts; equal to the library's, piece by piece."""
+    """Ids of whole texts; equal to the library's, piece by piece.
+
+    The library merges the symbols of every word.  Where the vocabulary's
+    normalizer and split are those of _STEPS, usual pieces are lower-cased and
+    split into words here, and each word goes to the library's model once; all
+    other pieces take all its steps.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         mark = self.library.encode("\x01", add_special_tokens=False).ids
         # a mark that is one id of its own tells pieces apart in one text
         self.mark = mark[0] if len(mark) == 1 else None
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
-        self.end = 0
+        steps = json.loads(self.library.to_str())
+        self.model = None
+        if (self.mark is not None and all(steps[k] == v for k, v in _STEPS.items())
+                and all(x["content"][0] == "<" for x in steps["added_tokens"])):
+            self.model = Tokenizer.from_file(path)
+            self.model.normalizer = normalizers.Sequence([])
+            self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces, self.words = Memo(), Memo()
 
     def _learn(self, pieces: list[bytes]) -> None:
-        plain = [p for p in pieces if self.mark is not None and b"\x01" not in p]
         odd = [p for p in pieces if self.mark is None or b"\x01" in p]
+        plain = list(set(pieces).difference(odd)) if odd else pieces
         for a in range(0, len(plain), 2000):
             part = plain[a:a + 2000]
-            text = " \x01 ".join(p.decode("utf-8", "replace") for p in part)
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            marks = np.flatnonzero(ids == self.mark)
-            first, last = np.append(0, marks + 1), np.append(marks, len(ids))
-            self._add(part, np.delete(ids, marks), last - first)
+            texts = b" \x01 ".join(part).decode("utf-8", "replace").split(" \x01 ")
+            usual = list(map(_USUAL.fullmatch, texts)) if self.model else [None] * len(part)
+            self._learn_usual(list(compress(part, usual)), list(compress(texts, usual)))
+            rest = [u is None for u in usual]
+            part = list(compress(part, rest))
+            if part:
+                text = " \x01 ".join(compress(texts, rest))
+                ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                marks = np.flatnonzero(ids == self.mark)
+                first, last = np.append(0, marks + 1), np.append(marks, len(ids))
+                self.pieces.add(part, np.delete(ids, marks), last - first)
         for p in odd:
             ids = self.library.encode_batch_fast([p.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
-            self._add([p], np.array(ids, np.uint32), np.array([len(ids)]))
-
-    def _add(self, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        at = len(self.known)
-        while self.end + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while at + len(pieces) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.end:self.end + len(ids)] = ids
-        self.starts[at:at + len(pieces)] = self.end + np.cumsum(lengths) - lengths
-        self.lengths[at:at + len(pieces)] = lengths
-        self.end += len(ids)
-        for i, p in enumerate(pieces):
-            self.known[p] = at + i
-
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+            self.pieces.add([p], np.array(ids, np.uint32), np.array([len(ids)]))
+
+    def _learn_usual(self, pieces: list[bytes], texts: list[str]) -> None:
+        if not pieces:
+            return
+        if self.words.full():
+            self.words = Memo()
+        words = _WORDS.findall(" \x01 ".join(texts).lower())
+        new = list(set(words).difference(self.words.known, ["\x01"]))
+        if new:
+            marked = list(chain.from_iterable(zip(new, repeat("\x01"))))
+            coded = self.model.encode_batch_fast([marked], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(coded.ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            self.words.add(new, np.delete(ids, marks), np.diff(marks, prepend=-1) - 1)
+        # a mark has no ids; a piece's ids end with its last word
+        if "\x01" not in self.words.known:
+            self.words.add(["\x01"], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        places = self.words.places(words)
+        ids, stops = self.words.take(places)
+        marks = np.flatnonzero(places == self.words.known["\x01"])
+        self.pieces.add(pieces, ids, np.diff(np.append(stops[marks], len(ids)), prepend=0))
+
+    def encode(self, texts: list[bytes] | pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, ``end_id`` after each text, and how many each has."""
-        if len(self.known) > MEMO_PIECES or self.end > MEMO_IDS:
-            self.forget()
-        lists = [t.split() for t in texts]
-        new = set().union(*lists).difference(self.known) if lists else set()
+        if self.pieces.full():
+            self.pieces = Memo()
+        raw = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        # white space at either end of a text gives a piece without bytes
+        split = pc.ascii_split_whitespace(raw.cast(pa.large_binary()).view(pa.large_string()))
+        counts = pc.list_value_length(split).to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        different = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        new = list(set(different).difference(self.pieces.known))
         if new:
-            self._learn(sorted(new))
-        counts = np.array([len(x) for x in lists], np.int64)
-        # the end id stands for a piece of its own
-        codes = np.full(int(counts.sum()) + len(lists), -1, np.int64)
+            self._learn(new)
+        if end_id not in self.pieces.known:  # a piece of its own
+            self.pieces.add([end_id], np.array([end_id], np.uint32), np.ones(1, np.int64))
         ends = np.cumsum(counts + 1) - 1
-        inner = np.ones(len(codes), bool)
+        places = np.full(int(counts.sum()) + len(counts), self.pieces.known[end_id], np.int64)
+        inner = np.ones(len(places), bool)
         inner[ends] = False
-        codes[inner] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
-        lengths = np.where(inner, self.lengths[codes], 1)
-        stops = np.cumsum(lengths)
-        total = int(stops[-1]) if len(stops) else 0
-        at = np.repeat(np.where(inner, self.starts[codes], 0) - (stops - lengths), lengths) + np.arange(total)
-        ids = self.ids[at]
-        ids[stops[ends] - 1] = end_id
-        return ids, np.diff(np.append(0, stops[ends]))
+        places[inner] = self.pieces.places(different)[coded.indices.to_numpy()]
+        ids, stops = self.pieces.take(places)
+        return ids, np.diff(stops[ends], prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -257,7 +337,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, scratch: Sc
                 stream = store.open_output_stream(f"{root}/{name}", compression=None)
                 writer = FileWriter(stream, block_ids, lanes)
             doc = batch.column(0)
-            ids, counts = enc.encode(batch.column(2).to_pylist(), end_id)
+            ids, counts = enc.encode(batch.column(2), end_id)
             writer.add(doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False), counts, ids)
         if writer is not None:
             done = writer.close()

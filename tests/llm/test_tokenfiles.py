@@ -139,3 +139,33 @@ def test_odd_tables(odd_documents, odd_rows, no_documents, library):
     assert drop(map(tuple, got)) == drop(want)
     assert sorted(r.start for r in got)[0] == 0 and len({r.start for r in got}) == len(got)
     assert tokenfiles.encode_and_read(no_documents, VOCABULARY, 2).count() == 0
+
+
+def test_usual_characters_are_split_as_by_the_library(library):
+    """Every character that is lower-cased and split here, next to others."""
+    usual = [c for c in map(chr, range(1, 0x10000)) if tokenfiles._USUAL.fullmatch(c)]
+    assert len(usual) > 30_000 and all(tokenfiles._USUAL.fullmatch(c.lower()) for c in usual) and not set("<\x01\u0130\u03a3") & set(usual)
+    pieces = [f"a{c}B{c}{c}9{c}!{c}'s{c}" for c in usual]
+    enc = tokenfiles.Encoder(VOCABULARY)
+    assert enc.model is not None
+    ids, counts = enc.encode([p.encode() for p in pieces], 2)
+    want = [x.ids + [2] for x in library.encode_batch_fast(pieces, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_word_is_merged_once_whatever_stands_around_it(library):
+    enc = tokenfiles.Encoder(VOCABULARY)
+    texts = [b"wordy Wordy, (wordy) WORDY! wordy's", b"'wordy' wordy; -wordy- \xc2\xabwordy\xc2\xbb"]
+    ids, _ = enc.encode(texts, 2)
+    assert ids.tolist() == [i for t in texts for i in library.encode(t.decode(), add_special_tokens=False).ids + [2]]
+    assert sum(w == "wordy" for w in enc.words.known) == 1 and len(enc.words.known) < 16
+
+
+def test_a_step_costs_the_same_for_large_alphabets():
+    """No table of running sums: what all lanes hold does not grow with the alphabet times the step."""
+    rng = np.random.default_rng(5)
+    wide = [rng.permutation(6000) for _ in range(3)]
+    model = rangecoder._Model(np.stack([np.bincount(np.zeros(6000, int), minlength=rangecoder.LEVELS)] * 3))
+    assert not hasattr(model, "inner") and not hasattr(model, "outer") and model.room == 6000
+    coded = [(a, len(b), w) for b, (a, w) in zip(wide, rangecoder.encode(wide))]
+    assert all(np.array_equal(a, b) for a, b in zip(rangecoder.decode(coded), wide))
