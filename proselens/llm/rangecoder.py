@@ -34,7 +34,6 @@ LEVEL_BITS = 12
 # follower yet), and what the state becomes, by a miss and by a hit; a miss
 # from up to state WEAK replaces the follower.
 TRUST = np.array([0.0] + [(k + 0.3) / (k + 1.6) for k in range(15)], np.float32)
-DOUBT = np.float32(1) - TRUST
 WEAK = 3
 STEP = np.array([(s >> 1) - s for s in range(16)] + [min(s + 1, 15) - s for s in range(16)], np.int32)
 # Bounds of a model's weight against that of order 0.
@@ -199,7 +198,7 @@ def _run(sizes: np.ndarray, lengths: np.ndarray, symbols: np.ndarray | None,
                 rng[short] <<= _32
         # each model's weight by what it gave, order 0's being 1
         hit = said == x
-        weights *= DOUBT.take(state, mode="clip") + trust * gain * hit
+        weights *= 1 - trust + trust * gain * hit
         np.clip(weights, LEAST_WEIGHT, MOST_WEIGHT, out=weights)
         # a hit raises the confidence, a miss halves it or replaces the follower
         entry += STEP.take(state + (hit.view(np.int8) << 4), mode="clip")

@@ -119,7 +119,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         mark = self.library.encode("\x01", add_special_tokens=False).ids
@@ -127,9 +127,14 @@ class Encoder:
         self.mark = mark[0] if len(mark) == 1 else None
         steps = json.loads(self.library.to_str())
         self.model = None
-        if (self.mark is not None and all(steps[k] == v for k, v in _STEPS.items())
+        if (self.mark is not None and steps["model"]["type"] == "BPE"
+                and all(steps[k] == v for k, v in _STEPS.items())
                 and all(x["content"][0] == "<" for x in steps["added_tokens"])):
-            self.model = Tokenizer.from_file(path)
+            # every word comes once, so a cache would only cost
+            model = steps["model"] | {"cache_capacity": 0}
+            model["merges"] = [tuple(x) for x in model["merges"]]
+            model.pop("type")
+            self.model = Tokenizer(models.BPE(**{k: v for k, v in model.items() if v is not None}))
             self.model.normalizer = normalizers.Sequence([])
             self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pieces, self.words = Memo(), Memo()
