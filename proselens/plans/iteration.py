@@ -44,9 +44,12 @@ def iteration_results(replies: DataFrame, products: DataFrame, gold: DataFrame |
                            combined_features().alias("combined"))
     by = measures(encoder, [(cands, "marketing_text"), (prod, "attribute_text"), (features_of(prod, "combined"), "feature")]
                   + ([(gold, "marketing_text")] if gold is not None else []))
-    align = by.paired(cands, key, "marketing_text", prod, "product_id", "attribute_text", "semantic_attribute_alignment")
-    cov = by.coverage(cands, key, "marketing_text", prod, "product_id", "combined", cfg.coverage_threshold)
-    sbert = by.best(cands, key, "marketing_text", gold, "gold_id", "marketing_text", "sbert")
+    # a number per text stays of each; the texts and vectors that its join has moved go
+    align, cov, sbert = (materialize(m, "iteration-measure") for m in (
+        by.paired(cands, key, "marketing_text", prod, "product_id", "attribute_text", "semantic_attribute_alignment"),
+        by.coverage(cands, key, "marketing_text", prod, "product_id", "combined", cfg.coverage_threshold),
+        by.best(cands, key, "marketing_text", gold, "gold_id", "marketing_text", "sbert")))
+    by.release()
     rows = (cands.join(align, key, "left").join(cov, key, "left").join(sbert, key, "left")
             .join(judge, key, "left").join(fact, key, "left"))
     rows = rows.withColumns({
